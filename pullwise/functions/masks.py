@@ -60,14 +60,13 @@ def category_bit(category: Column) -> Column:
 
 def field_bit(layer: Column, field: Column) -> Column:
     """The bit of a (layer, field) reference; 0 when the catalogue has no such field."""
-    key = F.concat_ws("/", layer, field)
-    return choose(key, {f"{lay}/{f}": bit for (lay, f), bit in dims.FIELD_BIT.items()}, 0).cast("bigint")
+    return choose(layer, {
+        lay: choose(field, {f: dims.FIELD_BIT[lay, f] for f in fields}, 0)
+        for lay, fields in dims.FIELD_CATALOGUE.items()}, 0).cast("bigint")
 
 
 def field_category(layer: Column, field: Column, default: str | None = "uncatalogued") -> Column:
-    key = F.concat_ws("/", layer, field)
-    table = {f"{lay}/{f}": cat for lay, fs in dims.FIELD_CATALOGUE.items() for f, cat in fs.items()}
-    return choose(key, table, default)
+    return choose(layer, {lay: choose(field, fields, default) for lay, fields in dims.FIELD_CATALOGUE.items()}, default)
 
 
 def category_names(mask: Column) -> Column:

@@ -8,6 +8,7 @@ so all seven are evaluated in one generated-code stage over per-run rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,11 +129,17 @@ def column_of(rule_id: str) -> str:
     return rule_id.lower().replace("-", "")[:2]
 
 
+@cache
+def _verdict(rule_id: str) -> Verdict:
+    """A rule's expressions, built once: columns are unresolved and fit any frame of runs."""
+    return RULES[rule_id][0]()
+
+
 def with_rules(runs: DataFrame, findings: bool = False) -> DataFrame:
     """Adds ``<rule>_score`` and ``<rule>_status`` (and ``<rule>_findings``) to every run."""
     added = {}
-    for rule_id, (build, _) in RULES.items():
-        score, status, notes = build()
+    for rule_id in RULES:
+        score, status, notes = _verdict(rule_id)
         name = column_of(rule_id)
         added[f"{name}_score"], added[f"{name}_status"] = score, status
         if findings:

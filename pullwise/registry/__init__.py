@@ -6,7 +6,7 @@ import importlib
 
 from pullwise.registry.base import REGISTRY, Query
 
-MODULES = ("scoring",)
+MODULES = ("scoring", "techniques")
 
 
 def all_queries() -> dict[str, Query]:

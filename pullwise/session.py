@@ -22,7 +22,9 @@ def local_session(cpus: int | None = None, name: str = "pullwise") -> SparkSessi
     builder = (SparkSession.builder.master(f"local[{n}]").appName(name)
                .config("spark.sql.shuffle.partitions", str(n))
                .config("spark.driver.memory", "8g")
-               .config("spark.ui.enabled", "false"))
+               .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
     for k, v in SETTINGS.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
