@@ -6,7 +6,7 @@ import importlib
 
 from pullwise.registry.base import REGISTRY, Query
 
-MODULES = ("scoring", "techniques")
+MODULES = ("scoring", "techniques", "extraction")
 
 
 def all_queries() -> dict[str, Query]:
