@@ -23,14 +23,26 @@ def blank_to_null(value: Column) -> Column:
     return F.nullif(F.trim(value), F.lit(""))
 
 
+# fixed values: letters whose case folding is plain ASCII but which lower-casing leaves alone
+FOLDS = {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ſ": "s"}
+
+
+def fold(value: Column) -> Column:
+    """Case-folded as far as it matters once everything outside [a-z0-9] is dropped."""
+    out = F.lower(value)
+    for letter, plain in FOLDS.items():
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    return out
+
+
 def normalise_text(value: Column) -> Column:
-    """Lower case, every run of other characters one space, padded by spaces."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(value), "[^a-z0-9]+", " "), F.lit(" "))
+    """Case-folded, every run of other characters one space, padded by spaces."""
+    return F.concat(F.lit(" "), F.regexp_replace(fold(value), "[^a-z0-9]+", " "), F.lit(" "))
 
 
 def words(value: Column) -> Column:
     """Distinct words of a normalised text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(value), F.lit("([a-z0-9]+)"), 1))
+    return F.array_distinct(F.regexp_extract_all(fold(value), F.lit("([a-z0-9]+)"), 1))
 
 
 def digits(value: Column) -> Column:
@@ -48,6 +60,12 @@ def phone_like(value: Column) -> Column:
     return (n >= 7) & (n >= F.length(F.replace(value, F.lit(" "), F.lit(""))) - 4)
 
 
+def number_text(value: Column) -> Column:
+    """A double as plain decimal text with at least one decimal, never in exponent form."""
+    wide = F.regexp_replace(value.cast("decimal(38,6)").cast("string"), "(\\.[0-9]+?)0+$", "$1")
+    return F.when(F.abs(value) < 1e7, value.cast("string")).otherwise(wide)
+
+
 def mask_value(value: Column) -> Column:
     """Short values all stars; otherwise three leading letters (if letters) and the last two characters stay."""
     n = F.length(value)

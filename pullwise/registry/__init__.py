@@ -6,7 +6,7 @@ import importlib
 
 from pullwise.registry.base import REGISTRY, Query
 
-MODULES = ("scoring", "techniques", "extraction")
+MODULES = ("scoring", "techniques", "extraction", "interop")
 
 
 def all_queries() -> dict[str, Query]:
