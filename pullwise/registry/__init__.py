@@ -6,7 +6,7 @@ import importlib
 
 from pullwise.registry.base import REGISTRY, Query
 
-MODULES = ("scoring", "techniques", "extraction", "interop", "reports")
+MODULES = ("scoring", "techniques", "extraction", "interop", "reports", "ingestion")
 
 
 def all_queries() -> dict[str, Query]:
