@@ -287,6 +287,12 @@ FUNCTION_STEPS = {
     "check_in_arrival": ((PA, ("mrn", "admission_datetime"), "mark_arrived"),),
     "verify_insurance": ((FIN, (), "check_eligibility"), (FIN, ("mrn", "insurance_policy_no", "payer_name"), None)),
     "access_request": ((PA, ("mrn",), "privacy_request"),),
+    "erasure_request": ((PA, ("mrn",), "privacy_request"),),
+    "correction_request": ((PA, ("mrn",), "privacy_request"),),
+    "nominate_representative": ((PA, ("mrn",), "privacy_request"),),
+    "privacy_grievance": ((PA, ("mrn",), "privacy_request"),),
+    "confirm_identity": ((PA, ("mrn", "full_name", "date_of_birth"), None),),
+    "shift_handover": ((EHR, ("primary_diagnosis",), None),),
     "withdraw_consent": ((PA, (), "withdraw_consent"), (PA, ("mrn",), "privacy_request")),
     "record_vitals": ((ANC, ("result_value",), "record_observation"),),
     "view_medications": ((EHR, ("allergy", "medication"), None),),

@@ -25,8 +25,9 @@ def numbered(df: DataFrame, keys: list[str], order: str, out: str = "n", start:
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
     within = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order, *ties))
-    return (rows.withColumn("_n", within).join(offsets, [*keys, "_block"])
-            .withColumn(out, (F.col("_n") + F.col("_before") + (start - 1)).cast("bigint")).drop("_block", "_n", "_before"))
+    return (rows.withColumn("_within", within).join(offsets, [*keys, "_block"])
+            .withColumn(out, (F.col("_within") + F.col("_before") + (start - 1)).cast("bigint"))
+            .drop("_block", "_within", "_before"))
 
 
 def with_previous(df: DataFrame, keys: list[str], order: str, value: str, out: str, position: str | None = None,

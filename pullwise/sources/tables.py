@@ -63,8 +63,8 @@ DIM_VIEWS = {
     "function_fields": values("function_id, step_ord, layer, field",
                               [(f, i, s[0], x) for f, steps in dims.FUNCTION_STEPS.items()
                                for i, s in enumerate(steps) for x in s[1]]),
-    "action_names": values("action_ord, action, shown",
-                           [(i, a, n) for i, (a, ns) in enumerate(dims.ACTIONS.items()) for n in ns]),
+    "action_names": values("action_ord, action, name_ord, shown",
+                           [(i, a, k, n) for i, (a, ns) in enumerate(dims.ACTIONS.items()) for k, n in enumerate(ns)]),
 }
 
 LAYER_VIEWS = {
