@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pullwise import dims
@@ -92,11 +92,18 @@ def _label_key(text: str) -> str:
     return " ".join(re.findall(r"[a-z0-9]+", text.lower()))
 
 
-def match_control(label: Column, alias: Column | None = None) -> Column:
-    """Button label -> action id, exact after normalising; a confirmed alias wins."""
-    table = {_label_key(n): a for a, names in dims.ACTIONS.items() for n in names}
-    found = choose(normalise_label(label), table)
-    return found if alias is None else F.coalesce(alias, found)
+def match_controls(df: DataFrame, label: str, out: str = "action", aliases: DataFrame | None = None) -> DataFrame:
+    """Adds the operation a button label means, exact after normalising; aliases(shown, action) win.
+
+    A hash look-up in the broadcast vocabulary (about a hundred names), so a label is normalised once."""
+    spark = df.sparkSession
+    names = spark.createDataFrame([(_label_key(n), a) for a, ns in dims.ACTIONS.items() for n in ns], "_k string, _known string")
+    found = df.withColumn("_k", normalise_label(F.col(label))).join(F.broadcast(names), "_k", "left")
+    best = F.col("_known")
+    if aliases is not None:
+        table = aliases.select(normalise_label(F.col("shown")).alias("_k"), F.col("action").alias("_alias"))   # configuration
+        found, best = found.join(F.broadcast(table), "_k", "left"), F.coalesce("_alias", "_known")
+    return found.withColumn(out, best).drop("_k", "_known", "_alias")
 
 
 def humanise(field: Column) -> Column:

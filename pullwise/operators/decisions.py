@@ -11,9 +11,9 @@ from pullwise.functions import masks, text
 
 def selection(fields: DataFrame) -> DataFrame:
     """fields(decision_id, ref) -> per decision: known references as a mask, unknown ones listed, first seen first."""
-    parts = F.split("ref", "/", 2)
-    bit = F.when(F.size(parts) == 2, masks.field_bit(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))).otherwise(0)
-    return fields.withColumn("bit", bit.cast("bigint")).groupBy("decision_id").agg(
+    split = fields.withColumns({"_layer": F.split_part("ref", F.lit("/"), F.lit(1)), "_name": F.regexp_extract("ref", "^[^/]*/(.*)$", 1)})
+    bit = masks.field_bit(F.col("_layer"), F.col("_name"))
+    return split.withColumn("bit", bit).groupBy("decision_id").agg(
         F.bit_or("bit").alias("field_mask"),
         F.array_sort(F.collect_set(F.when(F.col("bit") == 0, F.col("ref")))).alias("unknown_fields"))
 

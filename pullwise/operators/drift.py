@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pullwise import dims
 from pullwise.functions import masks, text
 from pullwise.operators import access
+from pullwise.session import written
 
 ACTION_BIT = {a: 1 << i for i, a in enumerate(dims.ACTIONS)}
 # fixed values: how a layer is called on screen
@@ -20,24 +21,21 @@ LAYER_NAMES = {dims.PA: "Patient Administration", dims.EHR: "the clinical record
 
 
 class Crawls:
-    """The two crawls' tables with field bits, actions and successor modules worked out."""
+    """The two crawls' tables with field bits, actions and successor modules worked out.
+
+    What every comparison reads - fields with their modules, and which module followed which - is written once."""
 
     def __init__(self, modules: DataFrame, fields: DataFrame, controls: DataFrame, aliases: DataFrame | None = None) -> None:
         self.modules = modules
         named = fields.join(modules.select("site", "crawl", "ord", "title", "path", "layer"), ["site", "crawl", "ord"])
-        self.fields = named.withColumn("bit", masks.field_bit(F.col("layer"), F.col("name")))
+        self.fields = written(named.withColumn("bit", masks.field_bit(F.col("layer"), F.col("name"))), "fields")
         self.known = self.fields.where("bit <> 0")
         every = {f for fs in dims.FIELD_CATALOGUE.values() for f in fs}
         self.unknown_headers = self.fields.where(~F.col("name").isin(*every))
         acted = controls.join(modules.select("site", "crawl", "ord", "title", "path", "layer"), ["site", "crawl", "ord"])
-        if aliases is not None:
-            al = aliases.select(text.normalise_label(F.col("shown")).alias("_k"), F.col("action").alias("_alias"))
-            acted = acted.withColumn("_k", text.normalise_label(F.col("label"))).join(F.broadcast(al), "_k", "left").drop("_k")
-        else:
-            acted = acted.withColumn("_alias", F.lit(None).cast("string"))
-        self.controls = acted.withColumn("action", text.match_control(F.col("label"), F.col("_alias"))).drop("_alias")
-        self.origin = self._origin()
-        self.called = self._called()
+        self.controls = text.match_controls(acted, "label", "action", aliases)
+        self.origin = written(self._origin(), "origin")
+        self.called = written(self._called(), "called")
 
     def side(self, df: DataFrame, crawl: str) -> DataFrame:
         return df.where(F.col("crawl") == crawl)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pullwise.functions import text
+from pullwise.session import written
 
 HOT = 100_000      # artefacts sharing one word above which the look-up is salted
 
@@ -24,7 +25,7 @@ def _word_hits(values: DataFrame, artefacts: DataFrame, keys: list[str], hot: in
     v = values.withColumn("words", text.words(F.col("value"))).where(F.size("words") > 0)
     wanted = v.select(*keys, F.explode("words").alias("word")).distinct()
     occurs = artefacts.select(*keys, "artefact_id", F.explode(text.words(F.col("text"))).alias("word"))
-    index = occurs.join(wanted, [*keys, "word"], "left_semi")
+    index = written(occurs.join(wanted, [*keys, "word"], "left_semi"), "postings")      # read twice below
     frequency = index.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("df"))
 
     single = (v.where(F.size("words") == 1).withColumn("word", F.get("words", F.lit(0)))
@@ -76,7 +77,7 @@ def find_leaks(values: DataFrame, artefacts: DataFrame, keys: list[str] | None =
 
     ``keys`` scope the search (an export's values are looked for in its own artefacts)."""
     keys = keys or []
-    distinct = values.where(text.present(F.col("value"))).select(*keys, "value").distinct()
+    distinct = written(values.where(text.present(F.col("value"))).select(*keys, "value").distinct(), "values")
     hits = _word_hits(distinct, artefacts, keys, hot).unionByName(_digit_hits(distinct, artefacts, keys)).distinct()
     return distinct.join(hits.withColumn("hit", F.lit(True)), [*keys, "value"], "left").select(
         *keys, "value", F.coalesce("hit", F.lit(False)).alias("leaked"))
@@ -88,16 +89,18 @@ def exact_leaks(values: DataFrame, artefacts: DataFrame) -> DataFrame:
     Any stretch of 2q-1 characters holds a whole block of q characters of the text's own grid, so a text
     is indexed at every q-th position only and a value by the q windows of its first 2q-1 characters. Each
     posting carries just the characters a value could cover around it, where the value is then tested."""
-    v = values.where(text.present(F.col("value"))).select("value").distinct()
+    v = written(values.where(text.present(F.col("value"))).select("value").distinct(), "values")
     sizes = v.agg(F.floor((F.min(F.length("value")) + 1) / 2).cast("int").alias("q"), F.max(F.length("value")).alias("longest"))
     q, longest = sizes.select("q").scalar(), sizes.select("longest").scalar()
-    lookups = v.withColumn("q", q).select("value", F.explode(F.sequence(F.lit(1), F.col("q"))).alias("i"), "q").select(
-        "value", F.substring(F.col("value"), F.col("i"), F.col("q")).alias("gram"))
-    grid = (artefacts.withColumns({"q": q, "longest": longest}).where(F.length("text") >= F.col("q"))
-            .select("artefact_id", "text", "q", "longest",
-                    F.explode(F.sequence(F.lit(1), F.length("text") - F.col("q") + 1, F.col("q"))).alias("pos")))
-    start = F.greatest(F.lit(1), F.col("pos") - F.col("q") + 1)
-    posted = grid.select("artefact_id", F.substring(F.col("text"), F.col("pos"), F.col("q")).alias("gram"),
-                         F.substring(F.col("text"), start, F.col("pos") - start + F.col("longest")).alias("around"))
+    lookups = v.withColumn("q", q).select("value", F.explode(F.transform(
+        F.sequence(F.lit(1), F.col("q")), lambda i: F.substring(F.col("value"), i, F.col("q")))).alias("gram"))
+    # cutting a text into blocks is one linear pass; a value starting in block i-1 ends at most ``ahead`` blocks on
+    sized = artefacts.withColumns({"q": q, "longest": longest})
+    blocks = sized.select("artefact_id", "q", (F.ceil(F.col("longest") / F.col("q")).cast("int") + 1).alias("ahead"), F.regexp_extract_all(
+        "text", F.concat(F.lit("(?s).{1,"), F.col("q").cast("string"), F.lit("}")), 0).alias("blocks"))
+    around = lambda i: F.array_join(F.slice(F.col("blocks"), F.greatest(i, F.lit(1)), F.col("ahead") + 2), "")
+    posted = blocks.select("artefact_id", "q", F.explode(F.transform(
+        F.col("blocks"), lambda b, i: F.struct(b.alias("gram"), around(i).alias("around")))).alias("p")).where(
+        F.length("p.gram") == F.col("q")).select("artefact_id", "p.gram", "p.around")
     hits = posted.join(lookups, "gram").where(F.col("around").contains(F.col("value")))
     return hits.select("value", "artefact_id").distinct()

@@ -14,6 +14,7 @@ from pullwise import dims
 from pullwise.functions import masks
 from pullwise.functions.numeric import interval_text, wilson
 from pullwise.operators import claims, rules
+from pullwise.session import written
 
 ALL_TASKS = {**dims.TASKS, **dims.INJECTION_TASKS}
 
@@ -128,8 +129,8 @@ def stability(scored: DataFrame) -> DataFrame:
     Runs collapse to their distinct (decision, verdict) outcomes first; the first outcome is found by an
     aggregate and joined back, so no window ever sorts a whole group of repeats."""
     keys = ["technique", "task_id"]
-    outcomes = scored.groupBy(*keys, "decision", "verdict").agg(
-        F.count(F.lit(1)).alias("n"), F.min("run_ord").alias("seen"))
+    outcomes = written(scored.groupBy(*keys, "decision", "verdict").agg(
+        F.count(F.lit(1)).alias("n"), F.min("run_ord").alias("seen")), "outcomes")
     first = outcomes.groupBy(*keys).agg(
         F.min_by(F.struct("decision", "verdict"), "seen").alias("first"), F.sum("n").alias("runs"))
     joined = outcomes.join(first, keys)

@@ -8,6 +8,7 @@ from pullwise import dims
 from pullwise.functions import crypto, text
 from pullwise.operators import fhir, hl7, leaks, ordinals, privacy
 from pullwise.registry.base import query, with_views
+from pullwise.session import written
 from pullwise.sources.tables import add_view
 
 KEY = "export-key-for-checks"
@@ -250,12 +251,13 @@ probe as (select distinct run_id, mrn as value from export_patient_administratio
 def export_audit(t):
     """Every registration export searched for the raw identifiers it was made from, with its k."""
     raw = t[f"export_{dims.PA}"]
-    rows = exported(t, dims.PA)
+    rows = written(exported(t, dims.PA), "rows")
     msgs = rows.select("run_id", F.concat(F.lit("m"), F.col("row_ix").cast("string")).alias("artefact_id"),
                        hl7.message(dims.PA, rows, hl7.control_id(dims.PA), WHEN).alias("text"))
-    res = shaped(t, dims.PA).select("run_id", F.concat(F.lit("r"), F.col("ord").cast("string")).alias("artefact_id"),
-                                    F.col("resource").alias("text"))
-    artefacts = msgs.unionAll(res)
+    res = fhir.shape(dims.PA, rows, "run_id", "n").select(
+        "run_id", F.concat(F.lit("r"), (F.col("n") * 8 + F.col("position")).cast("string")).alias("artefact_id"),
+        F.col("resource").alias("text"))
+    artefacts = written(msgs.unionAll(res), "artefacts")
     probes = raw.select("run_id", F.explode(F.array(*[F.col(c) for c in dims.direct_identifiers(dims.PA)])).alias("value"))
     found = leaks.find_leaks(probes, artefacts, ["run_id"]).groupBy("run_id").agg(
         F.count(F.lit(1)).alias("identifier_values"), F.count_if("leaked").alias("leaked"))

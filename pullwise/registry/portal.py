@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pullwise import dims
 from pullwise.operators import access, drift, recognise, split
 from pullwise.registry.base import query, with_views
+from pullwise.session import written
 from pullwise.sources import pages
 from pullwise.sources.tables import add_view, values
 from pullwise.streaming import daily
@@ -68,7 +69,7 @@ select 'https://his.example/m/orders/' || l_orderkey::varchar as url, 'ancillary
 def navigation_map(t):
     """Modules discovered from list and record pages: fields, controls, search form and layer."""
     lists, records = order_pages(t)
-    parsed = pages.parse_pages(lists.unionAll(records))
+    parsed = written(pages.parse_pages(lists.unionAll(records)), "pages")
     titles = lists.select("url", F.lit("Orders").alias("title"))
     m = pages.discover(parsed, titles, t["page_aliases"])
     joined = [F.array_join(c, ",").alias(c) for c in ("list_fields", "detail_fields", "list_controls", "record_controls")]
@@ -102,39 +103,40 @@ def module_read(t):
 
 
 # --- two crawls of every site ---------------------------------------------------------------------------
-add_view("module_dims", values("ord, title, path, layer", [
+MODULES = ("ord, title, path, layer", [
     (0, "Patient Registration", "/m/registration", dims.PA), (1, "Clinical Records", "/m/clinical", dims.EHR),
     (2, "Departmental Orders", "/m/departments", dims.ANC), (3, "Billing", "/m/billing", dims.FIN),
-    (4, "Audit Log", "/m/integration", dims.INF), (5, "Insurance Desk", "/m/payers", dims.FIN), (6, "Messages", "/m/messages", dims.INF)]))
+    (4, "Audit Log", "/m/integration", dims.INF), (5, "Insurance Desk", "/m/payers", dims.FIN), (6, "Messages", "/m/messages", dims.INF)])
+add_view("module_dims", values(*MODULES), each=MODULES)
 add_view("nav_modules", """
-select c_custkey as site, 'before' as crawl, m.ord, m.title, m.path, m.layer from {customer} cross join {module_dims} m where m.ord < 5
+select c_custkey as site, 'before' as crawl, m.ord, m.title, m.path, m.layer from {customer} [[module_dims m]] where m.ord < 5
 union all
 select c_custkey as site, 'after' as crawl, m.ord,
  case when m.ord = 3 and c_custkey % 3 = 0 then 'Accounts' when (c_custkey + m.ord) % 4 = 1 then m.title || ' Desk' else m.title end as title,
  case when (c_custkey + m.ord) % 3 = 1 then replace(m.path, '/m/', '/app/') else m.path end as path, m.layer
-from {customer} cross join {module_dims} m
+from {customer} [[module_dims m]]
 where (m.ord < 4 or (m.ord = 4 and c_custkey % 7 <> 3) or (m.ord = 5 and c_custkey % 3 = 0) or (m.ord = 6 and c_custkey % 7 = 3))""")
 add_view("nav_fields", """
 select c_custkey as site, 'before' as crawl, c.layer_ord as ord, case when c.field_ord < 4 then 'list page' else 'record page' end as screen, c.field_ord as f_ord,
- c.field as name, case when c.field = 'mrn' then 'MRN' else replace(c.field, '_', ' ') end as label from {customer} cross join {field_catalogue} c
+ c.field as name, case when c.field = 'mrn' then 'MRN' else replace(c.field, '_', ' ') end as label from {customer} [[field_catalogue c]]
 union all
 select site, 'after' as crawl, ord, screen, f_ord, case when dropped then 'Col ' || field else field end as name,
  case when (site + f_ord) % 5 = 0 then 'New ' || field else case when field = 'mrn' then 'MRN' else replace(field, '_', ' ') end end as label from (
  select c_custkey as site, c.field_ord as f_ord, c.field, c.field <> 'mrn' and (c_custkey * 3 + c.layer_ord * 7 + c.field_ord) % 11 = 0 as dropped,
   case when c.layer_ord = 3 and c_custkey % 3 = 0 and c.field in ('payer_name', 'insurance_policy_no') then 5 when c.layer_ord = 4 and c_custkey % 7 = 3 then 6 else c.layer_ord end as ord,
   case when ((c_custkey + c.field_ord) % 6 = 2) = (c.field_ord < 4) then 'record page' else 'list page' end as screen
- from {customer} cross join {field_catalogue} c where not (c.layer_ord = 4 and c_custkey % 7 = 3 and c.field not in ('source_system', 'subject_mrn'))) x
+ from {customer} [[field_catalogue c]] where not (c.layer_ord = 4 and c_custkey % 7 = 3 and c.field not in ('source_system', 'subject_mrn'))) x
 where not (dropped and site % 2 = 1)
 union all
 select c_custkey as site, 'after' as crawl, 5 as ord, 'list page' as screen, 0 as f_ord, 'mrn' as name, 'MRN' as label from {customer} where c_custkey % 3 = 0""")
 add_view("nav_controls", """
 select c_custkey as site, 'before' as crawl, case when n.action_ord < 12 then 0 when n.action_ord < 15 then 1 when n.action_ord < 17 then 2 else 3 end as ord,
- case when n.action_ord % 3 = 0 then 'list page' else 'record page' end as screen, n.action_ord as c_ord, n.shown as label from {customer} cross join {action_names} n where n.name_ord = 0
+ case when n.action_ord % 3 = 0 then 'list page' else 'record page' end as screen, n.action_ord as c_ord, n.shown as label from {customer} [[action_names n]] where n.name_ord = 0
 union all
 select c_custkey as site, 'after' as crawl, case when n.action_ord < 12 then 0 when n.action_ord < 15 then 1 when n.action_ord < 17 then 2 else 3 end as ord,
  case when ((c_custkey + n.action_ord) % 7 = 3) = (n.action_ord % 3 = 0) then 'record page' else 'list page' end as screen, n.action_ord as c_ord,
  case when (c_custkey + n.action_ord) % 4 = 3 then 'Zz ' || n.action else n.shown end as label
-from {customer} cross join {action_names} n where n.name_ord = case when (c_custkey + n.action_ord) % 4 = 2 then 1 else 0 end and not ((c_custkey + n.action_ord) % 4 = 3 and c_custkey % 2 = 1)""")
+from {customer} [[action_names n]] where n.name_ord = case when (c_custkey + n.action_ord) % 4 = 2 then 1 else 0 end and not ((c_custkey + n.action_ord) % 4 = 3 and c_custkey % 2 = 1)""")
 
 NAV = ("nav_modules", "nav_fields", "nav_controls", "field_catalogue", "action_names")
 DRIFT_SQL = """

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -32,6 +33,9 @@ def local_session(cpus: int | None = None, name: str = "pullwise") -> SparkSessi
     return spark
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder for written intermediates: the cluster's, or a temporary one where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,4 +43,17 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return _local_folders[app]
+
+
+def written(df: DataFrame, name: str = "part") -> DataFrame:
+    """A result several later steps read, written once as a table in the shared folder and read back.
+
+    Later steps then neither recompute it nor depend on the executors that made it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

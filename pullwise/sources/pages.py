@@ -1,7 +1,7 @@
 """HTML pages of a portal as tables.
 
 Only the mark-up itself needs Python: one small standard-library parser per page, run in Arrow batches by
-``mapInPandas`` on whole pages. Everything after that - records, field names, modules, layers - is
+``mapInArrow`` on whole pages. Everything after that - records, field names, modules, layers - is
 DataFrame work. Links alone need no parser and stay in the JVM (``page_links``)."""
 
 from __future__ import annotations
@@ -10,9 +10,11 @@ import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pullwise.functions.text import header_key
 from pullwise.operators.ingest import infer_layer
@@ -122,18 +124,15 @@ def parse_page(url: str, html: str) -> dict:
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """pages(url, html) -> one parsed row per page."""
-    names = [c.split()[0] for c in re.sub(r"<[^<>]*(<[^<>]*>)?[^<>]*>", "", PAGE_SCHEMA).split(", ")]
+    """pages(url, html) -> one parsed row per page, in Arrow batches of whole pages."""
+    schema = to_arrow_schema(StructType.fromDDL(PAGE_SCHEMA))
 
     def run(batches):
-        for pdf in batches:
-            parsed = [parse_page(u, h) for u, h in zip(pdf["url"], pdf["html"])]
-            out = pd.DataFrame(parsed, columns=names)
-            for c in ("page_number", "page_count", "record_count"):
-                out[c] = out[c].astype("Int32")
-            yield out
-
-    return pages.select("url", "html").mapInPandas(run, PAGE_SCHEMA)
+        for batch in batches:
+            urls, texts = batch.column("url").to_pylist(), batch.column("html").to_pylist()
+            yield pa.RecordBatch.from_pylist([parse_page(u, h) for u, h in zip(urls, texts)], schema=schema)
+
+    return pages.select("url", "html").mapInArrow(run, PAGE_SCHEMA)
 
 
 def with_field(df: DataFrame, header: str, aliases: DataFrame | None, out: str = "field") -> DataFrame:

@@ -7,6 +7,7 @@ text as a WITH list over plain table names.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -179,17 +180,37 @@ select cast(null as string) as file, upper(field) || ' CODE' as header, min(fiel
 DIM_VIEWS["artefact_names"] = values("artefact_ord, artefact", list(enumerate(dims.ARTEFACTS)))
 
 VIEWS: dict[str, str] = {**DIM_VIEWS, **LAYER_VIEWS, **FACT_VIEWS}
+# Dimensions that every row is paired with, written ``[[dimension alias]]`` in a view's text: an array of literals
+# exploded per row in Spark (no join at all), a product with the small table elsewhere.
+EACH: dict[str, tuple[str, list]] = {
+    "field_catalogue": ("layer_ord, layer, field_ord, field, category", dims.catalogue_rows()),
+    "action_names": ("action_ord, action, name_ord, shown",
+                     [(i, a, k, n) for i, (a, ns) in enumerate(dims.ACTIONS.items()) for k, n in enumerate(ns)]),
+}
+_EACH = re.compile(r"\[\[(\w+) (\w+)\]\]")
+
+
+def _spark_text(text: str) -> str:
+    def explode(m):
+        columns, rows = EACH[m[1]]
+        names = columns.split(", ")
+        cells = ", ".join("struct(" + ", ".join(f"{_lit(v)} as {n}" for n, v in zip(names, r)) + ")" for r in rows)
+        return f"lateral view inline(array({cells})) {m[2]} as {columns}"
+    return _EACH.sub(explode, text)
 
 
-def add_view(name: str, text: str) -> None:
+def add_view(name: str, text: str, each: tuple[str, list] | None = None) -> None:
     VIEWS[name] = text
+    if each is not None:
+        EACH[name] = each
     _depends.cache_clear()
 
 
 @lru_cache(maxsize=None)
 def _depends(name: str) -> tuple[str, ...]:
     text = VIEWS[name]
-    return tuple(n for n in (*TABLES, *VIEWS) if "{" + n + "}" in text)
+    each = {m[1] for m in _EACH.finditer(text)}
+    return tuple(n for n in (*TABLES, *VIEWS) if "{" + n + "}" in text or n in each)
 
 
 def ctes(*names: str) -> str:
@@ -210,6 +231,7 @@ def ctes(*names: str) -> str:
         text = VIEWS[n]
         for d in _depends(n):
             text = text.replace("{" + d + "}", d)
+        text = _EACH.sub(r"cross join \1 \2", text)
         out.append(f"{n} as ({text})")
     return ",\n".join(out)
 
@@ -227,7 +249,8 @@ class Tables:
             if name in TABLES:
                 df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             else:
-                df = self.spark.sql(VIEWS[name], **{d: self[d] for d in _depends(name)})
+                text = _spark_text(VIEWS[name])
+                df = self.spark.sql(text, **{d: self[d] for d in _depends(name) if "{" + d + "}" in text})
             self._made[name] = df
         return self._made[name]
 
