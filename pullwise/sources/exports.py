@@ -77,7 +77,7 @@ class ExportDirectory:
         names = ingest.mapped_headers(self.headers, self.column_map)
         self._verdict = {r["file"]: r.asDict() for r in self.verdicts.collect()}        # one row per file
         self._names: dict[str, dict[str, str]] = {}
-        for r in names.where("name is not null").collect():                              # one row per file and header
+        for r in names.where("name is not null").orderBy("file", "header_ord").collect():                            # one row per file and header
             self._names.setdefault(r["file"], {})[r["header"]] = r["name"]
 
     @property
