@@ -101,8 +101,8 @@ def match_controls(df: DataFrame, label: str, out: str = "action", aliases: Data
     found = df.withColumn("_k", normalise_label(F.col(label))).join(F.broadcast(names), "_k", "left")
     best = F.col("_known")
     if aliases is not None:
-        table = aliases.select(normalise_label(F.col("shown")).alias("_k"), F.col("action").alias("_alias"))   # configuration
-        found, best = found.join(F.broadcast(table), "_k", "left"), F.coalesce("_alias", "_known")
+        table = aliases.select(normalise_label(F.col("shown")).alias("_k"), F.col("action").alias("_alias"))
+        found, best = found.join(table, "_k", "left"), F.coalesce("_alias", "_known")
     return found.withColumn(out, best).drop("_k", "_known", "_alias")
 
 

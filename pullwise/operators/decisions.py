@@ -38,8 +38,8 @@ def freshness(decisions: DataFrame, tasks_today: DataFrame) -> DataFrame:
     agent = ["provider", "model", "briefing"]
     samples = decisions.groupBy(*agent, "task_id").agg(
         F.count(F.lit(1)).alias("samples"), F.max("fingerprint").alias("recorded"))
-    tasks = F.broadcast(tasks_today.select("task_id", "fingerprint"))       # the configured tasks, a dozen rows
-    every = decisions.select(*agent).distinct().withColumn("all_tasks", F.lit(1)).join(tasks.withColumn("all_tasks", F.lit(1)), "all_tasks")
+    today = tasks_today.agg(F.collect_list(F.struct("task_id", "fingerprint"))).scalar()      # the configured tasks
+    every = decisions.select(*agent).distinct().select(*agent, F.inline(today))
     grid = every.join(samples, [*agent, "task_id"], "left")
     none = F.col("samples").isNull()
     stale = ~none & (F.col("recorded") != F.col("fingerprint"))

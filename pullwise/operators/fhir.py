@@ -133,19 +133,31 @@ def resources(layer: str, df: DataFrame) -> list[tuple[str, Column, Column]]:
         entity=if_set(r["subject_mrn"], F.array(obj(what=obj(identifier=obj(system=text(MRN_SYSTEM), value=r["subject_mrn"])))))))]
 
 
+def count_resources(layer: str, df: DataFrame) -> Column:
+    """How many resources a row yields."""
+    return sum((cond.cast("int") for _, cond, _ in resources(layer, df)), F.lit(0))
+
+
 def shape(layer: str, df: DataFrame, *keep: str | Column) -> DataFrame:
-    """One row per resource: (keep..., position, resource_type, resource as JSON)."""
+    """One row per resource: (keep..., position in the row from zero, resource_type, own_id, resource as JSON)."""
+    own = Row(df)["audit_event_id"] if layer == dims.INF else F.lit(None).cast("string")
     cells = F.array_compact(F.array(*[
-        F.when(cond, F.struct(F.lit(i).alias("position"), F.lit(kind).alias("resource_type"), F.to_json(made).alias("resource")))
-        for i, (kind, cond, made) in enumerate(resources(layer, df))]))
-    return df.select(*keep, F.inline(cells))
-
-
-def bundle(shaped: DataFrame, run: str = "run_id", order: str = "ord") -> DataFrame:
-    """Entries with stable ids: UUIDv5 of run/n, n the resource's position in the run. A resource's own id stays."""
-    rows = numbered(shaped, [run], order, out="n", start=0)
-    rid = uuid5_url(F.concat(F.col(run), F.lit("/"), F.col("n").cast("string")))
-    own = F.get_json_object("resource", "$.id")
-    with_id = F.when(own.isNotNull(), F.col("resource")).otherwise(F.concat(
-        F.substring(F.col("resource"), F.lit(1), F.length("resource") - 1), F.lit(',"id":"'), rid, F.lit('"}')))
-    return rows.withColumns({"full_url": F.concat(F.lit("urn:uuid:"), rid), "resource": with_id})
+        F.when(cond, F.struct(F.lit(kind).alias("resource_type"), own.alias("own_id"), F.to_json(made).alias("resource")))
+        for kind, cond, made in resources(layer, df)]))
+    return df.select(*keep, F.posexplode(cells).alias("position", "_r")).select("*", "_r.*").drop("_r")
+
+
+def bundle(layer: str, rows: DataFrame, *keep: str) -> DataFrame:
+    """Bundle entries of exported rows: rows carry run_id and ``resources_before``, the resources of the run's
+    rows before. Ids are stable: UUIDv5 of run/n, n the resource's place in the run. A resource's own id stays."""
+    shaped = shape(layer, rows, "run_id", "resources_before", *keep).withColumn("n", F.col("resources_before") + F.col("position"))
+    rid = uuid5_url(F.concat(F.col("run_id"), F.lit("/"), F.col("n").cast("string")))
+    with_id = F.when(F.col("own_id").isNotNull(), F.col("resource")).otherwise(F.concat(
+        F.substring(F.col("resource"), F.lit(1), F.length("resource") - 1), F.lit(',"id":"'), F.col("rid"), F.lit('"}')))
+    return shaped.withColumn("rid", rid).select(
+        "run_id", *keep, "n", "resource_type", F.concat(F.lit("urn:uuid:"), F.col("rid")).alias("full_url"), with_id.alias("resource"))
+
+
+def numbered_rows(layer: str, df: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows numbered within their run (``n``, from one), with the resources of the rows before: one pass."""
+    return numbered(df, ["run_id"], "row_ix", out="n", ties=ties, totals={"resources_before": count_resources(layer, df)})

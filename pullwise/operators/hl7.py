@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pullwise import dims
 from pullwise.functions.dates import hl7_date
-from pullwise.functions.text import blank_to_null, number_text, present
+from pullwise.functions.text import number_text
 
 # fixed values: header fields, message types and their structures
 SENDER, FACILITY, VERSION = "EXTRACTION", "HIS", "2.5"
@@ -90,4 +90,3 @@ def control_id(layer: str) -> Column:
     return F.concat(F.col("run_id"), F.lit(f"-{layer}-"), F.col("n").cast("string"))
 
 
-__all__ = ["segment", "message", "control_id", "patient_segment", "header", "blank_to_null", "present"]

@@ -43,7 +43,7 @@ def _word_hits(values: DataFrame, artefacts: DataFrame, keys: list[str], hot: in
     lookups = spread.select(*keys, "value", "words", "word", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     anchors = spread.groupBy(*keys, "word").agg(F.max("salts").alias("salts"))
     have = index.groupBy(*keys, "artefact_id").agg(F.collect_set("word").alias("have"))   # at most the artefact's own words
-    posted = (have.select(*keys, "artefact_id", "have", F.explode("have").alias("word")).join(anchors, [*keys, "word"])
+    posted = (index.join(anchors, [*keys, "word"]).join(have, [*keys, "artefact_id"])
               .withColumn("salt", F.pmod(F.xxhash64("artefact_id"), F.col("salts")).cast("int")))
     a, b = lookups.alias("a"), posted.alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "word", "salt")]

@@ -7,7 +7,7 @@ column is an integer whose values repeat at most a few times within a group; ``t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 65536
@@ -18,16 +18,23 @@ def _blocked(df: DataFrame, order: str, block: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, keys: list[str], order: str, out: str = "n", start: int = 1, block: int = BLOCK,
-             ties: tuple[str, ...] = ()) -> DataFrame:
-    """Adds the position of each row within its group, in order."""
-    rows = _blocked(df, order, block)
-    sizes = rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_size"))
+             ties: tuple[str, ...] = (), totals: dict[str, Column] | None = None) -> DataFrame:
+    """Adds the position of each row within its group, in order; ``totals`` adds, per name, the sum of an
+    expression over the rows before."""
+    totals = totals or {}
+    rows = _blocked(df, order, block).withColumns({f"_w_{k}": c.cast("bigint") for k, c in totals.items()})
+    sums = {"_before": F.lit(1), **{f"_w_{k}": F.col(f"_w_{k}") for k in totals}}
+    sizes = rows.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"{n}_size") for n, c in sums.items()])
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    within = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order, *ties))
-    return (rows.withColumn("_within", within).join(offsets, [*keys, "_block"])
-            .withColumn(out, (F.col("_within") + F.col("_before") + (start - 1)).cast("bigint"))
-            .drop("_block", "_within", "_before"))
+    offsets = sizes.select(*keys, "_block", *[F.coalesce(F.sum(f"{n}_size").over(before), F.lit(0)).alias(f"{n}_off") for n in sums])
+    inside = Window.partitionBy(*keys, "_block").orderBy(order, *ties)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumns({"_within": F.row_number().over(inside), **{
+        f"_in_{k}": F.coalesce(F.sum(f"_w_{k}").over(earlier), F.lit(0)) for k in totals}}).join(offsets, [*keys, "_block"])
+    added = {out: (F.col("_within") + F.col("_before_off") + (start - 1)).cast("bigint"),
+             **{k: F.col(f"_in_{k}") + F.col(f"_w_{k}_off") for k in totals}}
+    return placed.withColumns(added).drop("_block", "_within", "_before_off", *[f"_w_{k}" for k in totals],
+                                          *[f"_in_{k}" for k in totals], *[f"_w_{k}_off" for k in totals])
 
 
 def with_previous(df: DataFrame, keys: list[str], order: str, value: str, out: str, position: str | None = None,

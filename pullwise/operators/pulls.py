@@ -9,11 +9,18 @@ from pullwise import dims
 from pullwise.functions import masks
 
 
-def run_pulls(pulled: DataFrame) -> DataFrame:
-    """``pulled(run_id, row_ix, layer, field, ...)`` -> per run masks and counts.
+def run_masks(pulled: DataFrame) -> DataFrame:
+    """``pulled(run_id, layer, field, ...)`` -> per run the fields and categories pulled, as masks.
+
+    One hash aggregate with map-side combine: the cells shuffle as one number per run and map task, also
+    when a single run holds a third of them."""
+    bit = masks.field_bit(F.col("layer"), F.col("field"))
+    return (pulled.groupBy("run_id").agg(F.bit_or(bit).alias("field_mask"))
+            .withColumn("cat_mask", masks.categories_of_fields(F.col("field_mask"))))
+
 
-    One hash aggregate with map-side combine; a run holding a third of all cells costs one partial row
-    per map task. The exact record count is a two-level aggregate on (run, layer, row)."""
+def run_pulls(pulled: DataFrame) -> DataFrame:
+    """Per run the masks and the exact counts of records and values: a two-level aggregate on (run, layer, row)."""
     bit = masks.field_bit(F.col("layer"), F.col("field"))
     records = (pulled.withColumn("bit", bit).groupBy("run_id", "layer", "row_ix")
                .agg(F.bit_or("bit").alias("m"), F.count(F.lit(1)).alias("cells")))
@@ -28,11 +35,11 @@ def manifests(runs: DataFrame) -> DataFrame:
     return runs.withColumn("secondary_uses", F.split("secondary_use", ";")).drop("secondary_use")
 
 
-def runs_with_pulls(runs: DataFrame, pulled: DataFrame) -> DataFrame:
-    """Every run with what it pulled; runs that pulled nothing keep an empty mask."""
-    per_run = run_pulls(pulled)
+def runs_with_pulls(runs: DataFrame, pulled: DataFrame, counts: bool = False) -> DataFrame:
+    """Every run with what it pulled; runs that pulled nothing keep an empty mask. ``counts`` adds records and values."""
+    per_run = run_pulls(pulled) if counts else run_masks(pulled)
     return (manifests(runs).join(per_run, "run_id", "left")
-            .fillna(0, ["cat_mask", "field_mask", "records", "fields_pulled"]))
+            .fillna(0, ["cat_mask", "field_mask", *(["records", "fields_pulled"] if counts else [])]))
 
 
 def record_categories(pulled: DataFrame, *keys: str) -> DataFrame:

@@ -18,7 +18,8 @@ def paired_join(left: DataFrame, right: DataFrame, key: str, order: str, wanted:
     return out.select(*[c for c in wanted if c in out.columns]) if wanted else out
 
 
-def read_module(listing: DataFrame, details: DataFrame | None, wanted: list[str], key: str, where: dict | None = None) -> DataFrame:
+def read_module(listing: DataFrame, details: DataFrame | None, wanted: list[str], key: str, where: dict | None = None,
+                limit: int | None = None) -> DataFrame:
     """A module's records: the record pages are joined only when something asked for is not on the list."""
     cond = F.lit(True)
     for k, v in (where or {}).items():
@@ -34,4 +35,5 @@ def read_module(listing: DataFrame, details: DataFrame | None, wanted: list[str]
             if k not in listing.columns and k in rows.columns:
                 late = late & (F.col(k).cast("string") == str(v))
         rows = rows.where(late)
-    return rows.select(*[f for f in wanted if f in rows.columns])
+    out = rows.select(*[f for f in wanted if f in rows.columns])
+    return out if limit is None else out.limit(limit)       # a reader's own limit, none by default

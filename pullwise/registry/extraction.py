@@ -181,7 +181,7 @@ cost as (select r.run_id, r.technique, coalesce(g.fetches, 0) as fetches, coales
 def run_costs(t):
     from pullwise.functions.masks import choose, has
     tasks = {**dims.TASKS, **dims.INJECTION_TASKS}
-    runs = pulls.runs_with_pulls(t["runs"], t["pulled"])
+    runs = pulls.runs_with_pulls(t["runs"], t["pulled"], counts=True)
     fetched = sum((has(F.col("field_mask"), dims.layer_mask(layer)).cast("int") for layer in dims.LAYERS), F.lit(0))
     return extract.with_cost(runs.withColumns({
         "needed_mask": choose(F.col("task_id"), {k: dims.task_mask(v[4]) for k, v in tasks.items()}, 0).cast("bigint"),

@@ -140,8 +140,8 @@ left join field_aliases a on lower(regexp_replace(trim(a.shown), '\\s+', ' ', 'g
     "shown_headers", "field_aliases"))
 def header_alias(t):
     """Displayed headers mapped to fields, whatever their case and spacing."""
-    aliases = t["field_aliases"].select(header_key(F.col("shown")).alias("k"), "field")     # configuration, a few rows
-    return (t["shown_headers"].withColumn("k", header_key(F.col("header"))).join(F.broadcast(aliases), "k", "left")
+    aliases = t["field_aliases"].select(header_key(F.col("shown")).alias("k"), "field")
+    return (t["shown_headers"].withColumn("k", header_key(F.col("header"))).join(aliases, "k", "left")
             .select("page", "ord", "header", F.coalesce("field", "header").alias("field")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pullwise import dims
 from pullwise.functions import crypto, text
-from pullwise.operators import fhir, hl7, leaks, ordinals, privacy
+from pullwise.operators import fhir, hl7, leaks, privacy
 from pullwise.registry.base import query, with_views
 from pullwise.session import written
 from pullwise.sources.tables import add_view
@@ -42,7 +42,7 @@ def ties_of(layer: str, prefix: str = "") -> list[str]:
 
 def exported(t, layer):
     df = privacy.normalise_rows(layer, t[f"export_{layer}"], KEY, F.col("pseudonymised"))
-    return ordinals.numbered(df, ["run_id"], "row_ix", out="n", ties=tuple(ties_of(layer)))
+    return fhir.numbered_rows(layer, df, tuple(ties_of(layer)))
 
 
 def seg_sql(name: str, fields: dict[int, str]) -> str:
@@ -163,16 +163,11 @@ entries as (select run_id, row_ix, pos, resource_type, 'urn:uuid:' || {UUID_SQL}
   case when resource_type = 'AuditEvent' then body else substr(body, 1, length(body) - 1) || ',"id":"' || {UUID_SQL} || '"}}' end as resource from hashed)"""
 
 
-def shaped(t, layer):
-    return fhir.shape(layer, exported(t, layer), "run_id", "row_ix", F.col("n").alias("row_n")).withColumn(
-        "ord", F.col("row_n") * 8 + F.col("position"))
-
-
 def _fhir_query(layer):
     @query(FHIR_NAME[layer], with_views("select run_id, row_ix, pos as n, resource_type, full_url, resource from entries",
                                         f"export_{layer}", extra=rows_sql(layer) + "," + shaped_sql(layer)))
     def run(t):
-        return fhir.bundle(shaped(t, layer)).select("run_id", "row_ix", "n", "resource_type", "full_url", "resource")
+        return fhir.bundle(layer, exported(t, layer), "row_ix")
 
 
 for _layer in FHIR_NAME:
@@ -201,7 +196,7 @@ select run_id, count(*) as hl7_messages, sum(2)::bigint as fhir_resources, min(r
 def export_counts(t):
     """Messages and resources of every export, and its first row for a reader."""
     rows = t[f"export_{dims.FIN}"]
-    per_row = sum((c.cast("int") for _, c, _ in fhir.resources(dims.FIN, rows)), F.lit(0))
+    per_row = fhir.count_resources(dims.FIN, rows)
     return rows.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("hl7_messages"), F.sum(per_row).alias("fhir_resources"), F.min("row_ix").alias("first_row"),
         F.lit(",".join(privacy.skipped_standards(dims.FIN)) or "none").alias("skipped"))

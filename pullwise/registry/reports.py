@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pullwise import dims
-from pullwise.functions import crypto, dates, masks
+from pullwise.functions import crypto, masks
 from pullwise.operators import access, audit, pulls, retention
 from pullwise.registry.base import query, with_views
 from pullwise.registry.interop import token_sql
-from pullwise.sources.tables import add_view, values
+from pullwise.sources.tables import add_view
 
 NOW = "2024-01-10 00:00:00"
 
@@ -40,7 +40,7 @@ def subjects(t):
 
 
 def masks_of_runs(t):
-    return pulls.run_pulls(t["pulled"])
+    return pulls.run_masks(t["pulled"])
 
 
 def ts(c):
@@ -279,7 +279,7 @@ from (select distinct role from role_purposes) q""",
     extra="run_cat as (select distinct run_id, category from pulled), seen as (select distinct category from run_cat join runs using (run_id))"))
 def role_scopes(t):
     """Runs whose records each role may look at, and the categories it would be withheld."""
-    per_run = pulls.run_pulls(t["pulled"]).join(t["runs"].select("run_id"), "run_id", "left_semi")
+    per_run = pulls.run_masks(t["pulled"]).join(t["runs"].select("run_id"), "run_id", "left_semi")
     totals = per_run.agg(F.count(F.lit(1)).alias("runs"), F.bit_or("cat_mask").alias("cat_mask"))
     cells = [F.struct(F.lit(r).alias("role"), F.col("runs"), masks.category_list(
         F.col("cat_mask").bitwiseAND(access.role_scope(r)["withheld"])).alias("withheld")) for r in dims.ROLES]
@@ -306,4 +306,3 @@ def role_functions(t):
         F.sum("n").alias("asked"), F.sum(F.when(F.col("allowed"), F.col("n")).otherwise(0)).alias("permitted"))
 
 
-__all__ = ["values", "dates"]

@@ -131,7 +131,7 @@ group by 1, 2""", "pulled", "purpose_policy", "purpose_allowed", extra="run_cat
 def purpose_nesting(t):
     """No purpose's scope holds another's: for each ordered pair, the runs that carry a category only the first allows."""
     pairs = [(a, b, dims.allowed_mask(a) & ~dims.allowed_mask(b)) for a in dims.PURPOSES for b in dims.PURPOSES if a != b]
-    per_run = pulls.run_pulls(t["pulled"]).select("cat_mask")
+    per_run = pulls.run_masks(t["pulled"]).select("cat_mask")
     counts = per_run.agg(*[F.count_if(masks.has(F.col("cat_mask"), m)).alias(f"n{i}") for i, (_, _, m) in enumerate(pairs)])
     return counts.select(F.inline(F.array(*[
         F.struct(F.lit(a).alias("purpose"), F.lit(b).alias("other"), F.col(f"n{i}").alias("runs_only_here"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pullwise import dims
 from pullwise.operators import fhir, hl7, privacy, retention
-from pullwise.operators.ordinals import numbered
 
 
 def write_layers(layers: dict[str, DataFrame], directory: str) -> DataFrame:
@@ -27,13 +26,12 @@ def write_layers(layers: dict[str, DataFrame], directory: str) -> DataFrame:
 
 def shape_export(layer: str, rows: DataFrame, key: str, when: str) -> tuple[DataFrame | None, DataFrame]:
     """(messages, bundle entries) of exported rows: rows carry run_id, row_ix and ``pseudonymised``."""
-    safe = numbered(privacy.normalise_rows(layer, rows, key, F.col("pseudonymised")), ["run_id"], "row_ix", out="n")
+    safe = fhir.numbered_rows(layer, privacy.normalise_rows(layer, rows, key, F.col("pseudonymised")))
     messages = None
     if "hl7_v2" in dims.LAYER_STANDARDS[layer]:
         cid = hl7.control_id(layer)
         messages = safe.select("run_id", "n", hl7.message(layer, safe, cid, when).alias("message"))
-    shaped = fhir.shape(layer, safe, "run_id", "n").withColumn("ord", F.col("n") * 8 + F.col("position")).drop("n")
-    return messages, fhir.bundle(shaped)
+    return messages, fhir.bundle(layer, safe)
 
 
 def write_export(layer: str, rows: DataFrame, directory: str, key: str, when: str) -> None:

@@ -140,7 +140,7 @@ def with_field(df: DataFrame, header: str, aliases: DataFrame | None, out: str =
     if aliases is None:
         return df.withColumn(out, F.col(header))
     table = aliases.select(header_key(F.col("shown")).alias("_k"), F.col("field").alias("_f"))
-    joined = df.withColumn("_k", header_key(F.col(header))).join(F.broadcast(table), "_k", "left")   # configuration
+    joined = df.withColumn("_k", header_key(F.col(header))).join(table, "_k", "left")
     return joined.withColumn(out, F.coalesce("_f", F.col(header))).drop("_k", "_f")
 
 
