@@ -49,9 +49,25 @@ def shortfall(layers: dict[str, DataFrame], tasks: dict) -> str | None:
 
 def first_subject(layers: dict[str, DataFrame]) -> DataFrame:
     """The first patient of the registration layer, as one row (subject)."""
+    if dims.PA not in layers or "mrn" not in layers[dims.PA].columns:
+        spark = next(iter(layers.values())).sparkSession
+        return spark.createDataFrame([(None,)], "subject string")
     return layers[dims.PA].agg(F.min_by(F.col("mrn"), F.col("row_ix")).alias("subject"))
 
 
+def pull_rows(layers: dict[str, DataFrame], needed: dict[str, tuple[str, ...]], subject: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The rows a task needs: exactly its fields, of one subject where one is given (a one-row frame)."""
+    out = {}
+    for name, fields in needed.items():
+        if name not in layers:
+            continue
+        df = layers[name]
+        if subject is not None:
+            df = df.where(F.col(dims.SUBJECT_KEY[name]) == subject.scalar())
+        out[name] = df.select("row_ix", *[f for f in fields if f in df.columns])
+    return out
+
+
 def presence(layer: str, df: DataFrame) -> Column:
     bits = [F.when(F.col(f).isNotNull(), F.lit(dims.FIELD_BIT[layer, f])).otherwise(0)
             for f in dims.FIELD_CATALOGUE[layer] if f in df.columns]
@@ -64,7 +80,8 @@ def presence_profile(layers: dict[str, DataFrame], subject: DataFrame, today: da
     ``subject`` is a one-row frame used as a scalar subquery."""
     parts = []
     for name, df in layers.items():
-        own = F.coalesce(F.col(dims.SUBJECT_KEY[name]) == subject.scalar(), F.lit(False))
+        key = dims.SUBJECT_KEY[name]
+        own = F.coalesce(F.col(key) == subject.scalar(), F.lit(False)) if key in df.columns else F.lit(False)
         young = minor(F.col("date_of_birth"), today) if "date_of_birth" in df.columns else F.lit(False)
         parts.append(df.select(F.lit(name).alias("layer"), presence(name, df).alias("mask"), own.alias("own"),
                                young.alias("minor"))

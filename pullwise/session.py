@@ -17,6 +17,17 @@ SETTINGS = {
 }
 
 
+def cluster_settings(input_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for a cluster run: input splits of 256 MB, and enough shuffle partitions for about 128 MB each.
+
+    Adaptive execution merges what turns out small and splits what turns out skewed, so erring high is cheap."""
+    partitions = max(2 * cores, -(-input_bytes // (128 << 20)))
+    return {**SETTINGS, "spark.sql.files.maxPartitionBytes": str(256 << 20),
+            "spark.sql.shuffle.partitions": str(min(partitions, 200_000)),
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+            "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+
+
 def local_session(cpus: int | None = None, name: str = "pullwise") -> SparkSession:
     """A local session for tests and benchmarks."""
     n = cpus or min(8, os.cpu_count() or 2)
@@ -41,6 +52,8 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if spark.sparkContext.getCheckpointDir():
+        return spark.sparkContext.getCheckpointDir().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
