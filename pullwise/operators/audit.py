@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pullwise import dims
-from pullwise.functions import dates, masks
+from pullwise.functions import crypto, dates, masks
 from pullwise.operators.ordinals import with_previous
 
 CHAIN_LENGTH = 256          # events per chain: the log is rotated, so building one is a bounded fold
@@ -60,6 +60,25 @@ def event_body() -> Column:
                               "technique", "purpose", "records", "unattributed", "scoped", "note"))
 
 
+def subjects_in(rows: DataFrame, layer: str, key: str, scopes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(run_id, token) of the patients the rows carry, and (run_id, unattributed) rows without a key.
+
+    ``scopes(run_id, scoped_to)``: a run filtered to one patient always names that patient, and its keyless
+    rows are that patient's."""
+    name = dims.SUBJECT_KEY[layer]
+    value = F.nullif(F.col(name).cast("string"), F.lit("")) if name in rows.columns else F.lit(None).cast("string")
+    keyed = rows.select("run_id", value.alias("subject"))
+    scoped_to = F.lit(None).cast("string")
+    if scopes is not None:
+        keyed, scoped_to = keyed.join(scopes, "run_id", "left"), F.col("scoped_to")
+        named = keyed.select("run_id", "subject").unionAll(scopes.select("run_id", "scoped_to"))
+    else:
+        named = keyed
+    tokens = named.where("subject is not null").distinct().select("run_id", crypto.token(F.col("subject"), key).alias("token"))
+    lost = keyed.groupBy("run_id").agg(F.count_if(F.col("subject").isNull() & scoped_to.isNull()).alias("unattributed"))
+    return tokens, lost
+
+
 def tail(events: DataFrame, n: int) -> DataFrame:
     """The last n events (a report of its own)."""
     return events.orderBy(F.col("seq").desc()).limit(n)

@@ -52,8 +52,7 @@ def run(spark: SparkSession, directory: str, out: str, task_id: str, key: str, w
 
     messages = entries = None
     for layer, df in raw.items():
-        sinks.write_export(layer, df, out, key, when)
-        m, e = sinks.shape_export(layer, df, key, when)
+        m, e = sinks.write_export(layer, df, out, key, when)
         if m is not None:
             messages = m if messages is None else messages.unionAll(m)
         entries = e if entries is None else entries.unionAll(e)

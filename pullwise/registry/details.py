@@ -84,3 +84,15 @@ def breach_categories(t):
     return pulls.run_masks(t["pulled"]).join(exported, "run_id", "left_semi").select("run_id", F.array_join(plain, "; ").alias("exposed"))
 
 
+
+
+@query("first_pass_totals", with_views("""
+select technique, (select count(*) from (select distinct run_id, layer, row_ix from pulled) d join first_runs f2 using (run_id) where f2.technique = f.technique) as record_count,
+ count(*) as field_slots from first_runs f join (select distinct run_id, layer, row_ix, category from pulled) c using (run_id) group by 1""", "runs", "pulled",
+    extra="first_runs as (select technique, arg_min(run_id, run_ord) as run_id from runs group by technique, task_id)"))
+def first_pass_totals(t):
+    """What one pass of the workload pulled: each technique's first run of every task, merged."""
+    first = t["runs"].groupBy("technique", "task_id").agg(F.min_by("run_id", "run_ord").alias("run_id"))
+    records = pulls.record_categories(t["pulled"].join(first, "run_id", "left_semi"), "run_id")
+    per_run = pulls.summarise(records, "run_id").join(first.join(t["runs"].select("run_id", "purpose"), "run_id"), "run_id")
+    return pulls.merge_summaries(per_run, "technique").select("technique", "record_count", "field_slots")

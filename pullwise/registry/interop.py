@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from pullwise import dims
@@ -190,16 +192,30 @@ def generalise_k_anonymity(t):
     return privacy.k_anonymity(privacy.generalise(t[dims.PA]), "admission_ward")
 
 
-@query("export_counts", with_views("""
-select run_id, count(*) as hl7_messages, sum(2)::bigint as fhir_resources, min(row_ix) as first_row,
- string_agg(distinct 'none', ',') as skipped from x group by 1""", f"export_{dims.FIN}", extra=rows_sql(dims.FIN)))
+COUNTS_SQL = " union all ".join(
+    f"select run_id, '{layer}' as layer, {'count(*)' if layer in MESSAGE_SQL else '0'} as hl7_messages, "
+    f"sum({' + '.join(f'({when})::int' for _, when, _ in FHIR_SQL[layer])})::bigint as fhir_resources, "
+    f"'{','.join(privacy.skipped_standards(layer))}' as skipped from export_{layer} group by 1" for layer in dims.LAYERS)
+
+
+@query("export_counts", with_views(COUNTS_SQL, *[f"export_{layer}" for layer in dims.LAYERS]))
 def export_counts(t):
-    """Messages and resources of every export, and its first row for a reader."""
-    rows = t[f"export_{dims.FIN}"]
-    per_row = fhir.count_resources(dims.FIN, rows)
-    return rows.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("hl7_messages"), F.sum(per_row).alias("fhir_resources"), F.min("row_ix").alias("first_row"),
-        F.lit(",".join(privacy.skipped_standards(dims.FIN)) or "none").alias("skipped"))
+    """Messages and resources of every export and layer, and the standards not shaped."""
+    parts = []
+    for layer in dims.LAYERS:
+        rows = t[f"export_{layer}"]
+        messages = F.count(F.lit(1)) if layer in hl7.MESSAGE_OF else F.lit(0).cast("bigint")
+        parts.append(rows.groupBy("run_id").agg(messages.alias("hl7_messages"), F.sum(fhir.count_resources(layer, rows)).alias("fhir_resources")).select(
+            "run_id", F.lit(layer).alias("layer"), "hl7_messages", "fhir_resources", F.lit(",".join(privacy.skipped_standards(layer))).alias("skipped")))
+    return reduce(lambda a, b: a.unionAll(b), parts)
+
+
+@query("export_samples", with_views(f"select run_id, {MESSAGE_SQL[dims.FIN]} as message from x where n = 1", f"export_{dims.FIN}", extra=rows_sql(dims.FIN)))
+def export_samples(t):
+    """The first message of every billing export, for a reader: the first row is found before anything is shaped."""
+    first = t[f"export_{dims.FIN}"].groupBy("run_id").agg(F.min_by(F.struct("*"), "row_ix").alias("r")).select("r.*")
+    row = privacy.normalise_rows(dims.FIN, first, KEY, F.col("pseudonymised")).withColumn("n", F.lit(1))
+    return row.select("run_id", hl7.message(dims.FIN, row, hl7.control_id(dims.FIN), WHEN).alias("message"))
 
 
 # --- leak searches ---------------------------------------------------------------------------------------

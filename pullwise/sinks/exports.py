@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pullwise import dims
 from pullwise.operators import fhir, hl7, privacy, retention
+from pullwise.session import written
 
 
 def write_layers(layers: dict[str, DataFrame], directory: str) -> DataFrame:
@@ -34,13 +35,18 @@ def shape_export(layer: str, rows: DataFrame, key: str, when: str) -> tuple[Data
     return messages, fhir.bundle(layer, safe)
 
 
-def write_export(layer: str, rows: DataFrame, directory: str, key: str, when: str) -> None:
-    """Messages as text and resources as newline-delimited JSON, partitioned by run so a purge drops folders."""
+def write_export(layer: str, rows: DataFrame, directory: str, key: str, when: str) -> tuple[DataFrame | None, DataFrame]:
+    """Messages as text and resources as newline-delimited JSON, partitioned by run so a purge drops folders.
+
+    Rows are shaped once; what was written is returned for counting and auditing."""
     messages, entries = shape_export(layer, rows, key, when)
+    entries = written(entries, "entries")
     if messages is not None:
+        messages = written(messages, "messages")
         lines = messages.select("run_id", F.replace("message", F.lit("\r"), F.lit("\n")).alias("value"))
         lines.write.mode("append").partitionBy("run_id").text(f"{directory}/hl7/{layer}")
     entries.select("run_id", F.col("resource").alias("value")).write.mode("append").partitionBy("run_id").text(f"{directory}/fhir/{layer}")
+    return messages, entries
 
 
 def export_events(rows: DataFrame, messages: DataFrame | None, entries: DataFrame, retention_table: DataFrame) -> DataFrame:

@@ -54,6 +54,18 @@ def test_access_and_processing_reports(spark):
     assert listing == "financial: billed_amount"
 
 
+def test_subjects_of_rows(spark):
+    rows = spark.createDataFrame([("a", "M1"), ("a", "M1"), ("a", None), ("b", ""), ("b", "M2")], "run_id string, mrn string")
+    tok = lambda v: spark.range(1).select(crypto.token(F.lit(v), "k")).collect()[0][0]
+    t, lost = audit.subjects_in(rows, dims.PA, "k")
+    assert {(r.run_id, r.token) for r in t.collect()} == {("a", tok("M1")), ("b", tok("M2"))}
+    assert {r.run_id: r.unattributed for r in lost.collect()} == {"a": 1, "b": 1}
+    scopes = spark.createDataFrame([("a", "M9")], "run_id string, scoped_to string")
+    t, lost = audit.subjects_in(rows, dims.PA, "k", scopes)
+    assert ("a", tok("M9")) in {(r.run_id, r.token) for r in t.collect()}
+    assert {r.run_id: r.unattributed for r in lost.collect()} == {"a": 0, "b": 1}
+
+
 def test_breach(spark):
     df = events(spark, [ev(0, "extraction", "a", scoped=True), ev(1, "export", "a", note="RAW export", unattributed=3),
                         ev(2, "extraction", "b"), ev(3, "export", "b", note="pseudonymised export", unattributed=4)])
