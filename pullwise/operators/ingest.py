@@ -125,14 +125,20 @@ def validation_errors(layer: str, df: DataFrame, row: str = "row_ix") -> DataFra
     return df.select(row, first.alias("e")).where("e is not null").select(row, "e.*")
 
 
+def _fields(df: DataFrame) -> set[str]:
+    return set(df.columns) - {"source_file"}
+
+
 def stack(files: dict[str, DataFrame]) -> DataFrame:
-    """Several files of one layer as one table: rows keep their own file's fields, never joined on the key."""
-    parts = [df.withColumn("source_file", F.lit(name)) for name, df in files.items()]
+    """Several files of one layer as one table: rows keep their own file's fields, never joined on the key.
+
+    A frame that covers several files of one header names them itself in ``source_file``."""
+    parts = [df if "source_file" in df.columns else df.withColumn("source_file", F.lit(name)) for name, df in files.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def is_stacked(files: dict[str, DataFrame]) -> bool:
-    return len({frozenset(df.columns) for df in files.values()}) > 1
+    return len({frozenset(_fields(df)) for df in files.values()}) > 1
 
 
 def relevant_files(layer: str, files: dict[str, DataFrame], fields: list[str] | None) -> dict[str, DataFrame]:
@@ -140,18 +146,16 @@ def relevant_files(layer: str, files: dict[str, DataFrame], fields: list[str] |
     asked = set(fields or ()) - {dims.SUBJECT_KEY[layer]}
     if not asked or not is_stacked(files):
         return files
-    return {name: df for name, df in files.items() if asked & set(df.columns)}
+    return {name: df for name, df in files.items() if asked & _fields(df)}
 
 
 def fetch_stacked(layer: str, files: dict[str, DataFrame], fields: list[str] | None = None,
                   where: dict | None = None) -> DataFrame:
     """Fetch from a layer of several files: files that carry nothing asked for are never scanned."""
-    every = {c for df in files.values() for c in df.columns}
+    every = {c for df in files.values() for c in _fields(df)}
     chosen = relevant_files(layer, files, fields)
-    table = stack(chosen) if chosen else stack(files).limit(0)
+    table = stack(chosen) if chosen else stack(files).where(F.lit(False))
     for k, v in (where or {}).items():
-        if k not in every:
-            return table.where(F.lit(False))
         table = table.where(F.col(k).cast("string") == str(v)) if k in table.columns else table.where(F.lit(False))
     wanted = [f for f in (fields or sorted(every)) if f in table.columns]
     return table.select("source_file", *wanted)

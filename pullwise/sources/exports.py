@@ -96,21 +96,6 @@ class ExportDirectory:
         return df.select(F.lit(name).alias("source_file") if "source_file" not in df.columns else F.col("source_file"),
                          *[F.col(f"`{h}`").alias(f) for f, h in keep.items()])
 
-    def raw_files(self, layer: str) -> dict[str, DataFrame]:
-        """Each accepted file of a layer, renamed to catalogue fields, values as written. Same header: one scan."""
-        out: dict[str, DataFrame] = {}
-        for name in self.accepted:
-            if self._verdict[name]["layer"] != layer:
-                continue
-            if name in self._json:
-                out[name] = self._renamed(name, self._json[name]).drop("source_file")
-                continue
-            path, headers = self._csv[name]
-            schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
-            df = self.spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
-            out[name] = self._renamed(name, df).drop("source_file")
-        return out
-
     def _groups(self, layer: str) -> list[tuple[list[str], DataFrame]]:
         groups: dict[tuple, list[str]] = {}
         for name in self.accepted:
@@ -138,8 +123,11 @@ class ExportDirectory:
         return {k: v for k, v in found.items() if v is not None}
 
     def fetch(self, layer: str, fields: list[str] | None = None, where: dict | None = None) -> DataFrame:
-        files = {n: ingest.normalise_columns(df, self.dayfirst) for n, df in self.raw_files(layer).items()}
-        return ingest.fetch_stacked(layer, files, fields, where)
+        """Projection and filter over a layer; only the header groups that carry something asked for are scanned."""
+        groups = {names[0]: ingest.normalise_columns(df, self.dayfirst) for names, df in self._groups(layer)}
+        if not groups:
+            raise KeyError(f"no file of layer {layer}")
+        return ingest.fetch_stacked(layer, groups, fields, where)
 
     def report(self) -> DataFrame:
         """One row per file: layer, confidence, rows, unparsed values, dropped and blanked headers, refusal."""
