@@ -103,7 +103,7 @@ def substantiate(runs: DataFrame, **register) -> DataFrame:
         "notice_reference": F.when(keep_notice, F.col("notice_reference")),
         "notice_machine_readable": _flag("notice_machine_readable") & good("machine-readable notice"),
         "audit_log_enabled": F.col("audit_log_enabled") & good("audit log"),
-        "accountable_party": F.when(good("accountable party"), F.col("accountable_party")),
+        "accountable_party": F.when(good("accountable party") | ~_has_text(F.col("accountable_party")), F.col("accountable_party")),
         "processing_record_kept": F.col("processing_record_kept") & good("record of processing"),
         "basis_reference": F.when(good("lawful-basis reference"), F.col("basis_reference")),
     })

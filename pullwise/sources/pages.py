@@ -1,13 +1,13 @@
 """HTML pages of a portal as tables.
 
-Only the mark-up itself needs Python: one small standard-library parser per page, run in Arrow batches by
+Only the mark-up itself needs Python: one small tokenizer per page, run in Arrow batches by
 ``mapInArrow`` on whole pages. Everything after that - records, field names, modules, layers - is
 DataFrame work. Links alone need no parser and stay in the JVM (``page_links``)."""
 
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from html import unescape
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -28,17 +28,38 @@ PAGE_OF = re.compile(r"page\s+(\d+)\s+of\s+(\d+)", re.IGNORECASE)
 RECORDS = re.compile(r"(\d+)\s+records?\b", re.IGNORECASE)
 
 
-class _Page(HTMLParser):
+# A page as tokens: comments, scripts and styles (skipped), tags with their attributes, and text.
+TOKEN = re.compile(r"""<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-z][a-z0-9]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|([^<]+)|<""",
+                   re.DOTALL | re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([a-z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+
+
+def _attributes(source: str) -> dict[str, str | None]:
+    return {k.lower(): unescape(v[1:-1] if v[:1] in "\"'" else v) if v else None for k, v in ATTRIBUTE.findall(source)}
+
+
+class _Page:
     """Collects cells, links, buttons and forms inside <main>."""
 
     def __init__(self, base: str) -> None:
-        super().__init__()
         self.base, self.main = base, 0
         self.text, self.headers, self.rows, self.links, self.buttons, self.forms = [], [], [], [], [], []
         self.section = self.cell = self.anchor = self.button = self.form = None
 
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
+    def read(self, html: str) -> None:
+        for m in TOKEN.finditer(html):
+            _, closing, tag, source, data = m.groups()
+            if data is not None:
+                if self.main:
+                    self.handle_data(unescape(data) if "&" in data else data)
+            elif tag is not None:
+                tag = tag.lower()
+                if closing:
+                    self.handle_endtag(tag)
+                elif tag == "main" or self.main:
+                    self.handle_starttag(tag, _attributes(source) if tag in ("a", "form", "input") else {})
+
+    def handle_starttag(self, tag, a):
         if tag == "main":
             self.main += 1
         if not self.main:
@@ -90,8 +111,6 @@ class _Page(HTMLParser):
             self.button = None
 
     def handle_data(self, data):
-        if not self.main:
-            return
         self.text.append(data)
         if self.cell is not None:
             self.cell["text"] += data
@@ -103,8 +122,7 @@ class _Page(HTMLParser):
 
 def parse_page(url: str, html: str) -> dict:
     p = _Page(url)
-    p.feed(html or "")
-    p.close()
+    p.read(html or "")
     text = "".join(p.text)
     actions = bool(p.headers) and p.headers[-1] == ""
     place, count = PAGE_OF.search(text), RECORDS.search(text)

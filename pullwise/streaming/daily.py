@@ -5,6 +5,8 @@ stays a batch job, since it needs each line's predecessor."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -29,12 +31,13 @@ def daily_activity(events: DataFrame, late: str = "2 days") -> DataFrame:
             .select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "purpose", "events", "extractions", "exports", "purges", "records"))
 
 
-def run_available(daily: DataFrame, name: str = "daily") -> DataFrame:
+def run_available(daily: DataFrame, name: str = "daily", base: str | None = None) -> DataFrame:
     """Processes what is there, then stops. Append mode writes only days the watermark has closed.
 
-    Output and checkpoint lie in the shared folder, so a lost executor or a restart resumes exactly."""
+    Output and checkpoint lie in the shared folder. Give the same ``base`` to a later run to resume exactly
+    where this one stopped; without one, every run starts afresh."""
     spark = daily.sparkSession
-    base = f"{session.shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{id(daily)}"
+    base = f"{session.shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}" if base is None else base
     q = (daily.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
