@@ -83,7 +83,7 @@ COST_COLUMNS = ["technique", "task_id", "compliance_score", "fetches", "records"
 
 
 @query("technique_costs", with_views("""
-select technique, task_id, s.score::double as compliance_score, r.fetches, r.records, v.fields_pulled, v.distinct_fields, n.needed_fields, v.matched_fields,
+select technique, task_id, s.score::double as compliance_score, r.fetches, r.records, v.fields_pulled, v.distinct_fields::int as distinct_fields, n.needed_fields::int as needed_fields, v.matched_fields::int as matched_fields,
  k.necessary, round(v.matched_fields * 1.0 / n.needed_fields, 3)::double as coverage, round(v.distinct_fields * 1.0 / n.needed_fields, 3)::double as excess_ratio,
  (case when k.necessary > 0 then round(r.records * 1.0 / k.necessary, 3) end)::double as record_excess
 from scored s join rec r using (technique, task_id) left join val v using (technique, task_id) join need n using (task_id) left join necessary k using (task_id)
