@@ -45,7 +45,7 @@ def running_totals(lengths: Column, block: int = 256) -> Column:
     def by_blocks(a: Column) -> Column:
         firsts = F.sequence(F.lit(1), F.size(a), F.lit(block))
         return let(F.transform(firsts, lambda i: F.slice(a, i, F.lit(block))), lambda parts: let(
-            prefixes(F.transform(parts, array_sum)),
+            prefixes(F.transform(parts, lambda p: array_sum(p))),
             lambda before: F.flatten(F.transform(parts, lambda p, i: F.transform(prefixes(p), lambda x: x + F.get(before, i))))))
 
     return let(lengths.cast("array<long>"), lambda a: F.when(F.size(a) > 0, by_blocks(a)).otherwise(F.array().cast("array<long>")))

@@ -125,7 +125,7 @@ def fill(sizes: list[int], stock: list[int], capacity: int) -> list[int]:
     return out
 
 
-def plan(counts: dict[int, int], capacity: int = 2048, groups: int = 48) -> tuple[np.ndarray, int]:
+def plan(counts: dict[int, int], capacity: int = 2048, groups: int = 512) -> tuple[np.ndarray, int]:
     """Runs (length, first rank, how many, first sequence, offset) that pack counts[length] pieces, and the number of sequences."""
     used_up = {n: 0 for n in counts}                            # ranks given out so far
     large = sorted((n for n in counts if n > capacity // 8), reverse=True)
@@ -204,7 +204,7 @@ def _placer(runs):
     return run
 
 
-def placed(cut: DataFrame, capacity: int = 2048, groups: int = 48) -> DataFrame:
+def placed(cut: DataFrame, capacity: int = 2048, groups: int = 512) -> DataFrame:
     """Per piece its ids' checksum, task and rank there (with the length its key), sequence and offset."""
     spark = cut.sparkSession
     per_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
@@ -221,12 +221,12 @@ def placed(cut: DataFrame, capacity: int = 2048, groups: int = 48) -> DataFrame:
                              "sequence_id long, offset long")
 
 
-def place(cut: DataFrame, capacity: int = 2048, groups: int = 48) -> DataFrame:
+def place(cut: DataFrame, capacity: int = 2048, groups: int = 512) -> DataFrame:
     """Per piece its ids' checksum, sequence and offset."""
     return placed(cut, capacity, groups).drop("task", "rank")
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = 2048, groups: int = 48) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = 2048, groups: int = 512) -> DataFrame:
     """Pieces with their ids, sequence and offset."""
     cut = pieces(docs, tokenizer, capacity)
     where = placed(cut, capacity, groups).select("length", "task", "rank", "sequence_id", "offset")

@@ -5,15 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pullwise.llm import host_quality, jaccard, line_dedup, mixing, packing
+from pullwise.llm import (fingerprints, host_quality, jaccard, langid, line_dedup, lm_score, mixing, packing, pseudonyms,
+                          secret_scan)
 from pullwise.llm.common import read
 
+PSEUDONYM_KEY = "demonstration key"     # a deployment passes its own
+
+
+def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(read(spark, sf_dir, "documents"))
+
 
 def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
 
 
+def lm_score_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much more like the benchmark's texts than like the corpus each document is."""
+    return lm_score.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(packing.pieces(read(spark, sf_dir, "documents")))
 
@@ -22,6 +35,16 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(read(spark, sf_dir, "documents"))
 
 
+def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"),
+                        secret_scan.joined(F.col("found")).alias("spans"))
+
+
+def pseudonyms_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.component_ids(jaccard.near_duplicates(read(spark, sf_dir, "documents")))
 
@@ -30,12 +53,21 @@ def host_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.judge(read(spark, sf_dir, "documents"))
 
 
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": fingerprints_query,
     "op2_line_dedup": line_dedup_query,
+    "op3_lm_score": lm_score_query,
     "op4_best_fit_packing": packing_query,
     "op5_source_mixing": mixing_query,
+    "op6_secret_scan": secrets_query,
     "op7_jaccard_join": jaccard_query,
+    "op8_pseudonyms": pseudonyms_query,
     "op9_host_quality": host_quality_query,
+    "op10_language": language_query,
 }
 
 SQL: dict[str, str] = {}
