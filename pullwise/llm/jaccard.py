@@ -13,9 +13,11 @@ lopsided sets) meet under one catch-all signature of their scheme. A pair is fou
 
 Equal sets form one class and are compared once. Signatures travel as packed arrays by bucket. Within a map task equal
 signatures are pre-aggregated: the least class stands for the others, so a signature that a third of all rows share
-arrives once per task. Each group first links its members to its least one; links are verified exactly on the whole
-sets; then all pairs of a group that are still in different components are verified too, so no link is lost and no
-group of mutual copies is expanded into its pairs.
+arrives once per task. Of the sets that met, each one's shingles that no other of them holds are counted: they are part of
+every difference, so sets with too many link with nothing, and pairs with too many together needn't be formed. Each group
+first links its members to the one with the fewest of them; links are verified exactly on the whole sets; then all pairs of a
+group that are still in different components are verified too, so no link is lost and no group of mutual copies is
+expanded into its pairs.
 
 Odd cases: null, empty and blank texts have no shingles and are linked with nothing; fewer words than a shingle make one
 shingle of the whole sequence; repeated rows are equal sets; rows without an id are linked to equal sets only, and a component
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pullwise.llm.common import in_pieces, mix, partitions, word_hashes
@@ -140,7 +142,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _indexer(buckets: int, flush: int = 1 << 21):
     """Signatures of a map task: packed by bucket for the shuffle, one class per signature; the classes that share one here go
-    out as members and star pairs."""
+    out as members."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[tuple[int, np.ndarray]] = []
@@ -164,7 +166,7 @@ def _indexer(buckets: int, flush: int = 1 << 21):
         sigs = np.concatenate([s for _, s in held])
         owner = np.repeat(np.array([c for c, _ in held], dtype=np.int64), [len(s) for _, s in held])
         kept, owners, shared = least_of(sigs, owner)
-        rows = [(-1, *x) for x in ((shared[0].tobytes(), shared[1].tobytes(), shared[2].tobytes()),) if len(shared[0])]
+        rows = [(-1, shared[0].tobytes(), shared[1].tobytes(), b"")] if len(shared[0]) else []
         bucket = (kept >> np.uint64(20)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         kept, owners, bucket = kept[order], owners[order], bucket[order]
@@ -179,20 +181,19 @@ def _indexer(buckets: int, flush: int = 1 << 21):
 
 
 def least_of(sigs: np.ndarray, owner: np.ndarray):
-    """Per signature its least class; and, of signatures with several classes, (signature, class, least class) of each member."""
+    """Per signature its least class; and, of signatures with several classes, (signature, class) of each member."""
     order = np.lexsort((owner, sigs))
     sigs, owner = sigs[order], owner[order]
     first = np.concatenate(([True], sigs[1:] != sigs[:-1])) if len(sigs) else np.zeros(0, dtype=bool)
     group = np.cumsum(first) - 1
     several = np.bincount(group, minlength=int(first.sum()))[group] > 1 if len(sigs) else first
-    least = owner[np.flatnonzero(first)][group] if len(sigs) else owner
-    return sigs[first], owner[first], (sigs[several].view(np.int64), owner[several], least[several])
+    return sigs[first], owner[first], (sigs[several].view(np.int64), owner[several])
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unpacks the members found in map tasks, and finds those that meet across tasks, bucket by bucket."""
     def out(shared):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in shared], ["sig", "class", "least"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in shared], ["sig", "class"])
 
     def close(held):
         return least_of(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))[2]
@@ -201,7 +202,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for bucket, sigs, classes, places in zip(*(b.column(k).to_pylist() for k in range(4))):
             if bucket < 0:
-                yield out([np.frombuffer(x, dtype=np.int64) for x in (sigs, classes, places)])
+                yield out([np.frombuffer(x, dtype=np.int64) for x in (sigs, classes)])
                 continue
             if bucket != now and held:
                 yield out(close(held))
@@ -246,6 +247,28 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
 
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for c, x in zip(b.column(0).to_pylist(), b.column(1)):
+            items = np.frombuffer(x.as_buffer(), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items), c, dtype=np.int64)), pa.array(items)], ["class", "item"])
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """Per class its size and own: the shingles that no other of these sets has. Items are counted after map-side combine."""
+    once = sets.mapInArrow(_hashes, "class long, item long").groupBy("item").agg(F.min("class").alias("class"), F.max("class").alias("other"))
+    own = once.filter(F.col("class") == F.col("other")).groupBy("class").agg(F.count(F.lit(1)).alias("own"))
+    sizes = sets.select("class", (F.length("items") / 8).cast("long").alias("size"))
+    return sizes.join(own, "class", "left").fillna(0, ["own"])
+
+
+def _may_link(a: str, b: str, own_a: str, own_b: str, size_a: str, size_b: str) -> Column:
+    """Whether two classes differ little enough by their sizes and own shingles to link."""
+    both = F.col(size_a) + F.col(size_b)
+    return (F.col(a) != F.col(b)) & (9 * (F.col(own_a) + F.col(own_b)) <= both) & (
+        5 * F.least(size_a, size_b) >= 4 * F.greatest(size_a, size_b))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, class, component): equal sets share a class, linked classes a component; both null without shingles."""
     spark = docs.sparkSession
@@ -254,25 +277,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n = 4 * partitions(spark)
     packed = texts.select("text").mapInArrow(_indexer(n), "bucket int, sigs binary, classes binary, places binary")
     dealt = packed.repartition(partitions(spark), F.when(F.col("bucket") < 0, F.xxhash64("sigs")).otherwise(F.col("bucket")))
-    members = written(dealt.sortWithinPartitions("bucket").mapInArrow(_members, "sig long, class long, least long"), "members")
+    members = written(dealt.sortWithinPartitions("bucket").mapInArrow(_members, "sig long, class long").distinct(), "members")
     # the sets of the classes that meet another one, from one document of each
     chosen = sizes.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     wanted = written(members.select("class").distinct().join(chosen, "class"), "wanted")
-    sets = written(texts.join(wanted.filter("doc_id is not null"), "doc_id").select("class", "text")
+    sets = written(texts.join(wanted.filter("doc_id is not null").hint("merge"), "doc_id").select("class", "text")
                    .mapInArrow(_arrays, "class long, items binary").dropDuplicates(["class"]), "sets")
-    star = members.filter(F.col("class") != F.col("least")).select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
+    able = written(own_shingles(sets).filter("5 * (size - own) >= 4 * size"), "able")
+    met = written(members.join(able, "class"), "met")
+    centres = met.groupBy("sig").agg(F.min(F.struct("own", "class", "size")).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    star = met.join(centres.select("sig", F.col("c.class").alias("a"), F.col("c.own").alias("own_a"), F.col("c.size").alias("size_a")), "sig").filter(
+        _may_link("a", "class", "own_a", "own", "size_a", "size")).select("a", F.col("class").alias("b")).distinct()
+    star = written(star, "star")
     links = written(verified(star, sets), "links")
     found = components(links)
-    # signatures whose members aren't in one component yet: every pair across components
-    placed = members.select("sig", "class").join(found.withColumnRenamed("v", "class"), "class", "left").select(
-        "sig", "class", F.coalesce("component", "class").alias("component"))
+    # signatures whose members aren't in one component yet: every pair across components that may link
+    placed = met.join(found.withColumnRenamed("v", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("sig")
-    open_ = written(placed.join(mixed, "sig", "left_semi").distinct(), "open")
+    open_ = written(placed.join(mixed, "sig", "left_semi"), "open")
     if open_.limit(1).count():
-        left, right = (open_.select("sig", F.col("class").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b"))
-        across = left.join(right, "sig").filter("ca != cb and a < b").select("a", "b").distinct()
-        more = written(verified(across.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"),
-                                sets), "links")
+        left, right = (open_.select("sig", F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("own", "size", "component")]) for x in ("a", "b"))
+        across = left.join(right, (left["sig"] == right["sig"]) & (F.col("component_a") != F.col("component_b")) & (F.col("a") < F.col("b"))
+                           & _may_link("a", "b", "own_a", "own_b", "size_a", "size_b")).select("a", "b").distinct()
+        tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = written(verified(across.join(tried, ["a", "b"], "left_anti"), sets), "links")
         if more.limit(1).count():
             found = components(links.unionByName(more))
     return sizes.join(found.withColumnRenamed("v", "class"), "class", "left").select(
@@ -290,4 +318,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of repeated rows of the kept doc_id all stay, as they are one document."""
     result = component_ids(near_duplicates(docs))
     gone = written(result.filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == F.col("_gone"), "left_anti")

@@ -85,7 +85,7 @@ def dedup_lines(docs: DataFrame, least_words: int = 50, drop_emptied: bool = Fal
     row = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_doc"), _digest().alias("_digest"),
                       F.split(F.col("text").cast("string"), "\n", -1).alias("_lines"),
                       F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("_all"))
-    met = row.join(runs.select(F.col("doc").alias("_doc"), F.col("digest").alias("_digest"), "runs"), ["_doc", "_digest"], "left")
+    met = row.join(runs.select(F.col("doc").alias("_doc"), F.col("digest").alias("_digest"), "runs").hint("merge"), ["_doc", "_digest"], "left")
     kept = met.select("_all", "runs", F.when(F.col("runs").isNull(), F.array_join("_lines", "\n")).otherwise(
         F.array_join(without(F.col("_lines"), F.col("runs")), "\n")).alias("_text"))
     if drop_emptied:

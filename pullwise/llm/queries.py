@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pullwise.llm import (fingerprints, host_quality, jaccard, langid, line_dedup, lm_score, mixing, packing, pseudonyms,
+from pullwise.llm import (fingerprints, host_quality, jaccard, langid, line_dedup, lm_score, mixing, oracle, packing, pseudonyms,
                           secret_scan)
 from pullwise.llm.common import read
 
@@ -70,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": language_query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracle.SQL
