@@ -28,9 +28,12 @@ def hmac_sha256_hex(value: Column, key: str) -> Column:
     return F.sha2(F.concat(outer_pad, F.unhex(inner)), 256)
 
 
-def token(value: Column, key: str) -> Column:
+WHOLE = 64      # digits of a whole digest; 12 are for readers, joins and distinct counts take all
+
+
+def token(value: Column, key: str, digits: int = 12) -> Column:
     """Stable keyed stand-in of an identifier value; null stays null."""
-    return F.concat(F.lit(TOKEN_PREFIX), F.substring(hmac_sha256_hex(value, key), 1, 12))
+    return F.concat(F.lit(TOKEN_PREFIX), F.substring(hmac_sha256_hex(value, key), 1, digits))
 
 
 def is_token(value: Column) -> Column:
@@ -43,8 +46,8 @@ def audit_key(spark) -> str:
 
 
 def manifest_digest(*fields: Column) -> Column:
-    """First 16 hex digits of the SHA-256 of the manifest's JSON (fields in sorted order)."""
-    return F.substring(F.sha2(F.to_json(F.struct(*fields)), 256), 1, 16)
+    """First 16 hex digits of the SHA-256 of the manifest's JSON (fields in sorted order, nulls kept)."""
+    return F.substring(F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256), 1, 16)
 
 
 def uuid5_url(name: Column) -> Column:

@@ -13,13 +13,19 @@ ISO_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yy
                "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSSSSS")
 DAY_FIRST = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/M/yyyy HH:mm:ss", "d/M/yyyy HH:mm",
              "d-M-yyyy HH:mm:ss", "d-M-yyyy HH:mm")
+BASIC = ("yyyyMMdd", "yyyyMMdd'T'HHmmss", "yyyyMMdd'T'HHmm")
+NAMED = ("d MMMM yyyy", "d MMM yyyy", "d-MMM-yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy HH:mm:ss", "d MMM yyyy HH:mm:ss",
+         "d MMMM yyyy HH:mm", "d MMM yyyy HH:mm")
+# a time's fraction and zone; the clock as written is what is kept
+ZONE = r"^([0-9]{4}-?[0-9]{2}-?[0-9]{2}[T ][0-9]{2}:?[0-9]{2}(?::?[0-9]{2})?)(?:[.,][0-9]+)?\s*(?:Z|z|UTC|[+-][0-9]{2}(?::?[0-9]{2})?)?$"
 MONTH_FIRST = ("M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "M/d/yyyy HH:mm:ss", "M/d/yyyy HH:mm",
                "M-d-yyyy HH:mm:ss", "M-d-yyyy HH:mm")
 
 
 def parse_timestamp(value: Column, dayfirst: bool = True) -> Column:
-    formats = ISO_FORMATS + (DAY_FIRST if dayfirst else MONTH_FIRST)
-    return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in formats])
+    formats = ISO_FORMATS + (DAY_FIRST if dayfirst else MONTH_FIRST) + BASIC + NAMED
+    clock = F.regexp_replace(F.trim(value), ZONE, "$1")
+    return F.coalesce(*[F.try_to_timestamp(clock, F.lit(f)) for f in formats])
 
 
 def normalise_date(value: Column, with_time: bool, dayfirst: bool = True) -> Column:

@@ -5,14 +5,17 @@ The log is a table of events (one row each), with the patients an event names in
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pullwise import dims
 from pullwise.functions import crypto, dates, masks
 from pullwise.operators.ordinals import with_previous
+from pullwise.session import written
 
-CHAIN_LENGTH = 256          # events per chain: the log is rotated, so building one is a bounded fold
+CHAIN_LENGTH = 256          # events per chain, so building one is a bounded fold; anchors tie the chains together
 
 
 def sha256(text: Column) -> Column:
@@ -54,6 +57,31 @@ def verify_chains(lines: DataFrame, key: str = "chain", seq: str = "seq", block:
         .withColumn("intact", F.col("broken_at").isNull())
 
 
+def anchor_chains(lines: DataFrame, fan: int = 256) -> DataFrame:
+    """(level, node, hash, n): at level 0 the hash of each chain's last line, above it hashes of up to ``fan`` nodes below, up to one
+    root. Kept apart from the log, they show a chain that is gone, swapped or rewritten as a whole."""
+    heads = written(lines.groupBy("chain").agg(sha256(F.max_by("line", "seq")).alias("hash"), F.count(F.lit(1)).alias("n"))
+                    .select(F.lit(0).alias("level"), F.col("chain").alias("node"), "hash", "n"), "heads")
+    top = heads.agg(F.max("node")).first()[0]
+    levels, level = [heads], 0
+    while top is not None and (top > 0 or level == 0):
+        level, top = level + 1, top // fan
+        below = levels[-1].groupBy(F.floor(F.col("node") / F.lit(fan)).alias("node")).agg(
+            F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("parts"))          # at most fan of them
+        levels.append(below.select(F.lit(level).alias("level"), "node", sha256(F.array_join(F.transform("parts", lambda p: p["hash"]), "")).alias("hash"),
+                                   F.size("parts").cast("bigint").alias("n")))
+    return reduce(DataFrame.unionAll, levels)
+
+
+def verify_anchors(lines: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Per chain: intact, changed (another last hash or number of lines), missing, or added since the anchors were taken."""
+    now = lines.groupBy("chain").agg(sha256(F.max_by("line", "seq")).alias("hash_now"), F.count(F.lit(1)).alias("n_now"))
+    then = anchors.where("level = 0").select(F.col("node").alias("chain"), "hash", "n")
+    status = (F.when(F.col("hash_now").isNull(), "missing").when(F.col("hash").isNull(), "added")
+              .when((F.col("hash") == F.col("hash_now")) & (F.col("n") == F.col("n_now")), "intact").otherwise("changed"))
+    return then.join(now, "chain", "full").select("chain", status.alias("status"))
+
+
 def event_body() -> Column:
     """An event as a JSON object, without the link to the line before."""
     return F.to_json(F.struct("seq", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("at"), "event", "run_id",

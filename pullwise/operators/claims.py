@@ -35,7 +35,7 @@ def slots(register: dict | None = None, lawful_bases: dict | None = None,
 
     def text(col, slot):
         ident, shown = control(slot)
-        return _has_text(F.col(col)), F.substring(F.trim(F.col(col)), 1, 60), cites(F.col(col), ident), F.lit(shown)
+        return _has_text(F.col(col)), F.trim(F.col(col)), cites(F.col(col), ident), F.lit(shown)
 
     basis_ok, basis_shown = F.lit(False), F.lit(False)
     for purpose, (ident, shown) in bases.items():
@@ -59,7 +59,7 @@ def slots(register: dict | None = None, lawful_bases: dict | None = None,
         "lawful-basis reference": (
             F.col("basis_type").isNotNull() & F.coalesce(F.col("basis_reference") != "", F.lit(False))
             & _has_text(F.col("basis_reference")),
-            F.substring(F.trim(F.col("basis_reference")), 1, 60), basis_ok, basis_shown),
+            F.trim(F.col("basis_reference")), basis_ok, basis_shown),
     }
 
 

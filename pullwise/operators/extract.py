@@ -144,11 +144,13 @@ def task_rows(spark: SparkSession, tasks: dict) -> DataFrame:
 
 
 def pull_patterns(spark: SparkSession, profile: DataFrame, requests: list[tuple]) -> DataFrame:
-    """Requests answered from the profile: one row per technique, task, layer and pattern."""
+    """Requests answered from the profile: one row per technique, task, layer and pattern; one without rows for a request that
+    nothing answers, so no request is lost."""
     asked = spark.createDataFrame(requests, "technique string, task_id string, layer string, want bigint, scoped boolean, needed boolean")
     # both sides are bounded by configuration: requests, and at most 2^10 patterns per layer
-    return (profile.join(F.broadcast(asked), "layer").where(~F.col("scoped") | F.col("own"))
-            .withColumn("got", F.col("mask").bitwiseAND(F.col("want"))))
+    found = profile.select(F.col("layer").alias("of"), "mask", "own", "minor", "n")
+    met = asked.join(F.broadcast(found), (F.col("layer") == F.col("of")) & (~F.col("scoped") | F.col("own")), "left")
+    return met.drop("of").fillna(0, ["mask", "n"]).fillna(False, ["own", "minor"]).withColumn("got", F.col("mask").bitwiseAND(F.col("want")))
 
 
 def meter(pulls: DataFrame) -> DataFrame:

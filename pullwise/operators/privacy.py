@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +35,12 @@ def skipped_standards(layer: str) -> list[str]:
 
 
 def k_anonymity(rows: DataFrame, *keys: str) -> DataFrame:
-    """Smallest group sharing the quasi-identifiers, per key; rows carrying none are left out.
+    """Smallest group sharing the quasi-identifiers, per key; rows carrying none (or only blanks)
+    count nowhere; k is null where no row carries any.
 
     Two hash aggregates; the largest combination is one partially aggregated row per task."""
     have = [q for q in dims.QUASI_IDENTIFIERS if q in rows.columns]
-    carried = F.coalesce(*[F.col(q) for q in have])
-    groups = rows.where(carried.isNotNull()).groupBy(*keys, *have).agg(F.count(F.lit(1)).alias("n"))
-    return groups.groupBy(*keys).agg(F.min("n").alias("k"), F.sum("n").alias("k_rows"), F.count(F.lit(1)).alias("groups"))
+    carried = reduce(lambda a, b: a | b, [F.coalesce(F.col(q) != "", F.lit(False)) for q in have], F.lit(False))
+    groups = rows.groupBy(*keys, *have).agg(F.count(F.lit(1)).alias("n"))
+    carrying = F.when(carried, F.col("n"))
+    return groups.groupBy(*keys).agg(F.min(carrying).alias("k"), F.sum(carrying).alias("k_rows"), F.count(carrying).alias("groups"))

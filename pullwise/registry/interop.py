@@ -22,9 +22,9 @@ for _layer in dims.LAYERS:
              "(row_ix % 500) % 7 < 3 as pseudonymised, * from {" + _layer + "}")
 
 
-def token_sql(v: str, key: str = KEY) -> str:
+def token_sql(v: str, key: str = KEY, digits: int = 12) -> str:
     inner, outer = crypto.pads(key)
-    return f"('PSN-' || substr(sha256(from_hex('{outer}') || from_hex(sha256(from_hex('{inner}') || encode({v})))), 1, 12))"
+    return f"('PSN-' || substr(sha256(from_hex('{outer}') || from_hex(sha256(from_hex('{inner}') || encode({v})))), 1, {digits}))"
 
 
 def rows_sql(layer: str) -> str:
@@ -274,7 +274,8 @@ def export_audit(t):
         F.count(F.lit(1)).alias("identifier_values"), F.count_if("leaked").alias("leaked"))
     checked = artefacts.groupBy("run_id").agg(F.count(F.lit(1)).alias("artefacts_checked"))
     k = privacy.k_anonymity(rows, "run_id").drop("groups")
-    return found.join(checked, "run_id").join(k, "run_id")
+    k = k.drop("k_rows").join(rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("k_rows")), "run_id")     # all registration rows
+    return k.join(found, "run_id", "left").join(checked, "run_id", "left").fillna(0, ["identifier_values", "leaked", "artefacts_checked"])
 
 
 @query("exact_leak_scan", with_views("""
@@ -293,7 +294,7 @@ select run_id, count(distinct subject) as subjects, count(*) filter (where subje
 def subject_tokens(t):
     """Distinct patients each run's events name, as audit tokens."""
     key = crypto.audit_key(t.spark)
-    tok = t["audit_events"].select("run_id", crypto.token(F.col("subject_mrn"), key).alias("subject"))
+    tok = t["audit_events"].select("run_id", crypto.token(F.col("subject_mrn"), key, crypto.WHOLE).alias("subject"))
     return tok.groupBy("run_id").agg(F.count_distinct("subject").alias("subjects"),
                                      F.count_if(F.col("subject").isNull()).alias("unattributed"))
 

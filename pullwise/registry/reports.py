@@ -23,7 +23,7 @@ add_view("notices", """
 select 'B-' || lpad(cast(event_id % 23 as string),2,'0') as breach_id,
  case when event_id % 9 = 0 then 'board' else 'MRN' || lpad(cast(user_id as string),7,'0') end as recipient, ts as at from {events}""")
 
-TOK = token_sql("subject_mrn", crypto.DEV_AUDIT_KEY)
+TOK = token_sql("subject_mrn", crypto.DEV_AUDIT_KEY, crypto.WHOLE)
 SUBJ = f"subj as (select seq, {TOK} as token from event_subjects)"
 BODY = """'{"seq":' || seq::varchar || ',"at":"' || strftime(audit_events.at, '%Y-%m-%dT%H:%M:%S.%f') || '","event":"' || event || '","run_id":"' || run_id
  || '","technique":"' || technique || '","purpose":"' || purpose || '","records":' || records::varchar || ',"unattributed":' || unattributed::varchar
@@ -36,7 +36,7 @@ chained as (
 
 
 def subjects(t):
-    return t["event_subjects"].select("seq", crypto.token(F.col("subject_mrn"), crypto.audit_key(t.spark)).alias("token"))
+    return t["event_subjects"].select("seq", crypto.token(F.col("subject_mrn"), crypto.audit_key(t.spark), crypto.WHOLE).alias("token"))
 
 
 def masks_of_runs(t):
@@ -72,14 +72,40 @@ def audit_tail(t):
     return audit.tail(t["audit_events"], 20).select("seq", "event", "run_id", "records")
 
 
-@query("manifest_digests", with_views("""
-select run_id, substr(sha256(to_json({'deletion_mechanism': deletion_mechanism, 'identifiers_pseudonymised': identifiers_pseudonymised, 'notice_reference': notice_reference,
- 'purpose': purpose, 'purpose_specified': purpose_specified, 'retention_days': retention_days, 'run_id': run_id})::varchar), 1, 16) as digest from runs""", "runs"))
+# a manifest's fields, in sorted order
+MANIFEST_FIELDS = ("access_controlled", "accountable_party", "at_rest_encrypted", "audit_log_enabled", "basis_reference", "basis_type",
+                   "deletion_mechanism", "identifiers_pseudonymised", "notice_covers_purpose", "notice_reference", "processing_record_kept",
+                   "purpose", "purpose_specified", "retention_days", "run_id", "secondary_use", "transport_encrypted")
+
+
+@query("manifest_digests", with_views(f"""
+select run_id, substr(sha256(to_json({{{', '.join(f"'{f}': {f}" for f in MANIFEST_FIELDS)}}})::varchar), 1, 16) as digest from runs""", "runs"))
 def manifest_digests(t):
-    """A stable digest of each manifest as declared (fields in sorted order, nulls kept)."""
-    body = F.to_json(F.struct("deletion_mechanism", "identifiers_pseudonymised", "notice_reference", "purpose",
-                              "purpose_specified", "retention_days", "run_id"), {"ignoreNullFields": "false"})
-    return t["runs"].select("run_id", F.substring(F.sha2(body, 256), 1, 16).alias("digest"))
+    """A stable digest of each manifest as declared, over every field."""
+    return t["runs"].select("run_id", crypto.manifest_digest(*MANIFEST_FIELDS).alias("digest"))
+
+
+@query("audit_anchors", with_views("""
+select 0 as level, chain as node, hash, n from head union all select 1, node, hash, n from one
+union all select 2, 0, sha256(string_agg(hash, '' order by node)), count(*) from one having count(*) > 1""", "audit_events", extra=CHAIN + """,
+head as (select chain, sha256(max_by(line, seq)) as hash, count(*) as n from chained group by 1),
+one as (select floor(chain / 256.0)::bigint as node, sha256(string_agg(hash, '' order by chain)) as hash, count(*) as n from head group by 1)""", recursive=True))
+def audit_anchors(t):
+    """The chains' last hashes, tied together into one root."""
+    return audit.anchor_chains(audit.build_chains(t["audit_events"], audit.event_body()))
+
+
+@query("audit_chain_missing", with_views("""
+select chain, case when chain % 5 = 3 then 'missing' else 'changed' end as status from (select distinct chain from bodies)
+where chain % 5 = 3 or chain % 5 = 1""", "audit_events", extra=f"bodies as (select floor(seq / 256.0)::bigint as chain from audit_events)"))
+def audit_chain_missing(t):
+    """Whole chains deleted and others rewritten from their first line, found by the anchors."""
+    events = t["audit_events"]
+    lines = audit.build_chains(events, audit.event_body())
+    anchors = audit.anchor_chains(lines)
+    forged = audit.build_chains(events.withColumn("records", F.when(audit.chain_of(F.col("seq")) % 5 == 1, F.col("records") + 1).otherwise(F.col("records"))),
+                                audit.event_body())
+    return audit.verify_anchors(forged.where("chain % 5 <> 3"), anchors).where("status <> 'intact'").select("chain", "status")
 
 
 FACTS = """
@@ -188,12 +214,12 @@ def breach_assessment(t):
 
 
 @query("breach_resolve", with_views(f"""
-select h.breach_id, p.mrn from hit h join (select mrn, {token_sql('mrn', crypto.DEV_AUDIT_KEY)} as token from patient_administration) p using (token)""",
+select h.breach_id, p.mrn from hit h join (select mrn, {token_sql('mrn', crypto.DEV_AUDIT_KEY, crypto.WHOLE)} as token from patient_administration) p using (token)""",
     *B_VIEWS, dims.PA, extra=SUBJ + "," + BREACH))
 def breach_resolve(t):
     """Record numbers to notify, resolved from the register."""
     _, affected = breach_parts(t)
-    return audit.resolve(affected, t[dims.PA], crypto.token(F.col("mrn"), crypto.audit_key(t.spark)))
+    return audit.resolve(affected, t[dims.PA], crypto.token(F.col("mrn"), crypto.audit_key(t.spark), crypto.WHOLE))
 
 
 @query("breach_notices", with_views("""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +24,7 @@ def cluster_settings(input_bytes: int, cores: int) -> dict[str, str]:
     Adaptive execution merges what turns out small and splits what turns out skewed, so erring high is cheap."""
     partitions = max(2 * cores, -(-input_bytes // (128 << 20)))
     return {**SETTINGS, "spark.sql.files.maxPartitionBytes": str(256 << 20),
-            "spark.sql.shuffle.partitions": str(min(partitions, 200_000)),
+            "spark.sql.shuffle.partitions": str(partitions),
             "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
             "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
 
@@ -45,6 +46,24 @@ def local_session(cpus: int | None = None, name: str = "pullwise") -> SparkSessi
 
 
 _local_folders: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors' Python workers, once per application, so jobs with Python code need no installation."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{os.path.basename(root)}.zip")     # Spark's file server hands it out
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
 
 
 def shared_folder(spark: SparkSession) -> str:

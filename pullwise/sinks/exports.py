@@ -17,8 +17,8 @@ def write_layers(layers: dict[str, DataFrame], directory: str) -> DataFrame:
     for layer, df in layers.items():
         cols = [f for f in dims.FIELD_CATALOGUE[layer] if f in df.columns]
         path = f"{directory}/{layer}"
-        df.select(cols).write.mode("overwrite").option("header", True).csv(path)
-        one = (spark.read.option("header", True).csv(path).agg(F.count(F.lit(1)).alias("rows"))
+        df.select(cols).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        one = (spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).agg(F.count(F.lit(1)).alias("rows"))
                .select(F.lit(layer).alias("layer"), "rows", F.lit(",".join(cols)).alias("columns")))
         manifest = one if manifest is None else manifest.unionAll(one)
     manifest.coalesce(1).write.mode("overwrite").json(f"{directory}/manifest")

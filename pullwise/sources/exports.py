@@ -20,14 +20,27 @@ from pullwise.operators import ingest
 NOT_EXPORT = ("manifest.json", "column_map.json")
 
 
-def first_lines(spark: SparkSession, directory: str, glob: str) -> list[tuple[str, str, str]]:
-    """(path, name, first line) of every matching file. A line's offset is not exposed by the text source, so the
-    first line is the one with the smallest row id of the block that starts the file."""
+# fixed values: texts that a table reader takes for a missing value
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
+           "None", "n/a", "nan", "null")
+
+
+def file_heads(spark: SparkSession, directory: str, glob: str, chars: int | None = None) -> list[tuple[str, str, str, bool]]:
+    """(path, name, first line or its first ``chars``, whether a quoted value spans lines) of every matching file.
+
+    A line's offset is not exposed by the text source, so the first line is the one with the smallest row id of the block
+    that starts the file. Lines are reduced on the executors; of a record list the driver gets a few characters only."""
+    line = F.col("value") if chars is None else F.substring("value", 1, chars)
+    odd = (F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))) % 2 == 1
     rows = (spark.read.option("pathGlobFilter", glob).text(directory)
             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"),
-                    F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
-            .where("start = 0").groupBy("path", "name").agg(F.min_by("value", "id").alias("line")))
-    return [(r["path"], r["name"], r["line"]) for r in rows.collect()]
+                    F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("id"), line.alias("line"), odd.alias("odd"))
+            .groupBy("path", "name").agg(F.min_by("line", "id").alias("line"), F.bool_or("odd").alias("spans")))
+    return [(r["path"], r["name"], r["line"] or "", r["spans"]) for r in rows.collect()]
+
+
+def without_missing(df: DataFrame) -> DataFrame:
+    return df.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def load_column_map(spark: SparkSession, path: str | None) -> DataFrame:
@@ -65,13 +78,19 @@ class ExportDirectory:
                  min_confidence: float = dims.MIN_FILE_CONFIDENCE, dayfirst: bool = True) -> None:
         self.spark, self.directory, self.dayfirst = spark, directory, dayfirst
         self.column_map = column_map if column_map is not None else load_column_map(spark, None)
-        self._csv = {name: (path, next(csv.reader([line]))) for path, name, line in first_lines(spark, directory, "*.csv")}
-        lists = [(path, name) for path, name, line in first_lines(spark, directory, "*.json")
-                 if name.lower() not in NOT_EXPORT and line.lstrip("﻿").startswith("[")]
-        self._json: dict[str, DataFrame] = {
-            name: flatten(spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)) for path, name in lists}
-        heads = [(n, i, h) for n, (_, hs) in self._csv.items() for i, h in enumerate(hs)]
-        heads += [(n, i, h) for n, df in self._json.items() for i, h in enumerate(df.columns)]
+        self._csv = {name: (path, next(csv.reader([line.removeprefix("\ufeff")])), spans)
+                     for path, name, line, spans in file_heads(spark, directory, "*.csv") if line}
+        lists = [path for path, name, line, _ in file_heads(spark, directory, "*.json", 8)
+                 if name.lower() not in NOT_EXPORT and line.lstrip("\ufeff \t").startswith("[")]
+        self._json: dict[str, list[str]] = {}
+        if lists:                                                       # all record lists in one read; a file's headers are those it fills
+            self._records = flatten(spark.read.option("multiLine", True).option("primitivesAsString", True).json(lists).withColumn(
+                "source_file", F.col("_metadata.file_name")))
+            names = [c for c in self._records.columns if c != "source_file"]
+            filled = self._records.groupBy("source_file").agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in names])
+            self._json = {r["source_file"]: [c for c in names if r[c]] for r in filled.collect()}                # one row per file
+        heads = [(n, i, h) for n, (_, hs, _) in self._csv.items() for i, h in enumerate(hs)]
+        heads += [(n, i, h) for n, hs in self._json.items() for i, h in enumerate(hs)]
         self.headers = spark.createDataFrame(heads, "file string, header_ord int, header string")
         self.verdicts = ingest.read_verdicts(self.headers, self.column_map, min_confidence)
         names = ingest.mapped_headers(self.headers, self.column_map)
@@ -97,18 +116,21 @@ class ExportDirectory:
                          *[F.col(f"`{h}`").alias(f) for f, h in keep.items()])
 
     def _groups(self, layer: str) -> list[tuple[list[str], DataFrame]]:
+        """Files with the same headers and mapping, read together. Only files whose quoted values span lines are read unsplit."""
         groups: dict[tuple, list[str]] = {}
         for name in self.accepted:
-            if self._verdict[name]["layer"] == layer and name in self._csv:
-                groups.setdefault((tuple(self._csv[name][1]), tuple(sorted(self._names[name].items()))), []).append(name)
+            if self._verdict[name]["layer"] == layer:
+                headers, spans = (self._csv[name][1], self._csv[name][2]) if name in self._csv else (self._json[name], None)
+                groups.setdefault((tuple(headers), spans, tuple(sorted(self._names[name].items()))), []).append(name)
         out = []
-        for (headers, _), names in groups.items():
-            schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
-            df = (self.spark.read.schema(schema).option("header", True).option("nullValue", "")
-                  .csv([self._csv[n][0] for n in names]).withColumn("source_file", F.col("_metadata.file_name")))
+        for (headers, spans, _), names in groups.items():
+            if spans is None:
+                df = self._records.where(F.col("source_file").isin(*names)).select("source_file", *[F.col(f"`{h}`") for h in headers])
+            else:
+                schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
+                read = self.spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", spans)
+                df = without_missing(read.csv([self._csv[n][0] for n in names]).withColumn("source_file", F.col("_metadata.file_name")))
             out.append((names, self._renamed(names[0], df)))
-        out += [([n], self._renamed(n, self._json[n])) for n in self.accepted
-                if n in self._json and self._verdict[n]["layer"] == layer]
         return out
 
     def layer(self, layer: str) -> DataFrame | None:
@@ -130,15 +152,19 @@ class ExportDirectory:
         return ingest.fetch_stacked(layer, groups, fields, where)
 
     def report(self) -> DataFrame:
-        """One row per file: layer, confidence, rows, unparsed values, dropped and blanked headers, refusal."""
+        """One row per file: layer, confidence, rows, unparsed values (in all, and by column), dropped and blanked headers, refusal."""
         parts = []
         for layer in dims.LAYERS:
             for _, df in self._groups(layer):
                 counts = ingest.unparsed_counts(df, "source_file", dayfirst=self.dayfirst)
                 bad = [c for c in counts.columns if c.startswith("unparsed_")]
                 total = sum((F.col(c) for c in bad), F.lit(0))
-                parts.append(counts.select(F.col("source_file").alias("file"), "rows", total.cast("bigint").alias("unparsed")))
+                each = F.array(*[F.struct(F.lit(c.removeprefix("unparsed_")).alias("field"), F.col(c).cast("bigint").alias("n")) for c in bad]) if bad \
+                    else F.array().cast("array<struct<field:string,n:bigint>>")
+                parts.append(counts.select(F.col("source_file").alias("file"), "rows", total.cast("bigint").alias("unparsed"),
+                                           F.filter(each, lambda x: x["n"] > 0).alias("unparsed_fields")))
         base = self.verdicts
         if not parts:
-            return base.withColumns({"rows": F.lit(None).cast("bigint"), "unparsed": F.lit(None).cast("bigint")})
+            return base.withColumns({"rows": F.lit(None).cast("bigint"), "unparsed": F.lit(None).cast("bigint"),
+                                     "unparsed_fields": F.array().cast("array<struct<field:string,n:bigint>>")})
         return base.join(reduce(DataFrame.unionAll, parts), "file", "left")

@@ -2,7 +2,7 @@
 
 Only the mark-up itself needs Python: one small tokenizer per page, run in Arrow batches by
 ``mapInArrow`` on whole pages. Everything after that - records, field names, modules, layers - is
-DataFrame work. Links alone need no parser and stay in the JVM (``page_links``)."""
+DataFrame work."""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ RECORDS = re.compile(r"(\d+)\s+records?\b", re.IGNORECASE)
 
 
 # A page as tokens: comments, scripts and styles (skipped), tags with their attributes, and text.
-TOKEN = re.compile(r"""<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-z][a-z0-9]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|([^<]+)|<""",
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|([^<]+)|<""",
                    re.DOTALL | re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""([a-z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 
@@ -39,42 +39,55 @@ def _attributes(source: str) -> dict[str, str | None]:
 
 
 class _Page:
-    """Collects cells, links, buttons and forms inside <main>."""
+    """Collects tables anywhere, and links, buttons, forms and text inside <main>, or anywhere on a page without one.
+    Cells, rows and links that aren't closed end where the next one begins."""
 
-    def __init__(self, base: str) -> None:
-        self.base, self.main = base, 0
+    def __init__(self, base: str, scope: str = "main") -> None:
+        self.base, self.scope, self.main, self.whole = base, scope, 0, False
         self.text, self.headers, self.rows, self.links, self.buttons, self.forms = [], [], [], [], [], []
         self.section = self.cell = self.anchor = self.button = self.form = None
 
     def read(self, html: str) -> None:
+        self.whole = self.scope == "main" and not re.search(r"<main\b", html, re.IGNORECASE)
         for m in TOKEN.finditer(html):
             _, closing, tag, source, data = m.groups()
             if data is not None:
-                if self.main:
-                    self.handle_data(unescape(data) if "&" in data else data)
+                self.handle_data(unescape(data) if "&" in data else data)
             elif tag is not None:
                 tag = tag.lower()
                 if closing:
                     self.handle_endtag(tag)
-                elif tag == "main" or self.main:
+                else:
                     self.handle_starttag(tag, _attributes(source) if tag in ("a", "form", "input") else {})
+        for tag in ("td", "a"):
+            self.handle_endtag(tag)
 
     def handle_starttag(self, tag, a):
-        if tag == "main":
+        if tag == self.scope:
             self.main += 1
-        if not self.main:
-            return
+        if tag in ("table", "thead", "tbody", "tfoot", "tr", "th", "td"):
+            self.handle_endtag("td")
         if tag in ("thead", "tbody"):
             self.section = tag
-        elif tag == "tr" and self.section == "tbody":
-            self.rows.append([])
+        elif tag in ("table", "tfoot"):
+            self.section = None
+        elif tag == "tr":
+            self.section = self.section or "tbody"
+            if self.section == "tbody":
+                self.rows.append([])
         elif tag in ("th", "td"):
             self.cell = {"tag": tag, "text": "", "link": None}
-        elif tag == "a" and "href" in a:
+        if tag == "a" and "href" in a:
+            self.handle_endtag("a")
             href = urljoin(self.base, a["href"] or "")
-            self.anchor = [href, ""]
+            if self.main or self.whole:
+                self.anchor = [href, ""]
             if self.cell is not None and self.cell["link"] is None:
                 self.cell["link"] = href
+        if not (self.main or self.whole):
+            return
+        if tag == "a":
+            pass
         elif tag == "form":
             self.form = {"get": (a.get("method") or "get").lower() == "get", "action": a.get("action") or "", "param": None, "text": False}
             self.forms.append(self.form)
@@ -91,9 +104,11 @@ class _Page:
             self.buttons.append(self.button)
 
     def handle_endtag(self, tag):
-        if tag == "main" and self.main:
+        if tag == self.scope and self.main:
             self.main -= 1
-        elif tag in ("thead", "tbody"):
+        elif tag in ("tr", "thead", "tbody", "table") and self.cell is not None:
+            self.handle_endtag("td")
+        if tag in ("thead", "tbody", "table"):
             self.section = None
         elif tag in ("th", "td") and self.cell is not None:
             self.cell["text"] = self.cell["text"].strip()
@@ -111,7 +126,8 @@ class _Page:
             self.button = None
 
     def handle_data(self, data):
-        self.text.append(data)
+        if self.main or self.whole:
+            self.text.append(data)
         if self.cell is not None:
             self.cell["text"] += data
         if self.anchor is not None:
@@ -177,14 +193,24 @@ def detail_rows(parsed: DataFrame, aliases: DataFrame | None = None) -> DataFram
 
 
 def page_links(pages: DataFrame, scope: str | None = None) -> DataFrame:
-    """(page_id, ord, text, href) of every link, absolute, by expressions only.
-
-    ``scope`` restricts the search to one element such as ``nav``."""
-    html = F.col("html") if scope is None else F.regexp_extract("html", f"(?is)<{scope}\\b[^>]*>(.*)</{scope}>", 1)
-    found = F.regexp_extract_all(html, F.lit(r'(?is)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>'), 0)
-    rows = pages.withColumn("found", found).select("page_id", "url", F.posexplode("found").alias("ord", "a"))
-    return rows.select("page_id", "ord", F.trim(F.regexp_replace(F.regexp_extract("a", r"(?is)^<a\s[^>]*>(.*)</a>$", 1), "<[^>]*>", "")).alias("text"),
-                       resolve(F.col("url"), F.regexp_extract("a", r'(?is)href="([^"]*)"', 1)).alias("href"))
+    """(page_id, ord, text, href) of every link, absolute, by the same rule as ``parse_pages``.
+
+    ``scope`` restricts the search to one element such as ``nav``; without it every link of the page counts."""
+    def run(batches):
+        for batch in batches:
+            ids, urls, texts = (batch.column(c).to_pylist() for c in ("page_id", "url", "html"))
+            rows = [(i, n, t, h) for i, u, x in zip(ids, urls, texts) for n, (t, h) in enumerate(links_of(u or "", x or "", scope))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string()))],
+                                             ["page_id", "ord", "text", "href"])
+
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, "page_id bigint, ord int, text string, href string")
+
+
+def links_of(url: str, html: str, scope: str | None = None) -> list[tuple[str, str]]:
+    p = _Page(url, scope or "")
+    p.main = 0 if scope else 1
+    p.read(html)
+    return p.links
 
 
 def resolve(base: Column, href: Column) -> Column:

@@ -13,6 +13,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 from pullwise import dims
+from pullwise.session import ship
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -240,6 +241,7 @@ class Tables:
     """Named DataFrames over one data directory: parquet tables and the views above."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        ship(spark)
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._made: dict[str, DataFrame] = {}

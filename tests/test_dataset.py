@@ -42,4 +42,4 @@ def test_nothing_to_score(spark, tmp_path):
 
 def test_cluster_settings_grow_with_the_input():
     small, large = session.cluster_settings(1 << 30, 16), session.cluster_settings(100 << 40, 8000)
-    assert small["spark.sql.shuffle.partitions"] == "32" and large["spark.sql.shuffle.partitions"] == "200000"
+    assert small["spark.sql.shuffle.partitions"] == "32" and large["spark.sql.shuffle.partitions"] == str(100 << 13)
