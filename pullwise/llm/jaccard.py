@@ -14,7 +14,8 @@ lopsided sets) meet under one catch-all signature of their scheme. A pair is fou
 Equal sets form one class and are compared once. Signatures travel as packed arrays by bucket. Within a map task equal
 signatures are pre-aggregated: the least class stands for the others, so a signature that a third of all rows share
 arrives once per task. Of the sets that met, each one's shingles that no other of them holds are counted: they are part of
-every difference, so sets with too many link with nothing, and pairs with too many together needn't be formed. Each group
+every difference, so sets with too many link with nothing, and pairs with too many together needn't be formed. Nor need
+pairs whose parity sketches differ in more bits than the sets may in shingles: each differing bit needs one. Each group
 first links its members to the one with the fewest of them; links are verified exactly on the whole sets; then all pairs of a
 group that are still in different components are verified too, so no link is lost and no group of mutual copies is
 expanded into its pairs.
@@ -258,15 +259,35 @@ def own_shingles(sets: DataFrame) -> DataFrame:
     """Per class its size and own: the shingles that no other of these sets has. Items are counted after map-side combine."""
     once = sets.mapInArrow(_hashes, "class long, item long").groupBy("item").agg(F.min("class").alias("class"), F.max("class").alias("other"))
     own = once.filter(F.col("class") == F.col("other")).groupBy("class").agg(F.count(F.lit(1)).alias("own"))
-    sizes = sets.select("class", (F.length("items") / 8).cast("long").alias("size"))
-    return sizes.join(own, "class", "left").fillna(0, ["own"])
+    return sets.mapInArrow(_sketch, "class long, size long, " + ", ".join(f"{x} long" for x in SKETCH)).join(
+        own, "class", "left").fillna(0, ["own"])
 
 
-def _may_link(a: str, b: str, own_a: str, own_b: str, size_a: str, size_b: str) -> Column:
-    """Whether two classes differ little enough by their sizes and own shingles to link."""
-    both = F.col(size_a) + F.col(size_b)
-    return (F.col(a) != F.col(b)) & (9 * (F.col(own_a) + F.col(own_b)) <= both) & (
-        5 * F.least(size_a, size_b) >= 4 * F.greatest(size_a, size_b))
+SKETCH = [f"k{i}" for i in range(8)]        # 512 parity bits
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = 64 * len(SKETCH)
+    for b in batches:
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in b.column(1)]
+        parity = np.array([np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 for x in sets], dtype=np.uint8).reshape(-1, bits)
+        words = np.packbits(parity, axis=1).view(np.int64).reshape(-1, len(SKETCH))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(words[:, i]) for i in range(len(SKETCH)))],
+                                         ["class", "size", *SKETCH])
+
+
+def _as(rows: DataFrame, x: str) -> DataFrame:
+    """The members' columns named for one side of a pair."""
+    return rows.select("sig", F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("own", "size", *SKETCH)],
+                       *[F.col(c).alias(f"{c}_{x}") for c in ("component",) if c in rows.columns])
+
+
+def _may_link() -> Column:
+    """Whether classes a and b differ little enough by their sizes, own shingles and sketches to link."""
+    both = F.col("size_a") + F.col("size_b")
+    differ = sum((F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in SKETCH), F.lit(0))
+    return (F.col("a") != F.col("b")) & (9 * (F.col("own_a") + F.col("own_b")) <= both) & (
+        5 * F.least("size_a", "size_b") >= 4 * F.greatest("size_a", "size_b")) & (9 * differ <= both)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -285,10 +306,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                    .mapInArrow(_arrays, "class long, items binary").dropDuplicates(["class"]), "sets")
     able = written(own_shingles(sets).filter("5 * (size - own) >= 4 * size"), "able")
     met = written(members.join(able, "class"), "met")
-    centres = met.groupBy("sig").agg(F.min(F.struct("own", "class", "size")).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    star = met.join(centres.select("sig", F.col("c.class").alias("a"), F.col("c.own").alias("own_a"), F.col("c.size").alias("size_a")), "sig").filter(
-        _may_link("a", "class", "own_a", "own", "size_a", "size")).select("a", F.col("class").alias("b")).distinct()
-    star = written(star, "star")
+    centres = met.groupBy("sig").agg(F.min(F.struct("own", "class", "size", *SKETCH)).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    star = written(_as(met, "b").join(_as(centres.select("sig", "c.*"), "a"), "sig").filter(_may_link()).select("a", "b").distinct(), "star")
     links = written(verified(star, sets), "links")
     found = components(links)
     # signatures whose members aren't in one component yet: every pair across components that may link
@@ -296,9 +315,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("sig")
     open_ = written(placed.join(mixed, "sig", "left_semi"), "open")
     if open_.limit(1).count():
-        left, right = (open_.select("sig", F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("own", "size", "component")]) for x in ("a", "b"))
-        across = left.join(right, (left["sig"] == right["sig"]) & (F.col("component_a") != F.col("component_b")) & (F.col("a") < F.col("b"))
-                           & _may_link("a", "b", "own_a", "own_b", "size_a", "size_b")).select("a", "b").distinct()
+        left, right = _as(open_, "a"), _as(open_, "b").withColumnRenamed("sig", "sig_b")
+        across = left.join(right, (F.col("sig") == F.col("sig_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("a") < F.col("b"))
+                           & _may_link()).select("a", "b").distinct()
         tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = written(verified(across.join(tried, ["a", "b"], "left_anti"), sets), "links")
         if more.limit(1).count():

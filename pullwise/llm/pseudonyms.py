@@ -30,6 +30,7 @@ DATE = r"(?<![0-9/.-])(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]
 CARD = r"(?<![0-9A-Za-z.+-])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])"
 KINDS = (("email", EMAIL), ("ip", IP), ("iban", IBAN), ("phone", PHONE), ("ssn", SSN), ("date", DATE), ("card", CARD))
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
+GUARD = "[0-9@]"
 FIRST_DAY = "1900-01-01"        # dates are permuted among the 270 * 271 days from here
 
 
@@ -185,7 +186,7 @@ def pseudonym(match: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """The documents with pseudonyms in their texts; n_chars, if there, follows."""
     text = F.col(column).cast("string")
-    new = replaced(text, ANY, lambda m: pseudonym(m, key))
+    new = replaced(text, ANY, lambda m: pseudonym(m, key), GUARD)
     columns = {column: new}
     out = docs.withColumns(columns)
     return out.withColumn("n_chars", F.length(column).cast("long")) if "n_chars" in docs.columns else out
@@ -193,5 +194,5 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
 
 def found(docs: DataFrame) -> DataFrame:
     """Per row doc_id and the personal data in its text: (start, end, kind)."""
-    spans = matches(F.coalesce(F.col("text").cast("string"), F.lit("")), ANY)
+    spans = matches(F.coalesce(F.col("text").cast("string"), F.lit("")), ANY, GUARD)
     return docs.select("doc_id", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind_of(s["match"]).alias("kind"))).alias("found"))

@@ -107,7 +107,7 @@ def scanned(docs: DataFrame, *keep: str, alpha: float = 0.001) -> DataFrame:
     rest = replaced(replaced(replaced(t, ASSIGN, lambda m: F.when(strong(m), blank(m)).otherwise(m)), ACCESS, blank), HEX, blank)
     some = (F.size("_assign") + F.size("_access") + F.size("_hex")) > 0
     rows = rows.withColumn("_rest", F.when(some, rest).otherwise(t))
-    tests = F.transform(matches(F.col("_rest"), TOKEN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), tested(s["match"]).alias("test")))
+    tests = F.transform(matches(F.col("_rest"), TOKEN, "[0-9]"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), tested(s["match"]).alias("test")))
     random = F.filter(tests, lambda s: s["test"].isNotNull() & (s["test"]["uniform"] >= alpha))
     spans = lambda k, name: F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end")))
     return rows.select(
