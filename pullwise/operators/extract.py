@@ -58,16 +58,23 @@ def first_subject(layers: dict[str, DataFrame]) -> DataFrame:
 def pull_rows(layers: dict[str, DataFrame], needed: dict[str, tuple[str, ...]], subject: DataFrame | None = None) -> dict[str, DataFrame]:
     """The rows a task needs: exactly its fields, of one subject where one is given (a one-row frame)."""
     out = {}
+    bound = None if subject is None else bound_to(subject)
     for name, fields in needed.items():
         if name not in layers:
             continue
         df = layers[name]
-        if subject is not None:
-            df = df.where(F.col(dims.SUBJECT_KEY[name]) == subject.scalar())
+        if bound is not None:
+            df = df.where(F.col(dims.SUBJECT_KEY[name]) == bound)
         out[name] = df.select("row_ix", *[f for f in fields if f in df.columns])
     return out
 
 
+def bound_to(subject: DataFrame) -> Column:
+    """The value of a one-row frame, found once and then a constant in every layer's scan."""
+    row = subject.first()
+    return F.lit(None if row is None else row[0]).cast("string")
+
+
 def presence(layer: str, df: DataFrame) -> Column:
     bits = [F.when(F.col(f).isNotNull(), F.lit(dims.FIELD_BIT[layer, f])).otherwise(0)
             for f in dims.FIELD_CATALOGUE[layer] if f in df.columns]
@@ -77,11 +84,12 @@ def presence(layer: str, df: DataFrame) -> Column:
 def presence_profile(layers: dict[str, DataFrame], subject: DataFrame, today: date = TODAY) -> DataFrame:
     """(layer, mask, own, minor, n): rows per presence pattern, the bound subject's apart.
 
-    ``subject`` is a one-row frame used as a scalar subquery."""
+    ``subject`` is a one-row frame."""
     parts = []
+    bound = bound_to(subject)
     for name, df in layers.items():
         key = dims.SUBJECT_KEY[name]
-        own = F.coalesce(F.col(key) == subject.scalar(), F.lit(False)) if key in df.columns else F.lit(False)
+        own = F.coalesce(F.col(key) == bound, F.lit(False)) if key in df.columns else F.lit(False)
         young = minor(F.col("date_of_birth"), today) if "date_of_birth" in df.columns else F.lit(False)
         parts.append(df.select(F.lit(name).alias("layer"), presence(name, df).alias("mask"), own.alias("own"),
                                young.alias("minor"))
@@ -177,9 +185,8 @@ def necessary_records(spark: SparkSession, profile: DataFrame, tasks: dict) -> D
 def coverage_ceiling(spark: SparkSession, profile: DataFrame, tasks: dict) -> DataFrame:
     """Per task: fields needed, of those carried by the source, of those the task can obtain."""
     seen = profile.agg(F.coalesce(F.bit_or("mask"), F.lit(0)).alias("anywhere"),
-                       F.coalesce(F.bit_or(F.when(F.col("own"), F.col("mask"))), F.lit(0)).alias("of_subject"))
-    t = task_rows(spark, tasks).withColumns({"anywhere": seen.select("anywhere").scalar(),
-                                             "of_subject": seen.select("of_subject").scalar()})
+                       F.coalesce(F.bit_or(F.when(F.col("own"), F.col("mask"))), F.lit(0)).alias("of_subject")).first()    # two numbers
+    t = task_rows(spark, tasks).withColumns({"anywhere": F.lit(seen["anywhere"]), "of_subject": F.lit(seen["of_subject"])})
     found = F.col("needed_mask").bitwiseAND(F.col("anywhere"))
     own = F.when(F.col("single_subject"), found.bitwiseAND(F.col("of_subject"))).otherwise(found)
     return t.select("task_id", F.bit_count("needed_mask").alias("needed"), F.bit_count(found).alias("in_source"),

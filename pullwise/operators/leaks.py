@@ -86,21 +86,23 @@ def find_leaks(values: DataFrame, artefacts: DataFrame, keys: list[str] | None =
 def exact_leaks(values: DataFrame, artefacts: DataFrame) -> DataFrame:
     """Verbatim occurrences of identifiers anywhere in the texts: (value, artefact_id).
 
-    Any stretch of 2q-1 characters holds a whole block of q characters of the text's own grid, so a text
-    is indexed at every q-th position only and a value by the q windows of its first 2q-1 characters. Each
-    posting carries just the characters a value could cover around it, where the value is then tested."""
-    v = written(values.where(text.present(F.col("value"))).select("value").distinct(), "values")
-    sizes = v.agg(F.floor((F.min(F.length("value")) + 1) / 2).cast("int").alias("q"), F.max(F.length("value")).alias("longest"))
-    q, longest = sizes.select("q").scalar(), sizes.select("longest").scalar()
-    lookups = v.withColumn("q", q).select("value", F.explode(F.transform(
-        F.sequence(F.lit(1), F.col("q")), lambda i: F.substring(F.col("value"), i, F.col("q")))).alias("gram"))
-    # cutting a text into blocks is one linear pass; a value starting in block i-1 ends at most ``ahead`` blocks on
-    sized = artefacts.withColumns({"q": q, "longest": longest})
-    blocks = sized.select("artefact_id", "q", (F.ceil(F.col("longest") / F.col("q")).cast("int") + 1).alias("ahead"), F.regexp_extract_all(
-        "text", F.concat(F.lit("(?s).{1,"), F.col("q").cast("string"), F.lit("}")), 0).alias("blocks"))
-    around = lambda i: F.array_join(F.slice(F.col("blocks"), F.greatest(i, F.lit(1)), F.col("ahead") + 2), "")
-    posted = blocks.select("artefact_id", "q", F.explode(F.transform(
-        F.col("blocks"), lambda b, i: F.struct(b.alias("gram"), around(i).alias("around")))).alias("p")).where(
-        F.length("p.gram") == F.col("q")).select("artefact_id", "p.gram", "p.around")
-    hits = posted.join(lookups, "gram").where(F.col("around").contains(F.col("value")))
-    return hits.select("value", "artefact_id").distinct()
+    Any stretch of 2q-1 characters holds a whole block of q characters of the text's own grid, so a text is indexed at
+    every q-th position only and a value by the q windows of its first 2q-1 characters. Values are taken in bands of length
+    (q doubles from band to band), so a short value doesn't decide for the long ones. What is shuffled of a text are its
+    blocks that some value's window equals, and only candidates meet texts."""
+    v = written(values.where(text.present(F.col("value"))).select("value").distinct().withColumn("band", F.floor(
+        F.log2((F.length("value") + 1) / 2)).cast("int")), "values")
+    bands = sorted(r[0] for r in v.select("band").distinct().collect())         # as many as doublings of the longest value
+    found = None
+    for band in bands:
+        q = 1 << band
+        lookups = v.where(F.col("band") == band).select("value", F.explode(F.transform(
+            F.sequence(F.lit(1), F.lit(q)), lambda i: F.substring(F.col("value"), i, F.lit(q)))).alias("gram")).distinct()
+        wanted = lookups.select("gram").distinct()
+        blocks = artefacts.select("artefact_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s).{{{q}}}"), F.lit(0)))).alias("gram"))
+        pairs = blocks.join(wanted, "gram", "left_semi").join(lookups, "gram").select("value", "artefact_id")
+        found = pairs if found is None else found.unionAll(pairs)
+    if found is None:
+        return artefacts.select(F.lit(None).cast("string").alias("value"), "artefact_id").limit(0)
+    return found.distinct().join(artefacts.select("artefact_id", "text"), "artefact_id").where(
+        F.col("text").contains(F.col("value"))).select("value", "artefact_id").distinct()

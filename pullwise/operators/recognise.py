@@ -70,14 +70,19 @@ def gate(recognised: DataFrame, roles: DataFrame) -> DataFrame:
     """Ties narrowed to functions the asker's role may use, and the decision: roles(id, role).
 
     ``begin`` one permitted function (or one match) is left and allowed, ``declined`` when the single match is
-    not the role's, ``choose`` when several remain."""
+    not the role's, ``choose`` when several remain: ``options`` are then the permitted ones, or all where none is.
+    ``unrecognised`` when the request matched nothing; every row of ``roles`` has one."""
     asked = access.authorise(access.function_requests(recognised.join(roles, "id"), F.col("function_id")))
     per = asked.groupBy("id", "role").agg(
         F.count(F.lit(1)).alias("matches"), F.count_if("allowed").alias("permitted"),
         F.min(F.when(F.col("allowed"), F.col("function_id"))).alias("first_allowed"),
-        F.min("function_id").alias("first"), F.min("rule_id").alias("rule_id"))
+        F.min("function_id").alias("first"), F.min("rule_id").alias("rule_id"),
+        F.array_sort(F.collect_set(F.when(F.col("allowed"), F.col("function_id")))).alias("may"), F.array_sort(F.collect_set("function_id")).alias("all"))
+    per = roles.select("id", "role").distinct().join(per, ["id", "role"], "left").fillna(0, ["matches", "permitted"])
     begin = F.col("permitted") == 1
-    decision = F.when(begin, "begin").when((F.col("matches") == 1), "declined").otherwise("choose")
+    several = F.when(F.col("permitted") > 1, F.array_join("may", ",")).otherwise(F.array_join("all", ","))
+    decision = F.when(F.col("matches") == 0, "unrecognised").when(begin, "begin").when((F.col("matches") == 1), "declined").otherwise("choose")
     return per.select("id", "role", "matches", "permitted", decision.alias("decision"),
                       F.when(begin, F.col("first_allowed")).when(F.col("matches") == 1, F.col("first")).alias("function_id"),
-                      F.when(~begin & (F.col("matches") == 1), F.col("rule_id")).alias("rule_id"))
+                      F.when(~begin & (F.col("matches") == 1), F.col("rule_id")).alias("rule_id"),
+                      F.when(~begin & (F.col("matches") > 1), several).alias("options"))

@@ -98,12 +98,13 @@ def technique_table(scored: DataFrame) -> DataFrame:
         F.min("rules_passed").alias("rules_passed_worst"),
         F.count_if(F.col("rules_passed") == F.col("rules_applicable")).alias("runs_all_passed"),
         *[F.sum(c).alias(c) for c in claimed], *sums)
-    return by_task.groupBy("technique").agg(
+    table = by_task.groupBy("technique").agg(
         mean3(F.col("task_mean")).alias("mean_compliance_score"), F.count(F.lit(1)).alias("tasks"),
         F.sum("runs").alias("runs"), F.min("rules_passed_worst").alias("rules_passed_worst"),
         F.sum("runs_all_passed").alias("runs_all_passed"), *[F.sum(c).alias(c) for c in claimed],
         *[(F.round(F.sum(f"{m}_sum") / F.sum(f"{m}_n") / 1000.0) / 1000.0).alias(m) for m in metrics],
     ).withColumn("veracity", F.round(F.when(F.col("declared") > 0, F.col("substantiated") / F.col("declared")), 3))
+    return written(table, "techniques")     # a row per technique, read several times by what ranks and compares them
 
 
 def ranked(table: DataFrame) -> DataFrame:

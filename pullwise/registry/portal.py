@@ -307,9 +307,13 @@ VOCAB = "select function_id, replace(function_id, '_', ' ') as name from functio
 
 
 @query("recognise_requests", with_views("""
-select id, role, count(*) as matches, count(*) filter (where ok) as permitted, case when count(*) filter (where ok) = 1 then 'begin' when count(*) = 1 then 'declined' else 'choose' end as decision,
- case when count(*) filter (where ok) = 1 then min(function_id) filter (where ok) when count(*) = 1 then min(function_id) end as function_id
-from (select r.*, q.role, exists (select 1 from may m where m.role = q.role and m.function_id = r.function_id) as ok from recognised r join requests_said q using (id)) group by 1, 2""",
+select id, role, count(function_id) as matches, count(*) filter (where ok) as permitted,
+ case when count(function_id) = 0 then 'unrecognised' when count(*) filter (where ok) = 1 then 'begin' when count(*) = 1 then 'declined' else 'choose' end as decision,
+ case when count(*) filter (where ok) = 1 then min(function_id) filter (where ok) when count(*) = 1 then min(function_id) end as function_id,
+ case when count(function_id) > 1 and count(*) filter (where ok) <> 1 then case when count(*) filter (where ok) > 1
+  then string_agg(function_id, ',' order by function_id) filter (where ok) else string_agg(function_id, ',' order by function_id) end end as options
+from (select q.id, q.role, r.function_id, r.function_id is not null and exists (select 1 from may m where m.role = q.role and m.function_id = r.function_id) as ok
+ from requests_said q left join recognised r using (id)) group by 1, 2""",
     "requests_said", "functions", "role_purposes", "role_artefacts", "function_artefacts", "function_categories", "purpose_allowed",
     extra=recognise_sql("select id, text from requests_said", VOCAB) + """,
 may as (select p.role, f.function_id from functions f join role_purposes p using (purpose)
@@ -327,9 +331,9 @@ def recognise_requests(t):
 @query("audit_stream_daily", with_views("""
 select strftime(at_day, '%Y-%m-%d') as day, purpose, count(*) as events, count(*) filter (where event = 'extraction') as extractions, count(*) filter (where event = 'export') as exports,
  count(*) filter (where event = 'purge') as purges, sum(records)::bigint as records
-from (select *, date_trunc('day', e.at) as at_day from audit_events e) where at_day + interval 3 day <= (select max(m.at) from audit_events m) group by 1, 2""", "audit_events"))
+from (select *, date_trunc('day', e.at) as at_day from audit_events e) group by 1, 2""", "audit_events"))
 def audit_stream_daily(t):
-    """The log streamed from its files: activity per day and purpose, for days the watermark has closed."""
+    """The log streamed from its files: activity per day and purpose, open days included."""
     spark = t.spark
     raw = daily.read_log(spark, t.sf_dir, t["events"].schema, glob="events.parquet", fmt="parquet")
     kind = F.when(F.col("event_id") % 4 == 3, "purge").when(F.col("event_id") % 4 == 2, "export").otherwise("extraction")

@@ -31,14 +31,23 @@ def daily_activity(events: DataFrame, late: str = "2 days") -> DataFrame:
             .select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "purpose", "events", "extractions", "exports", "purges", "records"))
 
 
-def run_available(daily: DataFrame, name: str = "daily", base: str | None = None) -> DataFrame:
-    """Processes what is there, then stops. Append mode writes only days the watermark has closed.
+def run_available(daily: DataFrame, name: str = "daily", base: str | None = None, keys: tuple[str, ...] = ("day", "purpose")) -> DataFrame:
+    """Processes what is there, then stops, and returns every day's counts so far, days still open included.
 
-    Output and checkpoint lie in the shared folder. Give the same ``base`` to a later run to resume exactly
-    where this one stopped; without one, every run starts afresh."""
+    Each micro-batch writes the days it changed under its number, over what a failed try of it left; the latest batch of
+    a day and purpose holds. Output and checkpoint lie in the shared folder. Give the same ``base`` to a later run to resume
+    exactly where this one stopped; without one, every run starts afresh."""
     spark = daily.sparkSession
     base = f"{session.shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}" if base is None else base
-    q = (daily.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
-         .outputMode("append").trigger(availableNow=True).start())
+    columns = daily.columns
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+
+    q = (daily.writeStream.option("checkpointLocation", f"{base}/state").outputMode("update")
+         .foreachBatch(keep).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(daily.schema).parquet(f"{base}/out")
+    written = spark.read.schema(daily.schema.add("batch", "bigint")).parquet(f"{base}/out")
+    values = [c for c in columns if c not in keys]
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"last.{c}").alias(c) for c in columns])

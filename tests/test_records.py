@@ -252,12 +252,12 @@ def test_near_pairs_match_brute_force(spark):
     assert got == {(a, b) for a in ws for b in ws if near(a, b)}
 
 
-def test_stream_emits_closed_days_and_drops_repeats(spark, tmp_path):
+def test_stream_emits_all_days_and_drops_repeats(spark, tmp_path):
     rows = [{"seq": i, "at": f"2026-01-0{1 + i // 3}T10:00:00", "purpose": "p", "event": "extraction", "records": 2} for i in range(18)]
     (tmp_path / "a.json").write_text("\n".join(json.dumps(r) for r in [*rows, rows[0]]))
     raw = daily.read_log(spark, str(tmp_path), "seq bigint, at timestamp, purpose string, event string, records bigint")
     got = {r.day: (r.events, r.records) for r in daily.run_available(daily.daily_activity(raw)).collect()}
-    assert got == {"2026-01-01": (3, 6), "2026-01-02": (3, 6), "2026-01-03": (3, 6)}
+    assert got == {f"2026-01-0{d}": (3, 6) for d in range(1, 7)}
 
 
 def test_stream_resumes_where_it_stopped(spark, tmp_path):
@@ -269,5 +269,5 @@ def test_stream_resumes_where_it_stopped(spark, tmp_path):
         (src / f"{first}.json").write_text("\n".join(json.dumps(
             {"seq": i, "at": f"2026-01-{1 + i:02d}T10:00:00", "purpose": "p", "event": "export", "records": 1}) for i in range(first, last)))
         return {r.day for r in daily.run_available(daily.daily_activity(daily.read_log(spark, str(src), schema)), base=base).collect()}
-    assert more(0, 5) == {"2026-01-01", "2026-01-02"}
-    assert more(5, 8) == {f"2026-01-0{d}" for d in range(1, 6)}
+    assert more(0, 5) == {f"2026-01-0{d}" for d in range(1, 6)}
+    assert more(5, 8) == {f"2026-01-0{d}" for d in range(1, 9)}
