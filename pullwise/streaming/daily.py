@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pullwise import session
 
@@ -44,10 +44,11 @@ def run_available(daily: DataFrame, name: str = "daily", base: str | None = None
     def keep(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
 
+    spark.createDataFrame([], daily.schema).write.mode("overwrite").parquet(f"{base}/out/batch=-1")     # so there is a table without events too
     q = (daily.writeStream.option("checkpointLocation", f"{base}/state").outputMode("update")
          .foreachBatch(keep).trigger(availableNow=True).start())
     q.awaitTermination()
-    written = spark.read.schema(daily.schema.add("batch", "bigint")).parquet(f"{base}/out")
+    written = spark.read.schema(StructType([*daily.schema.fields, StructField("batch", LongType())])).parquet(f"{base}/out")
     values = [c for c in columns if c not in keys]
     last = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
     return last.select(*[F.col(c) if c in keys else F.col(f"last.{c}").alias(c) for c in columns])
