@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pullwise import dims
-from pullwise.operators import fhir, hl7, privacy, retention
+from pullwise.operators import audit, fhir, hl7, privacy, retention
 from pullwise.session import written
 
 
@@ -36,7 +36,8 @@ def shape_export(layer: str, rows: DataFrame, key: str, when: str) -> tuple[Data
 
 
 def write_export(layer: str, rows: DataFrame, directory: str, key: str, when: str) -> tuple[DataFrame | None, DataFrame]:
-    """Messages as text and resources as newline-delimited JSON, partitioned by run so a purge drops folders.
+    """Messages as text and resources as newline-delimited JSON, in a folder per run (so a purge drops folders) within a bounded
+    number of buckets. A run's rows meet in one task before they are written, so a run is a file and not a file per task.
 
     Rows are shaped once; what was written is returned for counting and auditing."""
     messages, entries = shape_export(layer, rows, key, when)
@@ -44,11 +45,71 @@ def write_export(layer: str, rows: DataFrame, directory: str, key: str, when: st
     if messages is not None:
         messages = written(messages, "messages")
         lines = messages.select("run_id", F.replace("message", F.lit("\r"), F.lit("\n")).alias("value"))
-        lines.write.mode("append").partitionBy("run_id").text(f"{directory}/hl7/{layer}")
-    entries.select("run_id", F.col("resource").alias("value")).write.mode("append").partitionBy("run_id").text(f"{directory}/fhir/{layer}")
+        by_run(lines).write.mode("append").partitionBy("bucket", "run_id").text(f"{directory}/hl7/{layer}")
+    resources = entries.select("run_id", F.col("resource").alias("value"))
+    by_run(resources).write.mode("append").partitionBy("bucket", "run_id").text(f"{directory}/fhir/{layer}")
     return messages, entries
 
 
+BUCKETS = 1024
+
+
+def by_run(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS))).repartition("bucket", "run_id")
+
+
+def erase_due(spark: SparkSession, outputs: list[str], retention_table: DataFrame, now) -> DataFrame:
+    """Deletes the folders of runs whose retention has run out from every output of ``write_export`` (its hl7/... and fhir/...
+    folders); returns the purge events to append to the log. A repeated or resumed purge finds less to delete and is harmless."""
+    events = written(retention.purge_events(retention_table, now), "purged")
+    runs = events.select("run_id", F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS)).alias("bucket")).orderBy("bucket", "run_id")
+    path_of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    for r in runs.toLocalIterator():                            # one folder operation each; partition by partition on the driver
+        for output in outputs:
+            folder = path_of(f"{output}/bucket={r['bucket']}/run_id={r['run_id']}")
+            folder.getFileSystem(conf).delete(folder, True)
+    return events
+
+
+def append_log(events: DataFrame, path: str) -> DataFrame:
+    """Appends events (seq above those in the log) as chained lines, and returns the append's seal: its lines' root, linked to
+    the seal before it. Lines are hashed when they are written, so a later edit shows even if nothing was read in between."""
+    spark = events.sparkSession
+    seals = f"{path}/seals"
+    marker = spark._jvm.org.apache.hadoop.fs.Path(seals)
+    before = spark.read.parquet(seals).agg(F.max_by("link", "batch").alias("link"), F.max("batch").alias("batch")).first() \
+        if marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker) else None
+    batch, link = (before["batch"] + 1, before["link"]) if before and before["batch"] is not None else (0, "")
+    lines = written(audit.build_chains(events, audit.event_body()), "lines")
+    lines.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(f"{path}/lines")
+    seal = written(seal_of(lines).select(F.lit(batch).cast("bigint").alias("batch"), "n", "root", audit.sha256(F.concat(F.lit(link), "root")).alias("link")), "seal")
+    seal.write.mode("append").parquet(seals)
+    return seal
+
+
+def seal_of(lines: DataFrame) -> DataFrame:
+    """(n, root) of an append's lines."""
+    anchors = audit.anchor_chains(lines)
+    return anchors.agg(F.sum(F.when(F.col("level") == 0, F.col("n"))).alias("n"), F.max_by("hash", F.struct("level", F.col("node"))).alias("root"))
+
+
+def verify_log(spark: SparkSession, path: str) -> DataFrame:
+    """Per append: whether every line follows from the line before and all still give its root, and whether its link follows from
+    the append before. One row per append."""
+    seals = spark.read.parquet(f"{path}/seals")
+    lines = spark.read.parquet(f"{path}/lines")
+    now = None
+    for r in seals.select("batch").orderBy("batch").collect():
+        one = seal_of(lines.where(F.col("batch") == r["batch"])).select(F.lit(r["batch"]).alias("batch"), F.col("n").alias("n_now"), F.col("root").alias("root_now"))
+        now = one if now is None else now.unionAll(one)
+    before = F.coalesce(F.lag("link").over(Window.orderBy("batch")), F.lit(""))
+    linked = seals.withColumn("linked", (F.col("link") == audit.sha256(F.concat(before, "root"))) & (F.col("batch") == F.row_number().over(Window.orderBy("batch")) - 1))
+    chains = audit.verify_chains(lines.withColumn("chain", F.col("batch") * (1 << 40) + F.col("chain")))
+    broken = chains.groupBy(F.floor(F.col("chain") / (1 << 40)).alias("batch")).agg(F.every("intact").alias("lines_intact"))
+    same = F.coalesce((F.col("root") == F.col("root_now")) & (F.col("n") == F.col("n_now")) & F.col("lines_intact"), F.lit(False))
+    return linked.join(now, "batch", "left").join(broken, "batch", "left").select("batch", "n", same.alias("intact"), "linked")
+
+
 def export_events(rows: DataFrame, messages: DataFrame | None, entries: DataFrame, retention_table: DataFrame) -> DataFrame:
     """One export event per run: what was written, whether pseudonymised, and until when it is kept."""
     counts = entries.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
