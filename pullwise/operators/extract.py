@@ -155,17 +155,22 @@ def pull_patterns(spark: SparkSession, profile: DataFrame, requests: list[tuple]
     """Requests answered from the profile: one row per technique, task, layer and pattern; one without rows for a request that
     nothing answers, so no request is lost."""
     asked = spark.createDataFrame(requests, "technique string, task_id string, layer string, want bigint, scoped boolean, needed boolean")
-    # both sides are bounded by configuration: requests, and at most 2^10 patterns per layer
+    return answered(profile, asked)
+
+
+def answered(profile: DataFrame, asked: DataFrame) -> DataFrame:
+    """Requests (layer, want, scoped, ...) with the patterns that answer them; the profile is bounded by configuration (at most
+    2^10 patterns per layer), requests needn't be."""
     found = profile.select(F.col("layer").alias("of"), "mask", "own", "minor", "n")
     met = asked.join(F.broadcast(found), (F.col("layer") == F.col("of")) & (~F.col("scoped") | F.col("own")), "left")
     return met.drop("of").fillna(0, ["mask", "n"]).fillna(False, ["own", "minor"]).withColumn("got", F.col("mask").bitwiseAND(F.col("want")))
 
 
-def meter(pulls: DataFrame) -> DataFrame:
+def meter(pulls: DataFrame, *keys: str) -> DataFrame:
     """Records, values, fetches, distinct fields, categories, minors, scope and the necessary records
-    (the subject's own rows over the needed layers) per technique and task, in one aggregate."""
+    (the subject's own rows over the needed layers) per technique and task, or other keys, in one aggregate."""
     dob = dims.FIELD_BIT[dims.PA, "date_of_birth"]
-    return pulls.groupBy("technique", "task_id").agg(
+    return pulls.groupBy(*(keys or ("technique", "task_id"))).agg(
         F.count_distinct("layer").alias("fetches"), F.sum("n").alias("records"),
         F.sum(F.col("n") * F.bit_count("got")).alias("fields_pulled"), F.bit_or("got").alias("field_mask"),
         F.sum(F.when(F.col("minor") & masks.has(F.col("got"), dob), F.col("n")).otherwise(0)).alias("minor_records"),

@@ -8,9 +8,11 @@ from pullwise import dims
 from pullwise.functions.dates import age_on, minor
 from pullwise.operators import extract, pulls
 from pullwise.plans import benchmark
+from pullwise.registry import ingestion  # noqa: F401  its views of decisions
 from pullwise.registry.base import query, with_views
 from pullwise.registry.scoring import RUN_SETS, scored_sql
 from pullwise.registry.techniques import mean3
+from pullwise.sources.tables import add_view
 
 LAYER_TABLES = dims.LAYERS
 
@@ -252,3 +254,46 @@ def source_coverage(t):
         parts.append(one.select(F.lit(name).alias("layer"), F.inline(F.array(*[
             F.struct(F.lit(f).alias("field"), F.col(f).alias("rows_carrying")) for f in have]))))
     return reduce(lambda a, b: a.unionAll(b), parts).where("rows_carrying > 0")
+
+
+add_view("recorded", """
+select d.*, case when decision_id % 3 = 1 then 'all' else 'subject' end as scope, decision_id % 9 <> 4 as purpose_specified, decision_id % 5 <> 2 as transport_encrypted,
+ decision_id % 7 <> 3 as at_rest_encrypted, decision_id % 4 <> 1 as access_controlled, decision_id % 2 = 0 as identifiers_pseudonymised,
+ decision_id % 6 <> 5 as notice_covers_purpose, false as notice_machine_readable, decision_id % 8 <> 6 as audit_log_enabled, decision_id % 3 <> 0 as processing_record_kept
+from {decisions} d""")
+
+
+@query("decision_costs", with_views("""
+select r.decision_id, r.task_id, s.score::double as compliance_score, coalesce(m.fetches, 0) as fetches, coalesce(m.records, 0)::bigint as records, coalesce(v.fields_pulled, 0)::bigint as fields_pulled,
+ coalesce(v.distinct_fields, 0)::int as distinct_fields, n.needed_fields::int as needed_fields, coalesce(v.matched_fields, 0)::int as matched_fields, k.necessary::bigint as necessary
+from scored s join recorded r on s.run_id = r.task_id || '--' || r.decision_id left join met m on m.decision_id = r.decision_id left join val v on v.decision_id = r.decision_id
+join (select task_id, count(*) as needed_fields from task_needed group by 1) n on n.task_id = r.task_id left join necessary k on k.task_id = r.task_id
+""", *LAYER_TABLES, "field_catalogue", "tasks", "task_needed", "purpose_policy", "purpose_allowed", "recorded", "decision_fields", extra=f"""
+first_subject as (select mrn from patient_administration order by row_ix limit 1),
+{cells_sql()},
+{rows_sql()},
+layer_n as (select layer, count(*) as n, count(*) filter (where subj = (select mrn from first_subject)) as own from layer_rows group by 1),
+field_n as (select layer, field, count(*) as n, count(*) filter (where subj = (select mrn from first_subject)) as own from cells group by 1, 2),
+sel as (select distinct d.decision_id, r.task_id, c.layer, c.field, c.category, r.scope = 'subject' and t.single_subject as scoped
+ from decision_fields d join field_catalogue c on d.ref = c.layer || '/' || c.field join recorded r using (decision_id) join tasks t using (task_id)),
+met as (select decision_id, count(*) as fetches, sum(coalesce(case when scoped then own else n end, 0)) as records
+ from (select distinct decision_id, layer, scoped from sel) left join layer_n using (layer) group by 1),
+got as (select s.*, coalesce(case when scoped then f.own else f.n end, 0) as n from sel s left join field_n f using (layer, field)),
+val as (select decision_id, sum(n) as fields_pulled, count(*) filter (where n > 0) as distinct_fields,
+ count(*) filter (where n > 0 and exists (select 1 from task_needed x where x.task_id = got.task_id and x.layer = got.layer and x.field = got.field)) as matched_fields from got group by 1),
+necessary as (select t.task_id, (select count(*) from layer_rows r where r.subj = (select mrn from first_subject)
+  and r.layer in (select layer from task_needed n where n.task_id = t.task_id)) as necessary from tasks t where t.single_subject),
+pulled as (select distinct task_id || '--' || decision_id as run_id, category from got where n > 0),
+runs as (select r.task_id || '--' || decision_id as run_id, r.task_id, t.purpose, purpose_specified, case when lawful_basis_type <> 'none' then lawful_basis_type end as basis_type,
+ case when lawful_basis_type <> 'none' then nullif(trim(lawful_basis_reference), '') end as basis_reference, nullif(retention_days, 0) as retention_days,
+ nullif(deletion_mechanism, '') as deletion_mechanism, transport_encrypted, at_rest_encrypted, access_controlled, identifiers_pseudonymised,
+ nullif(trim(notice_reference), '') as notice_reference, notice_covers_purpose, audit_log_enabled, nullif(accountable_party, '') as accountable_party, processing_record_kept,
+ case uses when 'n/a;research registry' then 'research registry' when ' billing_settlement ' then 'billing_settlement' end as secondary_use,
+ case when k.necessary is not null then coalesce(m.records, 0) end as scope_pulled, k.necessary as scope_necessary
+ from recorded r join tasks t using (task_id) left join met m using (decision_id) left join necessary k using (task_id))""" + "," + RUN_SETS + "," + scored_sql("runs")))
+def decision_costs(t):
+    """What each recorded decision pulled, at what cost, and how compliant it was."""
+    from pullwise.plans import recorded
+    rows = t["recorded"].withColumn("secondary_uses", F.split("uses", ";"))
+    return recorded.decision_costs(t.spark, t.layers(), rows, t["decision_fields"]).select(
+        "decision_id", "task_id", "compliance_score", "fetches", "records", "fields_pulled", "distinct_fields", "needed_fields", "matched_fields", "necessary")
