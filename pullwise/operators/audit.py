@@ -193,10 +193,11 @@ def field_listing(field_mask: Column) -> Column:
 
 
 def subject_reads(events: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Per technique and patient: extraction runs that read them."""
+    """Per technique and patient: extraction runs that read them, of how many."""
     extractions = events.where("event = 'extraction'").select("seq", "run_id", "technique")
     pairs = extractions.join(subjects, "seq").select("technique", "run_id", "token").distinct()
-    return pairs.groupBy("technique", "token").agg(F.count(F.lit(1)).alias("runs_touching"))
+    runs = extractions.groupBy("technique", "run_id").agg(F.lit(1).alias("one")).groupBy("technique").agg(F.count(F.lit(1)).alias("runs"))
+    return pairs.groupBy("technique", "token").agg(F.count(F.lit(1)).alias("runs_touching")).join(runs, "technique")
 
 
 # --- breach ------------------------------------------------------------------------------------------

@@ -146,7 +146,20 @@ def subject_scope(t):
     subject = extract.first_subject(layers)
     profile = extract.presence_profile(layers, subject)
     return extract.necessary_records(t.spark, profile, {**dims.TASKS, **dims.INJECTION_TASKS}).withColumn(
-        "subject", subject.scalar())
+        "subject", extract.bound_to(subject))
+
+
+@query("source_ceiling", with_views("""
+select sum(needed)::bigint as needed, sum(in_source)::bigint as in_source, sum(reachable)::bigint as reachable,
+ case when sum(reachable) < sum(needed) then round(sum(reachable) * 1.0 / sum(needed), 3)::double end as ceiling from (
+select (select count(*) from task_needed n where n.task_id = t.task_id) as needed,
+ (select count(*) from task_needed n where n.task_id = t.task_id and exists (select 1 from seen s where s.layer = n.layer and s.field = n.field)) as in_source,
+ (select count(*) from task_needed n where n.task_id = t.task_id and exists (select 1 from seen s where s.layer = n.layer and s.field = n.field and (not t.single_subject or s.own))) as reachable
+from tasks t)""", *LAYER_TABLES, "tasks", "task_needed", extra=cells_sql() + """,
+seen as (select layer, field, bool_or(subj = (select mrn from patient_administration order by row_ix limit 1)) as own from cells group by 1, 2)"""))
+def source_ceiling(t):
+    """The share of the needed fields that all tasks together could obtain."""
+    return extract.source_ceiling(coverage_ceiling(t))
 
 
 @query("scan_project_filter", with_views("""

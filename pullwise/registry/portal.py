@@ -13,17 +13,32 @@ from pullwise.sources.tables import add_view, values
 from pullwise.streaming import daily
 
 
-@query("page_links", r"""
+LINKS_SQL = r"""
 with a as (select page_id, url, unnest(range(len(regexp_extract_all(html, '(?is)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>')))) as ord,
  unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>')) as a from pages),
 b as (select page_id, url, ord::int as ord, trim(regexp_replace(regexp_extract(a, '(?is)^<a\s[^>]*>(.*)</a>$', 1), '<[^>]*>', '', 'g')) as text, regexp_extract(a, '(?is)href="([^"]*)"', 1) as h from a)
 select page_id, ord, text, case when h = '' then url when regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') then h when h like '//%' then regexp_extract(url, '^([A-Za-z]+:)', 1) || h
- when h like '/%' then regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || h else regexp_extract(url, '^(.*/)[^/]*$', 1) || h end as href from b""")
+ when h like '/%' then regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || h else regexp_extract(url, '^(.*/)[^/]*$', 1) || h end as href from b"""
+
+
+@query("page_links", LINKS_SQL)
 def page_links(t):
     """Every link of every page, absolute."""
     return pages.page_links(t["pages"])
 
 
+@query("page_outline", f"""
+select p.url, count(l.ord)::int as n_links, coalesce(string_agg(l.text || '>' || l.href, '|' order by l.ord), '') as links,
+ len(regexp_extract_all(any_value(p.html), '(?i)<t[hd][ >]'))::int as n_cells, len(regexp_extract_all(any_value(p.html), '(?i)<button[ >]'))::int as n_controls
+from pages p left join ({LINKS_SQL}) l using (page_id) group by p.page_id, p.url""")
+def page_outline(t):
+    """What the page parser makes of every page: its links in order, table cells and controls."""
+    p = pages.parse_pages(t["pages"])
+    cells = F.size("headers") + F.aggregate("rows", F.lit(0), lambda a, r: a + F.size(r))
+    return p.select("url", F.size("links").alias("n_links"), F.array_join(F.transform("links", lambda x: F.concat_ws(">", x["text"], x["href"])), "|").alias("links"),
+                    cells.alias("n_cells"), F.size("controls").alias("n_controls"))
+
+
 # A list page per order (its lines) and a record page per order, in a portal's mark-up.
 def order_pages(t):
     o, li = t["orders"], t["lineitem"]

@@ -167,10 +167,11 @@ def processing_record(t):
 
 
 @query("subject_reads", with_views("""
-select technique, token, count(distinct run_id) as runs_touching from audit_events join subj using (seq) where event = 'extraction' group by 1, 2""",
+select * from (select technique, token, count(distinct run_id) as runs_touching from audit_events join subj using (seq) where event = 'extraction' group by 1, 2)
+join (select technique, count(distinct run_id) as runs from audit_events where event = 'extraction' group by 1) using (technique)""",
     "audit_events", "event_subjects", extra=SUBJ))
 def subject_reads(t):
-    """Runs of each technique that touched each patient."""
+    """Runs of each technique that touched each patient, of how many."""
     return audit.subject_reads(t["audit_events"], subjects(t))
 
 
