@@ -2,7 +2,7 @@
 
 Validated values are permuted within their own format: card numbers (Luhn), IBANs (mod 97), North American phone numbers, social
 security numbers, IPv4 addresses, calendar dates and e-mail addresses. The pseudonym is valid in the same format, looks the
-same (punctuation, grouping, case), and as the permutation depends on the key and the format only, equal values have equal
+same (punctuation, grouping, case); numbers outside the North American plan keep their format only. As the permutation depends on the key and the format only, equal values have equal
 pseudonyms in all documents and different values different ones. Numbers run through a Feistel network over Z_a x Z_b
 with a * b the size of the format; names in e-mail addresses through one over their characters, letters to letters and digits
 to digits. Check digits are worked out again. Values that fail validation stay; long digit runs that fit the card format but fail the
@@ -24,11 +24,12 @@ ROUNDS = 8
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-PHONE = r"(?<![0-9A-Za-z+])(?:\+?1[\x20.-]?)?(?:\([2-9][0-9]{2}\)\x20?|[2-9][0-9]{2}[\x20.-])[2-9][0-9]{2}[\x20.-][0-9]{4}(?![0-9])"
+PHONE = r"(?<![0-9A-Za-z+])(?:\+?1[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
+ABROAD = r"(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}(?:[\x20.-]?\(?[0-9]{2,4}\)?){2,4}(?![0-9])"
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9/.-])(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])/(?:0[1-9]|1[0-2])/(?:19|20)[0-9]{2})(?![0-9/-])"
 CARD = r"(?<![0-9A-Za-z.+-])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])"
-KINDS = (("email", EMAIL), ("ip", IP), ("iban", IBAN), ("phone", PHONE), ("ssn", SSN), ("date", DATE), ("card", CARD))
+KINDS = (("email", EMAIL), ("ip", IP), ("iban", IBAN), ("phone", PHONE), ("abroad", ABROAD), ("ssn", SSN), ("date", DATE), ("card", CARD))
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 GUARD = "[0-9@]"
 FIRST_DAY = "1900-01-01"        # dates are permuted among the 270 * 271 days from here
@@ -122,18 +123,25 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """Area code and exchange within 200 to 999, so the result is a number of the same plan."""
+    """Area code and exchange within 200 to 999, so the result is a number of the same plan; others only keep the format."""
     def of(d: Column) -> Column:
         own = F.right(d, F.lit(10))
         part = lambda a, n: F.substring(own, a, n).cast("long")
         value = ((part(1, 3) - 200) * 800 + part(4, 3) - 200) * 10000 + part(7, 4)
-        return let(permuted(value, 80000, 80000, key, "phone"), lambda v: F.concat(
-            F.substring(d, F.lit(1), F.length(d) - 10), (F.floor(v / 8000000) + 200).cast("string"),
-            (F.floor(v / 10000) % 800 + 200).cast("string"), F.lpad((v % 10000).cast("string"), 4, "0")))
+        land = F.substring(d, F.lit(1), F.length(d) - 10)
+        planned = let(permuted(value, 80000, 80000, key, "phone"), lambda v: F.concat(
+            land, (F.floor(v / 8000000) + 200).cast("string"), (F.floor(v / 10000) % 800 + 200).cast("string"), F.lpad((v % 10000).cast("string"), 4, "0")))
+        return F.when((part(1, 3) >= 200) & (part(4, 3) >= 200), planned).otherwise(F.concat(land, permuted_text(own, key, "number")))
 
     return let(digits_of(m), lambda d: let(of(d), lambda new: refilled(m, new)))
 
 
+def _abroad(m: Column, key: str) -> Column:
+    """All digits but the first."""
+    return let(digits_of(m), lambda d: let(F.concat(F.substring(d, 1, 1), permuted_text(F.substring(d, F.lit(2), F.length(d) - 1), key, "abroad")),
+                                           lambda new: refilled(m, new)))
+
+
 def _ssn(m: Column, key: str) -> Column:
     """Areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999."""
     part = lambda a, n: F.substring(m, a, n).cast("long")
@@ -163,7 +171,7 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(permuted_text(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
 
 
-MAKERS = {"email": _email, "ip": _ip, "iban": _iban, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card}
+MAKERS = {"email": _email, "ip": _ip, "iban": _iban, "phone": _phone, "abroad": _abroad, "ssn": _ssn, "date": _date, "card": _card}
 
 
 def kind_of(match: Column) -> Column:

@@ -107,7 +107,7 @@ def is_luhn(d):
 
 
 def test_pseudonyms_keep_format_and_links(spark):
-    values = ["4111 1111 1111 1111", "4111111111111112", "+1 (743) 555-3824", "743-555-3824", "152.143.123.131", "hein.19@mail5.example.com",
+    values = ["4111 1111 1111 1111", "4111111111111112", "+1 (743) 555-3824", "743-555-3824", "+1 (152) 055-8590", "+44 20 7946 0958", "152.143.123.131", "hein.19@mail5.example.com",
               "123-45-6789", "1988-03-14", "14/03/1988", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
     texts = [f"x {v}, é {v} y" for v in values] + [f"only {v}." for v in values] + [None, "", "no data 12 at all", "1999-99-99 300.1.1.1"]
     got = [r.text for r in pseudonyms.pseudonymise(frame(spark, texts), "k").orderBy("doc_id").collect()]
