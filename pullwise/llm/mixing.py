@@ -63,7 +63,7 @@ def position(part: Column, start: Column, end: Column) -> Column:
 def takes(sizes: DataFrame, of: DataFrame, most: int = 2, ramps=RAMPS) -> DataFrame:
     """The rows with source_size, target, and copies: (epoch, words taken, position) of each copy that is taken."""
     row = of.select(F.max("n_docs")).first()
-    blocks = min(1 << 16, max(64, (row[0] or 0) // 5000))
+    blocks = min(1 << 16, max(256, (row[0] or 0) // 5000))
     block = F.floor(F.conv(F.substring("_order", 1, 4), 16, 10).cast("long") * blocks / 65536).cast("int")
     dealt = sizes.withColumn("_block", block)
     summed = dealt.groupBy("_key", "_block").agg(F.sum("_size").alias("_sum"))
