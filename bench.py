@@ -8,7 +8,7 @@ import sys
 import time
 
 from pullwise.registry import all_queries
-from pullwise.session import local_session
+from pullwise.session import clean_up, local_session
 
 HEADLINE = (
     "technique_costs", "technique_totals", "coverage_ceiling", "rule_scores", "purpose_matrix", "veracity", "substantiated_score",
@@ -31,6 +31,7 @@ def main() -> None:
         start = time.perf_counter()
         registered[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+    clean_up(spark)
     spark.stop()
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(sf_dir.rstrip("/"))}))

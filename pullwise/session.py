@@ -81,6 +81,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Deletes what this application has written as intermediates; call it when its results have been consumed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame, name: str = "part") -> DataFrame:
     """A result several later steps read, written once as a table in the shared folder and read back.
 
