@@ -96,39 +96,55 @@ def _powers(n: int) -> np.ndarray:
 _POWERS = _powers(1 << 12)
 
 
-def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, one after another, and the number of words of each text.
-
-    A word is a run of bytes other than ASCII white space; lower folds A-Z only. The hash covers every byte of the word."""
+def _hash_run(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of a run of bytes that ends with a space."""
     global _POWERS
-    joined = b"\n".join((t or "").encode("utf-8", "surrogatepass") for t in texts) + b"\n"
-    data = np.frombuffer(joined, dtype=np.uint8)
-    if lower:
-        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    sizes = np.fromiter((len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts), dtype=np.int64, count=len(texts))
     space = _SPACES[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate(([0], edge))
-    starts, ends = edge[0::2], edge[1::2]            # the last byte is a space, so runs of words always end
+    starts, ends = edge[0::2], edge[1::2]
     if len(starts) == 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
-    longest = int((ends - starts).max())
-    if longest > len(_POWERS):
-        _POWERS = _powers(1 << int(longest).bit_length())
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     lengths = ends - starts
+    if int(lengths.max()) > len(_POWERS):
+        _POWERS = _powers(1 << int(lengths.max()).bit_length())
     inside = np.flatnonzero(~space)
     first = np.cumsum(lengths) - lengths
     offset = np.arange(len(inside), dtype=np.int64) - np.repeat(first, lengths)
     values = (data[inside].astype(np.uint64) + np.uint64(1)) * _POWERS[offset]
-    sums = np.add.reduceat(values, first)
-    hashes = mix(sums + lengths.astype(np.uint64) * _ODD)
-    text_ends = np.cumsum(sizes)
-    counts = np.diff(np.searchsorted(starts, np.concatenate(([0], text_ends))))
-    return hashes, counts.astype(np.int64)
+    return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * _ODD), starts
+
+
+def word_hashes(texts: list[str | None], lower: bool = False, run: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, one after another, and the number of words of each text.
+
+    A word is a run of bytes other than ASCII white space; lower folds A-Z only. The hash covers every byte of the word. The bytes
+    are worked through in runs of about a megabyte that end at a space, so memory follows the text and its words only."""
+    encoded = [(t or "").encode("utf-8", "surrogatepass") + b"\n" for t in texts]
+    ends = np.cumsum([len(x) for x in encoded], dtype=np.int64)
+    data = np.frombuffer(b"".join(encoded), dtype=np.uint8)
+    del encoded
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        to = min(at + run, len(data))
+        while not _SPACES[data[to - 1]]:                # the last byte of all is a space
+            more = np.flatnonzero(_SPACES[data[to:to + 4096]])
+            to = to + int(more[0]) + 1 if len(more) else min(to + 4096, len(data))
+        part = data[at:to]
+        if lower:
+            part = np.where((part >= 65) & (part <= 90), part + np.uint8(32), part)
+        h, s = _hash_run(part)
+        hashes.append(h)
+        starts.append(s + at)
+        at = to
+    if not hashes:
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    counts = np.diff(np.searchsorted(np.concatenate(starts), np.concatenate(([0], ends))))
+    return np.concatenate(hashes), counts.astype(np.int64)
 
 
-def in_pieces(texts: list, size: int = 4 << 20):
+def in_pieces(texts: list, size: int = 2 << 20):
     """Slices of a batch with about so many characters each, so that memory follows the piece and the longest text only."""
     begin, held = 0, 0
     for i, t in enumerate(texts):

@@ -308,3 +308,19 @@ def test_empty_tables_and_clashing_columns(spark):
                                 empty.schema)
     for f in (host_quality.judge, line_dedup.dedup_lines, jaccard.keep_one, mixing.taken_words, packing.pack):
         assert f(odd).count() == 5, f
+
+
+def test_word_hashes_do_not_depend_on_runs():
+    from pullwise.llm.common import word_hashes
+    rng = random.Random(9)
+    texts = ODD + ["".join(rng.choice("ab \n\té日") for _ in range(rng.randrange(400))) for _ in range(60)] + ["x" * 9000 + " y"]
+    want, counts = word_hashes(texts)
+    assert counts.tolist() == [len(words(t)) for t in texts]
+    by = {}
+    for w, h in zip([w for t in texts for w in words(t)], want.tolist()):
+        assert by.setdefault(w, h) == h
+    assert len(set(by.values())) == len(by)
+    for run in (1, 7, 1000):
+        got, n = word_hashes(texts, run=run)
+        assert (got == want).all() and (n == counts).all()
+    assert word_hashes([])[1].tolist() == [] and word_hashes([None, ""])[1].tolist() == [0, 0]
