@@ -6,8 +6,8 @@ within one delimited field. Neither test compares every value with every artefac
 * words: artefacts become an inverted index cut down to words that some value contains. One-word values
   are a semi-join. Longer values are looked up by their rarest word only, and the other words are tested
   inside that join; a rarest word that is still frequent is salted. Nothing but hits is emitted.
-* digits: distinct digit fields are indexed by every seven-digit window; a value is looked up by its last
-  seven digits and its whole digit string is tested against the text ending there.
+* digits: distinct digit fields are cut into all windows of the lengths that the values have, and a value is looked up by its
+  whole digit string: an equi-join on as many keys as there are numbers.
 """
 
 from __future__ import annotations
@@ -54,22 +54,22 @@ def _word_hits(values: DataFrame, artefacts: DataFrame, keys: list[str], hot: in
     return single.unionByName(multi)
 
 
+def _window(n: int):
+    return lambda i: F.substring(F.col("field"), i, F.lit(n))
+
+
 def _digit_hits(values: DataFrame, artefacts: DataFrame, keys: list[str]) -> DataFrame:
-    v = (values.where(text.phone_like(F.col("value"))).withColumn("digits", text.digits(F.col("value")))
-         .withColumn("tail", F.right(F.col("digits"), F.lit(7))))
-    longest = v.agg(F.coalesce(F.max(F.length("digits")), F.lit(7))).scalar()
-    fields = (artefacts.select(*keys, F.explode(text.digit_fields(F.col("text"))).alias("field"))
-              .where(F.length("field") >= 7).distinct())
-    ends = fields.withColumn("longest", longest).select(*keys, "field", "longest", F.explode(
-        F.sequence(F.lit(7), F.length("field"))).alias("end"))
-    start = F.greatest(F.lit(1), F.col("end") - F.col("longest") + 1)
-    grams = ends.select(*keys, F.substring(F.col("field"), F.col("end") - 6, F.lit(7)).alias("tail"),
-                        F.substring(F.col("field"), start, F.col("end") - start + 1).alias("upto")).distinct()
-    a, b = v.alias("a"), grams.alias("b")
-    cond = F.col("b.upto").endswith(F.col("a.digits")) & (F.col("a.tail") == F.col("b.tail"))
-    for k in keys:
-        cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    return a.join(b, cond, "left_semi").select(*keys, "value")
+    v = values.where(text.phone_like(F.col("value"))).withColumn("digits", text.digits(F.col("value"))).select(*keys, "value", "digits")
+    lengths = sorted(r[0] for r in v.select(F.length("digits")).distinct().collect())       # the few lengths that numbers have
+    if not lengths:
+        return v.select(*keys, "value")
+    fields = artefacts.select(*keys, F.explode(F.array_distinct(text.digit_fields(F.col("text")))).alias("field")).where(
+        F.length("field") >= lengths[0]).distinct()
+    windows = F.flatten(F.array(*[
+        F.when(F.length("field") >= n, F.transform(F.sequence(F.lit(1), F.length("field") - n + 1), _window(n)))
+        .otherwise(F.array().cast("array<string>")) for n in lengths]))
+    grams = fields.select(*keys, F.explode(windows).alias("digits")).distinct()
+    return v.join(grams, [*keys, "digits"], "left_semi").select(*keys, "value")
 
 
 def find_leaks(values: DataFrame, artefacts: DataFrame, keys: list[str] | None = None, hot: int = HOT) -> DataFrame:
