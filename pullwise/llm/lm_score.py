@@ -1,14 +1,16 @@
 """Cross-entropy difference: a target and a background bigram model of one order, vocabulary and smoothing score each document.
 
-The vocabulary is the background's most frequent words (`vocabulary` of them); all others are one unknown word. Both models are
-interpolated bigrams, `weight` c(vw) / c(v) + (1 - weight) (c(w) + 0.5) / (N + 0.5 V). A document's score is the mean over its
-words of the target's loss minus the background's, in nats: the lower, the more like the target.
-
-Three passes over the corpus. Words are counted by hash; the top of the counts is the vocabulary, a table of bounded
-size that is broadcast. Pairs of the most frequent words (`HEAD`) are counted in a dense table of bounded size, broadcast too: so
-no pair that a large share of the documents hold is ever shuffled. All other pairs of a document travel once, packed by
-bucket, to where the pair's count over the whole corpus is added up, and their losses return as sums per document. What
-travels grows with the corpus, and no table of all pairs is gathered anywhere.
+The vocabulary is all words of the background, whatever their number; words of the target that the background lacks are one
+unknown word (given `vocabulary`, only so many of the most frequent words are told apart). Both models are interpolated
+bigrams, `weight` c(vw) / c(v) + (1 - weight) (c(w) + 0.5) / (N + 0.5 V). A document's score is the mean over its words of the
+target's loss minus the background's, in nats: the lower, the more like the target.
+
+Two passes over the texts find what is counted. The first gives N, V and the number of texts with words; only these come to the
+driver. In the second each task cuts its texts into blocks and sends every distinct word and pair of a block once, as a
+64-bit hash with its count in the block, to the bucket of that hash. There the counts of all blocks and of the target are
+added up and both sums return to each block that asked, where its documents are scored. What travels grows with the corpus,
+and as a block names a key once, however often it occurs, no word or pair that a large share of the documents hold makes a
+bucket large. Buckets are cut to about `keys` keys by N, so memory follows that and the block, not the corpus.
 
 Odd cases: null texts and those without words have 0 words and null losses and score; repeated rows count in the
 background and are scored each; an empty target gives the uniform unigram model of the vocabulary; an empty corpus gives an
@@ -17,6 +19,7 @@ empty result; further columns are never read.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,214 +28,200 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pullwise.llm.common import in_pieces, partitions, word_hashes
+from pullwise.llm.common import in_pieces, mix, partitions, word_hashes
 from pullwise.session import written
 
-BITS = 15
-START = 1 << BITS           # stands before the first word; beyond all word ids
-HEAD = 512                  # ids below it, and START, are in the dense table
-SIDE = HEAD + 1
+START = np.uint64(0x5BF03635F0A31E21)       # stands before a text's first word
+UNKNOWN = np.uint64(0x2545F4914F6CDD1D)     # all words outside a vocabulary that the caller limits
+_PAIR = np.uint64(0xA24BAED4963EE407)
+
+
+def thin(values: np.ndarray) -> bytes:
+    """Unsigned integers, compressed byte plane by byte plane, as many planes as the largest needs."""
+    planes = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    data = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T)
+    return struct.pack("<BQ", planes, len(values)) + pa.compress(data.tobytes(), codec="zstd", asbytes=True)
 
 
-def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+def wide(data: bytes) -> np.ndarray:
+    planes, n = struct.unpack_from("<BQ", data)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    if n:
+        out[:, :planes] = np.frombuffer(pa.decompress(memoryview(data)[9:], decompressed_size=planes * n, codec="zstd"), np.uint8).reshape(planes, n).T
+    return out.view("<u8").ravel()
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each piece with their counts, and as a null word the number of texts that have words."""
     for b in batches:
         texts = b.column(0).to_pylist()
         for i, j in in_pieces(texts):
-            h, n = np.unique(word_hashes(texts[i:j])[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
+            hashes, counts = word_hashes(texts[i:j])
+            h, n = np.unique(hashes, return_counts=True)
+            h = pa.concat_arrays([pa.array(h.view(np.int64)), pa.nulls(1, pa.int64())])
+            yield pa.RecordBatch.from_arrays([h, pa.array(np.append(n, (counts > 0).sum()).astype(np.int64))], ["hash", "n"])
 
 
-def words(texts: list, vocabulary: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words, 0 for the unknown one, and the number of words of each text."""
+def words(texts: list, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and the number of words of each text. known: the sorted hashes of a limited vocabulary."""
     hashes, counts = word_hashes(texts)
-    known = vocabulary["hashes"]
-    if not len(known):
-        return np.zeros(len(hashes), dtype=np.int64), counts
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.where(known[at] == hashes, vocabulary["ids"][at], 0), counts
+    if known is not None and len(hashes):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1) if len(known) else 0
+        hashes = np.where(known[at] == hashes, hashes, UNKNOWN) if len(known) else np.full(len(hashes), UNKNOWN)
+    return hashes, counts
 
 
-def pairs(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each word (START before a text's first), and each word's text."""
-    before = np.concatenate(([START], ids[:-1])) if len(ids) else ids
-    first = (np.cumsum(counts) - counts)[counts > 0]
-    before = before.copy()
-    before[first] = START
-    return before, np.repeat(np.arange(len(counts)), counts)
+def pairs(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash of each word with the word before it (START before a text's first)."""
+    before = np.concatenate(([START], hashes[:-1])) if len(hashes) else hashes.copy()
+    before[(np.cumsum(counts) - counts)[counts > 0]] = START
+    return mix(mix(before ^ _PAIR) + hashes)
 
 
-def dense(before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs are in the dense table, and their places there."""
-    column = np.where(before == START, HEAD, before)
-    inside = (column <= HEAD) & (ids < HEAD)
-    return inside, column[inside] * SIDE + ids[inside]
+def edges(buckets: int) -> np.ndarray:
+    """Where the buckets' ranges of hashes begin."""
+    return np.array([-(-(k << 32) // buckets) << 32 for k in range(buckets)], dtype=np.uint64)
 
 
-def _head_counts(shared):
-    """Counts of single words (places from SIDE * SIDE on) and of dense pairs, per task."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        size = len(vocabulary["hashes"]) + 1
-        total = np.zeros(SIDE * SIDE + size + 1, dtype=np.int64)
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for i, j in in_pieces(texts):
-                ids, counts = words(texts[i:j], vocabulary)
-                before, _ = pairs(ids, counts)
-                total[:SIDE * SIDE] += np.bincount(dense(before, ids)[1], minlength=SIDE * SIDE)
-                total[SIDE * SIDE:-1] += np.bincount(ids, minlength=size)
-                total[-1] += int((counts > 0).sum())
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["place", "n"])
-    return run
+PARTS = "block long, bucket int, a binary, b binary, doc_ids array<long>"
+_NAMES, _KINDS = ["block", "bucket", "a", "b", "doc_ids"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], _NAMES)
 
-def _tail(shared, buckets: int, scored: bool, flush: int):
-    """Packs the other pairs by bucket. scored: with places of documents; else (the target) counts only."""
-    def pack(texts: list, doc_ids: list, block: int, model: dict):
-        ids, counts = words(texts, model)
-        before, of = pairs(ids, counts)
-        inside, places = dense(before, ids)
-        rows = []
-        if scored:
-            sums = [np.bincount(of[inside], weights=model[name][places], minlength=len(texts)) for name in ("head_target", "head_background")]
-            rows.append((-1, block, counts.astype(np.int64).tobytes(), sums[0].tobytes(), sums[1].tobytes(), doc_ids))
-        keys = (before[~inside].astype(np.uint64) << np.uint64(BITS)) | ids[~inside].astype(np.uint64)
-        joint = (keys << np.uint64(32)) | (of[~inside].astype(np.uint64) if scored else np.uint64(0))
-        joint, n = np.unique(joint, return_counts=True)
-        keys, docs = (joint >> np.uint64(32)).astype(np.uint32), (joint & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        bucket = (keys * np.uint32(0x9E3779B1) >> np.uint32(8)) % np.uint32(buckets)
-        order = np.argsort(bucket, kind="stable")
-        keys, docs, n, bucket = keys[order], docs[order], n[order].astype(np.uint32), bucket[order]
-        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
-        for x, y in zip(cuts, np.append(cuts[1:], len(keys)) if len(bucket) else []):
-            rows.append((int(bucket[x]), block if scored else -1, keys[x:y].tobytes(), docs[x:y].tobytes(), n[x:y].tobytes(), None))
-        return _batch(rows, ["bucket", "block", "a", "b", "c", "doc_ids"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())])
 
+def _ask(known, buckets: int, asking: bool, flush: int):
+    """Distinct words and pairs of each block with their counts, by bucket; asking: with the block's number, to be answered, and
+    as bucket -1 what scoring needs: words a text, distinct words, most frequent first, and each word's place among them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, block = shared.value, TaskContext.get().partitionId() << 32
+        floor, block = edges(buckets), TaskContext.get().partitionId() << 32
         for b in batches:
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in in_pieces(texts, flush):
-                yield pack(texts[i:j], doc_ids[i:j], block, model)
+                hashes, counts = words(texts[i:j], known and known.value)
+                rows = []
+                if asking:
+                    distinct, where, n = np.unique(hashes, return_inverse=True, return_counts=True)
+                    order = np.argsort(-n, kind="stable")
+                    rank = np.empty(len(order), dtype=np.int64)
+                    rank[order] = np.arange(len(order))
+                    rows.append((block, -1, thin(rank[where]), counts.astype("<i8").tobytes() + thin(np.diff(distinct[order], prepend=np.uint64(0))), doc_ids[i:j]))
+                    del distinct, where, order, rank
+                keys, n = np.unique(np.concatenate((hashes, pairs(hashes, counts))), return_counts=True)
+                cuts = np.append(np.searchsorted(keys, floor), len(keys))
+                for k in np.flatnonzero(np.diff(cuts)):
+                    x, y = cuts[k], cuts[k + 1]
+                    rows.append((block if asking else -1, int(k), thin(np.diff(keys[x:y], prepend=floor[k])), thin(n[x:y]), None))
+                yield _batch(rows)
                 block += 1
     return run
 
 
-def losses(before: np.ndarray, ids: np.ndarray, n: np.ndarray, model: dict, name: str, weight: float) -> np.ndarray:
-    """Minus log probability of each pair that occurs n times."""
-    single = model[f"single_{name}"]
-    total, size = single.sum(), len(single)
-    context = np.where(before == START, model[f"starts_{name}"], single[np.minimum(before, size - 1)])
-    base = (single[ids] + 0.5) / (total + 0.5 * size)
-    share = np.divide(n, context, out=np.zeros(len(n)), where=context > 0)
-    return -np.log(np.where(context > 0, weight * share + (1 - weight) * base, base))
-
-
-def _judge(shared, weight: float):
-    """Adds up a bucket's pairs and sends losses back by block and document."""
-    def close(held: list, model: dict) -> pa.RecordBatch:
-        keys = np.concatenate([np.frombuffer(a, np.uint32) for _, a, _, _ in held])
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for *_, c in held]).astype(np.float64)
-        known, where = np.unique(keys, return_inverse=True)
-        owner = np.repeat([block < 0 for block, *_ in held], [len(a) // 4 for _, a, _, _ in held])
-        n = {name: np.bincount(where[owner == flag], weights=counts[owner == flag], minlength=len(known)) for name, flag in (("target", True), ("background", False))}
-        before, ids = (known >> np.uint32(BITS)).astype(np.int64), (known & np.uint32((1 << BITS) - 1)).astype(np.int64)
-        loss = {name: losses(before, ids, n[name], model, name, weight) for name in n}
-        rows, at = [], 0
-        for block, a, b, c in held:
-            k = where[at:at + len(a) // 4]
-            at += len(a) // 4
+def _answer(buckets: int):
+    """Adds up a bucket's counts over all blocks and sends each block the sums of its keys: background's, target's."""
+    def close(bucket: int, held: list, floor: np.ndarray) -> pa.RecordBatch:
+        keys = [floor[bucket] + np.cumsum(wide(a), dtype=np.uint64) for _, a, _ in held]
+        lengths = [len(k) for k in keys]
+        known, where = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        sums = [np.zeros(len(known), dtype=np.uint64) for _ in range(2)]
+        at, rows = 0, []
+        for (block, _, n), size in zip(held, lengths):
+            sums[block < 0][where[at:at + size]] += wide(n)           # a block has each key once
+            at += size
+        at = 0
+        for (block, *_), size in zip(held, lengths):
             if block >= 0:
-                docs, times = np.frombuffer(b, np.uint32), np.frombuffer(c, np.uint32)
-                rows.append((block, None, *(np.bincount(docs, weights=times * loss[name][k]).astype(np.float32).tobytes() for name in ("target", "background")), None))
-        return _batch(rows, ["block", "counts", "target", "background", "doc_ids"], [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())])
+                k = where[at:at + size]
+                rows.append((block, bucket, thin(sums[0][k]), thin(sums[1][k]), None))
+            at += size
+        return _batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, held, now = shared.value, [], None
-        for batch in batches:
-            columns = [batch.column(k) for k in range(6)]
-            for i in range(batch.num_rows):
-                bucket, block = columns[0][i].as_py(), columns[1][i].as_py()
-                a, b, c = (columns[k][i].as_py() for k in (2, 3, 4))
+        floor, held, now = edges(buckets), [], -1
+        for b in batches:
+            for i in range(b.num_rows):
+                block, bucket, *row = (b.column(k)[i].as_py() for k in range(5))
                 if bucket < 0:
-                    yield _batch([(block, a, b, c, columns[5][i].as_py())], ["block", "counts", "target", "background", "doc_ids"],
-                                 [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())])
+                    yield _batch([(block, bucket, *row)])
                     continue
                 if bucket != now and held:
-                    yield close(held, model)
+                    yield close(now, held, floor)
                     held = []
                 now = bucket
-                held.append((block, a, b, c))
+                held.append((block, *row[:2]))
         if held:
-            yield close(held, model)
+            yield close(now, held, floor)
     return run
 
 
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Losses of a block's documents, from its own dense part and the buckets' parts."""
-    def close(parts: list) -> pa.RecordBatch:
-        own = next(p for p in parts if p[0] is not None)
-        n = np.frombuffer(own[0], np.int64)
-        totals = [np.frombuffer(own[k], np.float64).copy() for k in (1, 2)]
-        for p in parts:
-            if p[0] is None:
-                for total, x in zip(totals, (np.frombuffer(p[k], np.float32) for k in (1, 2))):
-                    total[:len(x)] += x
-        mean = [np.divide(t, n, out=np.full(len(n), np.nan), where=n > 0) for t in totals]
-        return pa.RecordBatch.from_arrays([pa.array(own[3], pa.int64()), pa.array(n), *(pa.array(m, mask=n == 0) for m in mean)],
-                                          ["doc_id", "n_words", "loss_target", "loss_background"])
+def losses(pair: np.ndarray, context: np.ndarray, single: np.ndarray, total: int, size: int, weight: float) -> np.ndarray:
+    """Minus log probability of words that occur `single` times, after words that occur `context` times, in pairs that occur `pair` times."""
+    base = (single + 0.5) / (total + 0.5 * size)
+    share = np.divide(pair, context, out=np.zeros(len(pair)), where=context > 0)
+    return -np.log(np.where(context > 0, weight * share + (1 - weight) * base, base))
 
-    parts, now = [], None
-    for batch in batches:
-        for r in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            if r[0] != now and parts:
-                yield close(parts)
-                parts = []
-            now = r[0]
-            parts.append(r[1:])
-    if parts:
-        yield close(parts)
 
+def _judge(totals: list[tuple[int, int]], size: int, weight: float):
+    """Scores a block's documents. totals: words and texts with words of the background and of the target."""
+    def close(parts: list) -> pa.RecordBatch:
+        own = next(p for p in parts if p[0] < 0)
+        parts = sorted((p for p in parts if p[0] >= 0), key=lambda p: p[0])
+        docs = len(own[3])
+        counts = np.frombuffer(own[2][:8 * docs], "<i8")
+        hashes = np.cumsum(wide(own[2][8 * docs:]), dtype=np.uint64)[wide(own[1]).astype(np.int64)]
+        keys, where = np.unique(np.concatenate((hashes, pairs(hashes, counts))), return_inverse=True)
+        word, pair = where[:len(hashes)], where[len(hashes):]
+        of, first = np.repeat(np.arange(docs), counts), (np.cumsum(counts) - counts)[counts > 0]
+        mean = []
+        for k in (1, 0):                                              # target, background
+            n = np.concatenate([np.zeros(0), *(wide(p[1 + k]) for p in parts)])
+            single = n[word]
+            context = np.concatenate(([0.0], single[:-1])) if len(single) else single.copy()
+            context[first] = totals[k][1]
+            loss = np.bincount(of, weights=losses(n[pair], context, single, totals[k][0], size, weight), minlength=docs)
+            mean.append(np.divide(loss, counts, out=np.zeros(docs), where=counts > 0))
+        return pa.RecordBatch.from_arrays([pa.array(own[3], pa.int64()), pa.array(counts), *(pa.array(m, mask=counts == 0) for m in mean)],
+                                          ["doc_id", "n_words", "loss_target", "loss_background"])
 
-def _totals(texts: DataFrame, shared, size: int) -> np.ndarray:
-    rows = texts.mapInArrow(_head_counts(shared), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()   # bounded by the tables' sizes
-    out = np.zeros(SIDE * SIDE + size + 2)
-    for r in rows:
-        out[r["place"]] = r["n"]
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, now = [], None
+        for batch in batches:
+            for block, *row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if block != now and parts:
+                    yield close(parts)
+                    parts = []
+                now = block
+                parts.append(row)
+        if parts:
+            yield close(parts)
+    return run
 
 
-def score(corpus: DataFrame, target: DataFrame, vocabulary: int = 16383, weight: float = 0.7, flush: int = 4 << 20) -> DataFrame:
+def score(corpus: DataFrame, target: DataFrame, vocabulary: int | None = None, weight: float = 0.7, flush: int = 8 << 20, keys: int = 8 << 20) -> DataFrame:
     """Per row of the corpus (doc_id, text): doc_id, n_words, loss_target, loss_background, score. target: a text column."""
     spark = corpus.sparkSession
-    if not 0 < vocabulary < START:
-        raise ValueError("the vocabulary must fit the ids")
+    if vocabulary is not None and vocabulary < 1:
+        raise ValueError("a vocabulary has at least one word")
     texts = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = target.select(F.col("text").cast("string").alias("text"))
-    counted = texts.select("text").mapInArrow(_word_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "hash").limit(vocabulary).collect()
-    hashes = np.array([r["hash"] for r in top], dtype=np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    model: dict = {"hashes": hashes[order], "ids": order.astype(np.int64) + 1}
-    known = spark.sparkContext.broadcast(model)
-    for name, of in (("target", wanted), ("background", texts.select("text"))):
-        t = _totals(of, known, len(top))
-        model |= {f"pairs_{name}": t[:SIDE * SIDE], f"single_{name}": t[SIDE * SIDE:-1], f"starts_{name}": t[-1]}
-    place = np.arange(SIDE * SIDE)
-    before, ids = np.where(place // SIDE == HEAD, START, place // SIDE), np.minimum(place % SIDE, len(top))
-    for name in ("target", "background"):
-        model[f"head_{name}"] = losses(before, ids, model.pop(f"pairs_{name}"), model, name, weight)
-    shared = spark.sparkContext.broadcast(model)
+    wanted = target.select(F.lit(0).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    totals, known = [], None
+    for of in (texts, wanted):
+        counted = of.select("text").mapInArrow(_word_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+        word = F.col("hash").isNotNull()
+        r = counted.agg(F.count("hash").alias("size"), F.sum(F.when(word, F.col("n"))).alias("words"), F.sum(F.when(~word, F.col("n"))).alias("texts")).first()
+        totals.append((r["words"] or 0, r["texts"] or 0))
+        if of is texts:
+            size = r["size"] + 1
+            if vocabulary is not None and vocabulary < r["size"]:
+                top = counted.where(word).orderBy(F.desc("n"), "hash").limit(vocabulary).collect()
+                size = vocabulary + 1
+                known = spark.sparkContext.broadcast(np.sort(np.array([x["hash"] for x in top], dtype=np.int64).view(np.uint64)))
     n = partitions(spark)
-    packed = "bucket int, block long, a binary, b binary, c binary, doc_ids array<long>"
-    tail = texts.mapInArrow(_tail(shared, n, True, flush), packed).unionByName(
-        wanted.select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(_tail(shared, n, False, flush), packed))
-    dealt = tail.repartition(n, F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
-    parts = dealt.mapInArrow(_judge(shared, weight), "block long, counts binary, target binary, background binary, doc_ids array<long>")
-    done = parts.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_sum, "doc_id long, n_words long, loss_target double, loss_background double")
+    buckets = max(2 * n, -(-2 * sum(t[0] for t in totals) // keys))
+    asked = texts.mapInArrow(_ask(known, buckets, True, flush), PARTS).unionByName(wanted.mapInArrow(_ask(known, buckets, False, flush), PARTS))
+    dealt = asked.repartition(n, F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
+    parts = dealt.mapInArrow(_answer(buckets), PARTS)
+    done = parts.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_judge(totals, size, weight), "doc_id long, n_words long, loss_target double, loss_background double")
     return written(done, "scores").withColumn("score", F.col("loss_target") - F.col("loss_background"))

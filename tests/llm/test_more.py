@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +211,21 @@ def test_lm_scores(spark, vocabulary):
             assert r.score == pytest.approx(a(t) - b(t), abs=2e-4)
     assert lm_score.score(spark.createDataFrame([], SCHEMA), frame(spark, target)).count() == 0
     assert lm_score.score(frame(spark, texts[5:9]), spark.createDataFrame([], SCHEMA)).count() == 4
+
+
+def test_lm_scores_tell_all_words_apart(spark):
+    """More words than any fixed vocabulary: each rare word of the target counts as itself."""
+    texts = [" ".join(f"v{100 * i + j}" for j in range(100)) for i in range(400)] + ["v39998 v39999 v39998"]
+    target = ["v39990 v39991 unheard", "v5 v39999 v5", "unheard unseen"]
+    known = {w for t in texts for w in words(t)}
+    assert len(known) == 40000
+    a, b = model(target, known), model(texts, known)
+    rows = lm_score.score(frame(spark, texts).repartition(3), frame(spark, target), flush=30000, keys=5000).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.loss_target == pytest.approx(a(texts[r.doc_id]), abs=1e-6) and r.loss_background == pytest.approx(b(texts[r.doc_id]), abs=1e-6)
+
+
+def test_thin_integers():
+    for values in ([], [0], [255, 256], [2 ** 64 - 1, 0, 7]):
+        assert lm_score.wide(lm_score.thin(np.array(values, dtype=np.uint64))).tolist() == values
