@@ -30,9 +30,14 @@ SPECIAL = "<|endoftext|>"       # fixed value: the one string that the tokenizer
 _tokenizers: dict[str, "WordCache"] = {}
 
 
+class WhiteRun(Exception):
+    """A space with white space or nothing after it."""
+
+
 class WordCache(dict):
-    """Ids of words as bytes. A single space always begins a new pre-token, so the words between single spaces are encoded
-    alone, and mostly found here; other texts are encoded whole."""
+    """Ids of words as bytes. A space begins a new pre-token unless it stands within a run of white space, no-break and other
+    spaces included, or ends one at the end of the text. So where every space has a character after it that isn't white space, the
+    words between spaces are encoded alone, and mostly found here; other texts are encoded whole."""
 
     def __init__(self, name: str, most: int = 300_000):
         super().__init__()
@@ -47,6 +52,8 @@ class WordCache(dict):
         self.most = most
 
     def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace():
+            raise WhiteRun
         ids = np.array(self.fast.encode_ordinary(" " + word), dtype="<u4").tobytes()
         self[word] = ids
         return ids
@@ -60,7 +67,10 @@ class WordCache(dict):
             self.clear()
         first, _, rest = text.partition(" ")
         head = np.array(self.fast.encode_ordinary(first), dtype="<u4").tobytes() if first else b""
-        return head + b"".join(map(self.__getitem__, rest.split(" "))) if _ else head
+        try:
+            return head + b"".join(map(self.__getitem__, rest.split(" "))) if _ else head
+        except WhiteRun:
+            return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
 
 
 def _cutter(name: str, capacity: int):

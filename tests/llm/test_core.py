@@ -297,6 +297,20 @@ def test_packing_round_trip(spark):
         assert [o for o, _ in sorted(p)] == [0, *ends[:-1]] and ends[-1] <= 2048
 
 
+def test_spaces_within_runs_of_white_space():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    cache = packing.WordCache("byte_bpe_50k")
+    rng = random.Random(10)
+    whites = [chr(c) for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    texts = ["a \xa0 \xa0 b", "\xa0 ", "a\n \n b", "a \xa0b", "\xa0 \xa0 "]
+    texts += ["".join(rng.choice([" ", " ", " ", "\xa0", "\xa0", "a", "é1", "'s", rng.choice(whites)]) for _ in range(12)) for _ in range(5000)]
+    for t in texts:
+        assert np.frombuffer(cache.encode(t), "<u4").tolist() == exact.encode(t, add_special_tokens=False).ids, ascii(t)
+    assert np.frombuffer(cache.encode(texts[0]), "<u4").tolist() == [64, 11504, 275]
+
+
 # ---- all ----
 
 def test_empty_tables_and_clashing_columns(spark):
