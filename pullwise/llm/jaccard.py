@@ -83,10 +83,9 @@ _TOPS = bands(1 << 22)
 
 
 def scheme(size: int) -> int:
-    i = int(np.searchsorted(_TOPS, size))
-    if i + 1 >= len(_TOPS):
-        raise ValueError(f"a set of {size} shingles is beyond the size bands")
-    return i
+    if size > _TOPS[-2]:
+        _TOPS.extend(bands(size)[len(_TOPS):])              # every process extends them alike
+    return int(np.searchsorted(_TOPS, size))
 
 
 def segments(top: int) -> int:

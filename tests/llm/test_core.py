@@ -187,6 +187,16 @@ def test_signatures_meet_at_the_threshold(size):
         assert len(np.intersect1d(a, b)), (size, other, trial)
 
 
+def test_sets_of_any_size_have_a_scheme():
+    for size in (4281007, 4281008, 5500000, 90000000):
+        i = jaccard.scheme(size)
+        assert jaccard._TOPS[i - 1] < size <= jaccard._TOPS[i] < jaccard._TOPS[i + 1]
+    assert jaccard._TOPS == jaccard.bands(jaccard._TOPS[-2])
+    rng = np.random.default_rng(1)
+    items = np.unique(rng.integers(0, 1 << 64, 4400000, dtype=np.uint64))
+    assert len(np.intersect1d(jaccard.signatures(items), jaccard.signatures(items[450000:])))
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (100, 60), (61, 60)] + [(7, 7)]
     got = {r.v: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
