@@ -1,10 +1,11 @@
-"""Removal of repeated runs of lines by winnowing.
-
-The fingerprint of a window - the fewest consecutive lines that hold `least_words` words - is the least line hash in it.
-As a window's choice depends on its lines alone, any run of that many words that two places share has a fingerprint in
-both: a guarantee, with few fingerprints per text. Fingerprints that occur once go. At the others the match is extended
-to both sides of the shared line over whole windows, which begin or end at every line: the first place where the same
-lines stand keeps them, and in every later place (a larger doc_id, or further down the same text) they are deleted.
+"""Removal of repeated runs of lines by comparing windows of whole lines.
+
+A window is the fewest consecutive lines that hold `least_words` words; one begins and one ends at every line, and all of them
+are kept and compared by a hash of their content: they aren't thinned to selected fingerprints, and no match is extended,
+as every line of a repeated run then lies in a repeated window. The least line hash in a window (its mark) only drops windows
+whose mark stands at one place before they are grouped by content; equal contents have equal marks, so it changes no result.
+The first place where the same lines stand keeps them, and in every later place (a larger doc_id, or further down the same
+text) they are deleted.
 Matched windows overlap into maximal runs: every line of a repeated run of that many words lies in a window within the run
 that begins at it or before and one that ends at it or after, so nothing of the run stays.
 
