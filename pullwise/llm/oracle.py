@@ -76,4 +76,22 @@ select d.doc_id, case when z.doc_id is null then text else coalesce(array_to_str
  case when z.doc_id is null then n_chars else length(coalesce(array_to_string(k.x, chr(10)), '')) end::bigint as n_chars
 from d left join (select distinct doc_id from z) z using (doc_id) left join k using (doc_id)"""
 
-SQL = {"op2_line_dedup": LINE_DEDUP, "op5_source_mixing": MIXING, "op7_jaccard_join": JACCARD, "op9_host_quality": HOST_QUALITY}
+COLLOCATIONS = rf"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+ 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+w as (select lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') as w from p),
+g as (select lang, k, w[i:i + k - 1] as g from (select *, unnest(range(1, len(w) - k + 2)) as i from (select lang, w, unnest([1, 2, 3]) as k from w))),
+f as (select lang, k, g, count(*) as f from g group by all),
+t as (select lang, sum(f)::bigint as n from f where k = 1 group by 1),
+c as (select lang, g, f as a, k as words, unnest(range(1, k)) as k from f where k > 1 and f >= 10),
+s as (select c.*, x.f as l, y.f as r, ((1000000::hugeint * a * a) // (x.f::hugeint * y.f))::bigint as score
+ from c join f x on x.lang = c.lang and x.g = c.g[:c.k] join f y on y.lang = c.lang and y.g = c.g[c.k + 1:]),
+h as (select lang, g, max(f) as longer from (select lang, f, unnest([g[1:2], g[2:3]]) as g from f where k = 3 and f >= 10) group by 1, 2),
+z as (select s.lang, s.g, s.a, min((s.score, s.k, s.l, s.r)) as x from s left join h on h.lang = s.lang and h.g = s.g
+ where longer is null or 100 * longer < 50 * s.a group by 1, 2, 3),
+o as (select lang, array_to_string(g, ' ') as phrase, a, x[3]::bigint as l, x[4]::bigint as r, x[1]::bigint as score from z),
+q as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from o)
+select lang, rank, phrase, a, l, r, n, score from q join t using (lang) where rank <= 2000"""
+
+SQL = {"op2_line_dedup": LINE_DEDUP, "op5_source_mixing": MIXING, "op7_jaccard_join": JACCARD, "op9_host_quality": HOST_QUALITY,
+       "op12_collocations": COLLOCATIONS}

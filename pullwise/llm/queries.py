@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pullwise.llm import (fingerprints, host_quality, jaccard, langid, line_dedup, lm_score, mixing, oracle, packing, pseudonyms,
+from pullwise.llm import (collocations, fingerprints, host_quality, jaccard, langid, line_dedup, lm_score, mixing, oracle, packing, pseudonyms,
                           secret_scan)
 from pullwise.llm.common import read
 
@@ -57,6 +57,10 @@ def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def collocation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints_query,
     "op2_line_dedup": line_dedup_query,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pseudonyms": pseudonyms_query,
     "op9_host_quality": host_quality_query,
     "op10_language": language_query,
+    "op12_collocations": collocation_query,
 }
 
 SQL: dict[str, str] = oracle.SQL
