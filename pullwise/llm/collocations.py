@@ -35,6 +35,7 @@ _BREAKS = np.zeros(256, dtype=bool)
 _BREAKS[10:14] = True
 SLICE, RUN = 8 << 20, 1 << 20       # characters collapsed together, bytes hashed together
 PREFIXES = 1 << 16                  # buckets of first words
+SHARES = 64                         # in which the phrases of a language are ranked first
 SHARE = 2048                        # a pair of words with more than one in so many suffixes is a prefix of its own
 
 
@@ -278,11 +279,11 @@ def _exact(name: str) -> Column:
     return F.col(name).cast("decimal(15,0)")
 
 
-def collocations(docs: DataFrame, top: int | None = 2000, max_words: int = 3, min_count: int = 10, covered: int = 50, budget: int = 1 << 21) -> DataFrame:
+def collocations(docs: DataFrame, top: int = 2000, max_words: int = 3, min_count: int = 10, covered: int = 50, budget: int = 1 << 21) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the phrases of each language by score.
 
     a is the phrase's count, l and r those of its two parts at the cut with the lowest score floor(1000000 a a / (l r)). Phrases that
-    lie inside a longer one with `covered` per cent of their count or more are left out. top: phrases per language, None for all."""
+    lie inside a longer one with `covered` per cent of their count or more are left out. top: phrases per language."""
     words, phrases = phrase_counts(docs, max_words, min_count, budget)
     counts = words.filter(F.col("n") >= min_count).select("lang", F.array("first").alias("words"), "n").unionByName(phrases)
     left, right = (counts.select("lang", F.col("words").alias(x), F.col("n").alias(c)) for x, c in (("begin", "l"), ("rest", "r")))
@@ -298,9 +299,10 @@ def collocations(docs: DataFrame, top: int | None = 2000, max_words: int = 3, mi
     kept = best.join(longest, ["lang", "words"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < covered * F.col("a"))).drop("longer")
     spelt = kept.select("lang", "words", "a", "cut", F.posexplode("words").alias("at", "first")).join(words.select("lang", "first", "word"), ["lang", "first"]).groupBy(
         "lang", "words", "a", "cut").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = spelt.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(order).cast("long"))
-    if top is not None:
-        ranked = ranked.filter(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))             # the best of each share of a language first, so none is one task's
+    ranked = spelt.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang", share).orderBy(*order))).filter(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
     total = words.groupBy("lang").agg(F.sum("n").alias("n"))
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -93,5 +93,17 @@ o as (select lang, array_to_string(g, ' ') as phrase, a, x[3]::bigint as l, x[4]
 q as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from o)
 select lang, rank, phrase, a, l, r, n, score from q join t using (lang) where rank <= 2000"""
 
+HARD_NEGATIVES = r"""
+with e as (select row_number() over () as r, vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label,
+ list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings where vec_id is not null and label is not null and embedding is not null
+ and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.r, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::bigint as score
+ from e a join e b on a.r <> b.r where a.vec_id % 50 = 0),
+p as (select * from (select *, row_number() over (partition by r order by score desc, vec_id) as i from s where same) where i <= 5),
+n as (select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score,
+ row_number() over (partition by p.r, p.i order by s.score desc, s.vec_id) as rank from p join s on p.r = s.r and not s.same
+ and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 3"""
+
 SQL = {"op2_line_dedup": LINE_DEDUP, "op5_source_mixing": MIXING, "op7_jaccard_join": JACCARD, "op9_host_quality": HOST_QUALITY,
-       "op12_collocations": COLLOCATIONS}
+       "op11_hard_negatives": HARD_NEGATIVES, "op12_collocations": COLLOCATIONS}

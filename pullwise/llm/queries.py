@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pullwise.llm import (collocations, fingerprints, host_quality, jaccard, langid, line_dedup, lm_score, mixing, oracle, packing, pseudonyms,
-                          secret_scan)
+from pullwise.llm import (collocations, fingerprints, hard_negatives, host_quality, jaccard, langid, license_scan, line_dedup, lm_score, mixing,
+                          oracle, packing, pseudonyms, secret_scan)
 from pullwise.llm.common import read
 
 PSEUDONYM_KEY = "demonstration key"     # a deployment passes its own
@@ -57,10 +57,20 @@ def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def hard_negative_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.quantised(read(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 def collocation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
 
 
+def license_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.licenses(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints_query,
     "op2_line_dedup": line_dedup_query,
@@ -72,7 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pseudonyms": pseudonyms_query,
     "op9_host_quality": host_quality_query,
     "op10_language": language_query,
+    "op11_hard_negatives": hard_negative_query,
     "op12_collocations": collocation_query,
+    "op13_license_scan": license_query,
 }
 
 SQL: dict[str, str] = oracle.SQL
