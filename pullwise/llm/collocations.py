@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pullwise.llm.common import _SPACES, _hash_run, in_pieces, mix, partitions
+from pullwise.llm.common import _SPACES, _hash_run, mix, partitions
 from pullwise.session import written
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -66,14 +66,20 @@ def tokens(texts: list[str], how: int = 0) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
+    """The texts of a slice, language by language; only a slice of a batch is held as Python strings."""
     for b in batches:
-        texts = b.column(1).to_pylist()
-        for i, j in in_pieces(texts, SLICE):
-            found: dict[str, list[str]] = {}
-            for lang, text in zip(b.column(0).slice(i, j - i).to_pylist(), texts[i:j]):
+        found: dict[str, list[str]] = {}
+        held = 0
+        for at in range(0, b.num_rows, 64):
+            part = b.slice(at, 64)
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 if text:
                     found.setdefault(lang, []).append(text)
-            yield from found.items()
+                    held += len(text)
+            if held >= SLICE:
+                yield from found.items()
+                found, held = {}, 0
+        yield from found.items()
 
 
 SEEN = "lang string, first long, second long, word string, n long"

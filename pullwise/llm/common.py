@@ -53,6 +53,13 @@ def running_totals(lengths: Column, block: int = 256) -> Column:
     return let(lengths.cast("array<long>"), lambda a: F.when(F.size(a) > 0, by_blocks(a)).otherwise(F.array().cast("array<long>")))
 
 
+def free(name: str, taken: list[str]) -> str:
+    """The name, with underscores before it until no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
 def row_key(*columns: str) -> Column:
     """A digest of the values of a row, equal for equal rows only; nulls count as values."""
     parts = [F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-")) for c in columns]

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pullwise.llm.common import in_pieces, mix, partitions, word_hashes
+from pullwise.llm.common import free, in_pieces, mix, partitions, word_hashes
 from pullwise.llm.graph import components
 from pullwise.session import written
 
@@ -335,5 +335,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those that link, directly or through others, with one of a smaller doc_id; all columns stay.
     Of repeated rows of the kept doc_id all stay, as they are one document."""
     result = component_ids(near_duplicates(docs))
-    gone = written(result.filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone.hint("merge"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = free("_gone", docs.columns)
+    gone = written(result.filter("component_id != doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col(name), "left_anti")

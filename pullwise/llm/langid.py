@@ -12,7 +12,6 @@ are predicted alike; a table without labels predicts `und` for all; an empty tab
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def ngram_counts(text: str, chunk: int = 1 << 20) -> np.ndarray:
@@ -103,9 +101,8 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def fit(labelled: DataFrame, per_language: int = 400, languages: int = 256) -> dict | None:
-    """A model of (doc_id, text, lang) rows. Frequencies are of all rows; weights of at most per_language rows of each language.
-    At most `languages` languages, the most frequent, are learned."""
+def fit(labelled: DataFrame, per_language: int = 400) -> dict | None:
+    """A model of (doc_id, text, lang) rows. Frequencies are of all rows; weights of at most per_language rows of each language."""
     spark = labelled.sparkSession
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     seen = known.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()   # a row per feature
@@ -116,7 +113,7 @@ def fit(labelled: DataFrame, per_language: int = 400, languages: int = 256) -> d
             total = r["n"]
         else:
             frequency[r["bucket"]] = r["n"]
-    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    names = [r["lang"] for r in known.select("lang").distinct().collect()]        # a row per language
     if not names:
         return None
     names.sort()
@@ -144,7 +141,7 @@ def _predictor(shared):
         for b in batches:
             names, scores = [], []
             for t in b.column(1).to_pylist():
-                if model is None or t is None or not _LETTER.search(t):
+                if model is None or t is None or not any(c.isalpha() for c in t):
                     names.append("und")
                     scores.append(0.0)
                     continue

