@@ -81,8 +81,8 @@ def template_rows(headers: DataFrame, column_map: DataFrame) -> DataFrame:
         "file", "header", F.when(foreign, own).otherwise("").alias("field"))
 
 
-def absent_fields(layer: str, df: DataFrame) -> list[str]:
-    return [f for f in dims.FIELD_CATALOGUE[layer] if f not in df.columns]
+def absent_fields(layer: str, carried: set[str]) -> list[str]:
+    return [f for f in dims.FIELD_CATALOGUE[layer] if f not in carried]
 
 
 def normalise_columns(df: DataFrame, dayfirst: bool = True) -> DataFrame:
@@ -141,12 +141,16 @@ def is_stacked(files: dict[str, DataFrame]) -> bool:
     return len({frozenset(_fields(df)) for df in files.values()}) > 1
 
 
-def relevant_files(layer: str, files: dict[str, DataFrame], fields: list[str] | None) -> dict[str, DataFrame]:
+def relevant_names(layer: str, fields_of: dict[str, set[str]], fields: list[str] | None) -> list[str]:
     """The files a fetch has to read: those carrying an asked field other than the key; a key-only ask reads all."""
     asked = set(fields or ()) - {dims.SUBJECT_KEY[layer]}
-    if not asked or not is_stacked(files):
-        return files
-    return {name: df for name, df in files.items() if asked & _fields(df)}
+    if not asked or len({frozenset(fs) for fs in fields_of.values()}) <= 1:
+        return list(fields_of)
+    return [name for name, fs in fields_of.items() if asked & fs]
+
+
+def relevant_files(layer: str, files: dict[str, DataFrame], fields: list[str] | None) -> dict[str, DataFrame]:
+    return {name: files[name] for name in relevant_names(layer, {n: _fields(df) for n, df in files.items()}, fields)}
 
 
 def fetch_stacked(layer: str, files: dict[str, DataFrame], fields: list[str] | None = None,

@@ -3,55 +3,82 @@
 A value is found when all its words occur in one artefact, or - for a phone-like value - its digits occur
 within one delimited field. Neither test compares every value with every artefact:
 
-* words: artefacts become an inverted index cut down to words that some value contains. One-word values
-  are a semi-join. Longer values are looked up by their rarest word only, and the other words are tested
-  inside that join; a rarest word that is still frequent is salted. Nothing but hits is emitted.
+* words: artefacts become an inverted index cut down to words that some value contains. Words are ordered by how rare they are there,
+  and values with the same words are one set. One-word sets are a semi-join. Others are looked up by their rarest word; a
+  bitset of the artefact's wanted words, of a fixed size, rides on each posting and turns most others away; then the second rarest
+  word has to be posted for the artefact too, and only what is left has all its words counted. A set is looked for until one artefact
+  has it, so sets whose rarest word is still frequent are first looked up in small shares of the artefacts.
 * digits: distinct digit fields are cut into all windows of the lengths that the values have, and a value is looked up by its
   whole digit string: an equi-join on as many keys as there are numbers.
+
+What is stored between steps is encrypted (``session.sealed``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pullwise.functions import text
-from pullwise.session import written
+from pullwise.session import sealed
+
+HOT = 100_000           # artefacts sharing a set's rarest word above which shares of them are tried first, and look-ups are salted
+SHARES = (1024, 32)     # one in so many artefacts
+SLOTS = 4               # 64-bit words of an artefact's bitset
+
 
-HOT = 100_000      # artefacts sharing one word above which the look-up is salted
+def _bit(word: Column, slot: int) -> Column:
+    """The word's bit in a slot of the bitset, 0 in all slots but its own."""
+    h = F.xxhash64(word)
+    return F.when(F.pmod(h, F.lit(SLOTS)) == slot, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 8), F.lit(64)).cast("int"))).otherwise(
+        F.lit(0).cast("long"))
+
+
+def _bits(words: Column, slot: int) -> Column:
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, word: bits.bitwiseOR(_bit(word, slot)))
 
 
 def _word_hits(values: DataFrame, artefacts: DataFrame, keys: list[str], hot: int) -> DataFrame:
-    v = values.withColumn("words", text.words(F.col("value"))).where(F.size("words") > 0)
-    wanted = v.select(*keys, F.explode("words").alias("word")).distinct()
+    valued = values.withColumn("words", F.array_sort(text.words(F.col("value")))).where(F.size("words") > 0).withColumn("words", F.array_join("words", " "))
+    sets = sealed(valued.select(*keys, "words").distinct(), "sets", "words")
+    wanted = sets.select(*keys, F.explode(F.split("words", " ")).alias("word")).distinct()
     occurs = artefacts.select(*keys, "artefact_id", F.explode(text.words(F.col("text"))).alias("word"))
-    index = written(occurs.join(wanted, [*keys, "word"], "left_semi"), "postings")      # read twice below
+    index = sealed(occurs.join(wanted, [*keys, "word"], "left_semi"), "postings", "word")
     frequency = index.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("df"))
-
-    single = (v.where(F.size("words") == 1).withColumn("word", F.get("words", F.lit(0)))
-              .join(frequency, [*keys, "word"], "left_semi").select(*keys, "value"))
-
-    spread = (v.where(F.size("words") > 1)
-              .select(*keys, "value", F.size("words").alias("n_words"), "words", F.explode("words").alias("word"))
-              .join(frequency, [*keys, "word"])
-              .groupBy(*keys, "value").agg(
-                  F.count(F.lit(1)).alias("found"), F.first("n_words").alias("n_words"), F.first("words").alias("words"),
-                  F.min(F.struct("df", "word")).alias("rarest"))
-              .where("found = n_words")               # a value with a word no artefact holds is settled here
-              .select(*keys, "value", "words", F.col("rarest.word").alias("word"),
-                      F.ceil(F.col("rarest.df") / F.lit(hot)).cast("int").alias("salts")))
-    lookups = spread.select(*keys, "value", "words", "word", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    anchors = spread.groupBy(*keys, "word").agg(F.max("salts").alias("salts"))
-    have = index.groupBy(*keys, "artefact_id").agg(F.collect_set("word").alias("have"))   # at most the artefact's own words
-    posted = (index.join(anchors, [*keys, "word"]).join(have, [*keys, "artefact_id"])
-              .withColumn("salt", F.pmod(F.xxhash64("artefact_id"), F.col("salts")).cast("int")))
-    a, b = lookups.alias("a"), posted.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "word", "salt")]
-    cond = F.forall(F.col("a.words"), lambda w: F.array_contains(F.col("b.have"), w))
-    for s in same:
-        cond = s & cond
-    multi = a.join(b, cond, "left_semi").select(*keys, "value")
-    return single.unionByName(multi)
+    each = sets.select(*keys, "words", F.explode(F.split("words", " ")).alias("word")).join(frequency, [*keys, "word"])
+    ranked = each.groupBy(*keys, "words").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("r")).where(      # a set's own words
+        F.size("r") == F.size(F.split("words", " ")))               # a set with a word no artefact holds is settled here
+    others = F.transform(F.slice("r", F.lit(2), F.size("r")), lambda x: x["word"])
+    looked = sealed(ranked.select(*keys, "words", F.get("r", F.lit(0))["df"].alias("df"), F.get("r", F.lit(0))["word"].alias("word"),
+                                  F.array_join(others, " ").alias("others")), "lookups", "words", "word", "others")
+    found = looked.where("others = ''").select(*keys, "words")
+    open_ = looked.where("others <> ''")
+    bits = index.groupBy(*keys, "artefact_id").agg(*[F.bit_or(_bit(F.col("word"), i)).alias(f"bits_{i}") for i in range(SLOTS)])
+    for share in (*SHARES, 1) if open_.where(F.col("df") > hot).limit(1).count() else (1,):
+        asked = open_.where(F.col("df") > hot) if share > 1 else open_
+        got = sealed(_sets_found(asked, index, bits, keys, share, hot), "found", "words")
+        found = found.unionByName(got)
+        if share > 1:
+            open_ = open_.join(got, [*keys, "words"], "left_anti")
+    return valued.join(found.distinct(), [*keys, "words"], "left_semi").select(*keys, "value")
+
+
+def _sets_found(sets: DataFrame, index: DataFrame, bits: DataFrame, keys: list[str], share: int, hot: int) -> DataFrame:
+    """The sets that one artefact of the share holds all words of."""
+    posts = index if share == 1 else index.where(F.pmod(F.xxhash64("artefact_id"), F.lit(share)) == 0)
+    salts = F.ceil(F.col("df") / F.lit(share) / F.lit(hot)).cast("int")
+    lookups = sets.withColumns({"salt": F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)), "rest": F.split("others", " ")})
+    lookups = lookups.withColumns({f"need_{i}": _bits(F.col("rest"), i) for i in range(SLOTS)})
+    anchors = sets.groupBy(*keys, "word").agg(F.max(F.greatest(salts, F.lit(1))).alias("salts"))       # a word's sets share its frequency
+    posted = posts.join(anchors, [*keys, "word"]).withColumn("salt", F.pmod(F.xxhash64("artefact_id"), F.col("salts")).cast("int")).join(
+        bits, [*keys, "artefact_id"])
+    may = reduce(Column.__and__, [F.col(f"bits_{i}").bitwiseAND(F.col(f"need_{i}")) == F.col(f"need_{i}") for i in range(SLOTS)])
+    met = lookups.join(posted, [*keys, "word", "salt"]).where(may).select(*keys, "artefact_id", "words", "rest", F.get("rest", F.lit(0)).alias("second"))
+    both = met.join(posts.select(*keys, "artefact_id", F.col("word").alias("second")), [*keys, "artefact_id", "second"], "left_semi")
+    held = both.select(*keys, "artefact_id", "words", F.size("rest").alias("n"), F.explode("rest").alias("word")).join(posts, [*keys, "artefact_id", "word"])
+    return held.groupBy(*keys, "artefact_id", "words", "n").agg(F.count_distinct("word").alias("held")).where("held = n").select(*keys, "words").distinct()
 
 
 def _window(n: int):
@@ -77,7 +104,7 @@ def find_leaks(values: DataFrame, artefacts: DataFrame, keys: list[str] | None =
 
     ``keys`` scope the search (an export's values are looked for in its own artefacts)."""
     keys = keys or []
-    distinct = written(values.where(text.present(F.col("value"))).select(*keys, "value").distinct(), "values")
+    distinct = sealed(values.where(text.present(F.col("value"))).select(*keys, F.col("value").cast("string").alias("value")).distinct(), "values", "value")
     hits = _word_hits(distinct, artefacts, keys, hot).unionByName(_digit_hits(distinct, artefacts, keys)).distinct()
     return distinct.join(hits.withColumn("hit", F.lit(True)), [*keys, "value"], "left").select(
         *keys, "value", F.coalesce("hit", F.lit(False)).alias("leaked"))
@@ -90,8 +117,8 @@ def exact_leaks(values: DataFrame, artefacts: DataFrame) -> DataFrame:
     every q-th position only and a value by the q windows of its first 2q-1 characters. Values are taken in bands of length
     (q doubles from band to band), so a short value doesn't decide for the long ones. What is shuffled of a text are its
     blocks that some value's window equals, and only candidates meet texts."""
-    v = written(values.where(text.present(F.col("value"))).select("value").distinct().withColumn("band", F.floor(
-        F.log2((F.length("value") + 1) / 2)).cast("int")), "values")
+    v = sealed(values.where(text.present(F.col("value"))).select("value").distinct().withColumn("band", F.floor(
+        F.log2((F.length("value") + 1) / 2)).cast("int")), "values", "value")
     bands = sorted(r[0] for r in v.select("band").distinct().collect())         # as many as doublings of the longest value
     found = None
     for band in bands:

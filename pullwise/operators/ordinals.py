@@ -52,3 +52,17 @@ def with_previous(df: DataFrame, keys: list[str], order: str, value: str, out: s
     if position is not None:
         joined = joined.withColumn(position, (F.col("_before") + F.col("_n") - 1).cast("bigint"))
     return joined.drop("_block", "_n", "_prev", "_carried", "_before")
+
+
+def in_read_order(rows: DataFrame, file: str, block: str, place: str, out: str = "row_ix") -> DataFrame:
+    """Numbers rows from 0 in the order of files, blocks within them, and places within blocks, however the files were split.
+
+    place: consecutive within a block, as ``monotonically_increasing_id`` gives it at the scan; the rows have to be written, so that it
+    stays. Rows are never moved for it: block sizes are added up within a file and file sizes across files, one row a block and a file."""
+    blocks = rows.groupBy(file, block).agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first"))
+    earlier = Window.unboundedPreceding, -1
+    files = blocks.groupBy(file).agg(F.sum("_n").alias("_n")).select(
+        file, F.coalesce(F.sum("_n").over(Window.orderBy(file).rowsBetween(*earlier)), F.lit(0)).alias("_files"))
+    offsets = blocks.withColumn("_blocks", F.coalesce(F.sum("_n").over(Window.partitionBy(file).orderBy(block).rowsBetween(*earlier)), F.lit(0))).join(
+        files, file).select(file, block, (F.col("_files") + F.col("_blocks") - F.col("_first")).alias("_offset"))
+    return rows.join(offsets, [file, block]).withColumn(out, (F.col("_offset") + F.col(place)).cast("bigint")).drop("_offset")

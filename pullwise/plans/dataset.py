@@ -12,7 +12,6 @@ from pullwise import dims
 from pullwise.functions import crypto, masks
 from pullwise.operators import extract, leaks, privacy, retention, rules
 from pullwise.plans import benchmark
-from pullwise.session import written
 from pullwise.sinks import exports as sinks
 from pullwise.sources.exports import ExportDirectory
 
@@ -29,15 +28,10 @@ class DatasetRun:
     subjects: DataFrame          # (run_id, token) of the patients exported
 
 
-def read_layers(src: ExportDirectory) -> dict[str, DataFrame]:
-    """The layers as tables with a row index, written once so that the index stays what it is."""
-    return {name: written(df.withColumn("row_ix", F.monotonically_increasing_id()), name) for name, df in src.layers().items()}
-
-
 def run(spark: SparkSession, directory: str, out: str, task_id: str, key: str, when: str, now: Column,
         column_map: DataFrame | None = None) -> DatasetRun:
     src = ExportDirectory(spark, directory, column_map)
-    layers = read_layers(src)
+    layers = src.layers(numbered=True)
     missing = extract.shortfall(layers, dims.TASKS)
     if missing:
         raise ValueError(f"nothing to score: {missing}")

@@ -1,20 +1,24 @@
 """A directory of exported tables (CSV, JSON record lists) as layers.
 
-The driver holds one line per file (name and header), which Spark's own file index holds anyway; rows are
-only ever read by executors. Files with the same header are one scan."""
+Classifying a directory reads the first record of each file only. The driver holds one line per file (name and header), which
+Spark's own file index holds anyway; rows are only ever read by executors, of the files that carry what is asked for. Files with
+the same header are one scan."""
 
 from __future__ import annotations
 
 import csv
+import io
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pullwise import dims
-from pullwise.operators import ingest
+from pullwise.operators import ingest, ordinals
+from pullwise.session import written
+from pullwise.sources.heads import heads
 
 # fixed values: files that sit beside an export without being part of it
 NOT_EXPORT = ("manifest.json", "column_map.json")
@@ -25,18 +29,11 @@ MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
            "None", "n/a", "nan", "null")
 
 
-def file_heads(spark: SparkSession, directory: str, glob: str, chars: int | None = None) -> list[tuple[str, str, str, bool]]:
-    """(path, name, first line or its first ``chars``, whether a quoted value spans lines) of every matching file.
-
-    A line's offset is not exposed by the text source, so the first line is the one with the smallest row id of the block
-    that starts the file. Lines are reduced on the executors; of a record list the driver gets a few characters only."""
-    line = F.col("value") if chars is None else F.substring("value", 1, chars)
+def quoted_breaks(spark: SparkSession, paths: list[str]) -> dict[str, bool]:
+    """Whether a quoted value of a file spans lines, for the files about to be read. Lines are reduced where they are."""
     odd = (F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))) % 2 == 1
-    rows = (spark.read.option("pathGlobFilter", glob).text(directory)
-            .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"),
-                    F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("id"), line.alias("line"), odd.alias("odd"))
-            .groupBy("path", "name").agg(F.min_by("line", "id").alias("line"), F.bool_or("odd").alias("spans")))
-    return [(r["path"], r["name"], r["line"] or "", r["spans"]) for r in rows.collect()]
+    rows = spark.read.text(paths).select(F.col("_metadata.file_name").alias("name"), odd.alias("odd")).groupBy("name").agg(F.bool_or("odd").alias("spans"))
+    return {r["name"]: r["spans"] for r in rows.collect()}                                  # one row per file
 
 
 def without_missing(df: DataFrame) -> DataFrame:
@@ -71,27 +68,38 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+PLACE = ("_block", "_place")
+
+
+def _place() -> dict[str, Column]:
+    """Where a row was read: the start of its block in the file, and a number that grows within the block."""
+    return {"_block": F.col("_metadata.file_block_start"), "_place": F.monotonically_increasing_id()}
+
+
 class ExportDirectory:
     """Files of a directory, classified and read as layers."""
 
     def __init__(self, spark: SparkSession, directory: str, column_map: DataFrame | None = None,
-                 min_confidence: float = dims.MIN_FILE_CONFIDENCE, dayfirst: bool = True) -> None:
-        self.spark, self.directory, self.dayfirst = spark, directory, dayfirst
+                 min_confidence: float = dims.MIN_FILE_CONFIDENCE, dayfirst: bool = True, multiline: bool | None = None) -> None:
+        """multiline: whether quoted values may span lines; by default it is looked up, once, in each file that is about to be read."""
+        self.spark, self.directory, self.dayfirst, self.multiline = spark, directory, dayfirst, multiline
+        self._spans: dict[str, bool] = {}
         self.column_map = column_map if column_map is not None else load_column_map(spark, None)
-        self._csv = {name: (path, next(csv.reader([line.removeprefix("\ufeff")])), spans)
-                     for path, name, line, spans in file_heads(spark, directory, "*.csv") if line}
-        lists = [path for path, name, line, _ in file_heads(spark, directory, "*.json", 8)
-                 if name.lower() not in NOT_EXPORT and line.lstrip("\ufeff \t").startswith("[")]
+        self._csv = {h.name: (h.path, next(csv.reader(io.StringIO(h.head.removeprefix("\ufeff"), newline=""))))
+                     for h in heads(spark, directory, "*.csv") if h.head.strip("\ufeff \t\r\n")}
+        # a record list starts with a bracket, before its first quote
+        lists = [h.path for h in heads(spark, directory, "*.json", '"')
+                 if h.name.lower() not in NOT_EXPORT and h.head.lstrip("\ufeff \t\r\n").startswith("[")]
         self._json: dict[str, list[str]] = {}
         if lists:                                                       # all record lists in one read; a file's headers are those it fills
-            self._records = flatten(spark.read.option("multiLine", True).option("primitivesAsString", True).json(lists).withColumn(
-                "source_file", F.col("_metadata.file_name")))
-            names = [c for c in self._records.columns if c != "source_file"]
+            self._records = flatten(spark.read.option("multiLine", True).option("primitivesAsString", True).json(lists).withColumns(
+                {"source_file": F.col("_metadata.file_name"), **_place()}))
+            names = [c for c in self._records.columns if c not in ("source_file", *PLACE)]
             filled = self._records.groupBy("source_file").agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in names])
             self._json = {r["source_file"]: [c for c in names if r[c]] for r in filled.collect()}                # one row per file
-        heads = [(n, i, h) for n, (_, hs, _) in self._csv.items() for i, h in enumerate(hs)]
-        heads += [(n, i, h) for n, hs in self._json.items() for i, h in enumerate(hs)]
-        self.headers = spark.createDataFrame(heads, "file string, header_ord int, header string")
+        named = [(n, i, h) for n, (_, hs) in self._csv.items() for i, h in enumerate(hs)]
+        named += [(n, i, h) for n, hs in self._json.items() for i, h in enumerate(hs)]
+        self.headers = spark.createDataFrame(named, "file string, header_ord int, header string")
         self.verdicts = ingest.read_verdicts(self.headers, self.column_map, min_confidence)
         names = ingest.mapped_headers(self.headers, self.column_map)
         self._verdict = {r["file"]: r.asDict() for r in self.verdicts.collect()}        # one row per file
@@ -106,57 +114,83 @@ class ExportDirectory:
     def refused(self) -> dict[str, str]:
         return {f: v["reason"] for f, v in sorted(self._verdict.items()) if v["reason"] is not None}
 
-    def _renamed(self, name: str, df: DataFrame) -> DataFrame:
+    def _fields(self, name: str) -> dict[str, str]:
+        """field -> header of the catalogue fields a file carries."""
         known = set(self._verdict[name]["recognised"])
         keep: dict[str, str] = {}
         for header, field in self._names[name].items():
             if field in known and field not in keep:
                 keep[field] = header
-        return df.select(F.lit(name).alias("source_file") if "source_file" not in df.columns else F.col("source_file"),
-                         *[F.col(f"`{h}`").alias(f) for f, h in keep.items()])
-
-    def _groups(self, layer: str) -> list[tuple[list[str], DataFrame]]:
-        """Files with the same headers and mapping, read together. Only files whose quoted values span lines are read unsplit."""
+        return keep
+
+    def _quoted(self, names: list[str]) -> None:
+        """Looks for quoted line breaks in those of the files where that isn't known yet."""
+        new = [n for n in names if n in self._csv and n not in self._spans]
+        if new and self.multiline is None:
+            self._spans |= quoted_breaks(self.spark, [self._csv[n][0] for n in new])
+        for n in new:
+            self._spans.setdefault(n, bool(self.multiline))
+
+    def _groups(self, layer: str, fields: list[str] | None = None) -> list[tuple[list[str], DataFrame]]:
+        """Files with the same headers and mapping, read together; with `fields`, only groups that a fetch of them has to read. Only
+        files whose quoted values span lines are read unsplit."""
+        chosen = [n for n in self.accepted if self._verdict[n]["layer"] == layer]
+        relevant = ingest.relevant_names(layer, {n: set(self._fields(n)) for n in chosen}, fields)
+        self._quoted(relevant)
         groups: dict[tuple, list[str]] = {}
-        for name in self.accepted:
-            if self._verdict[name]["layer"] == layer:
-                headers, spans = (self._csv[name][1], self._csv[name][2]) if name in self._csv else (self._json[name], None)
-                groups.setdefault((tuple(headers), spans, tuple(sorted(self._names[name].items()))), []).append(name)
+        for name in relevant:
+            headers, spans = (self._csv[name][1], self._spans[name]) if name in self._csv else (self._json[name], None)
+            groups.setdefault((tuple(headers), spans, tuple(sorted(self._names[name].items()))), []).append(name)
         out = []
         for (headers, spans, _), names in groups.items():
             if spans is None:
-                df = self._records.where(F.col("source_file").isin(*names)).select("source_file", *[F.col(f"`{h}`") for h in headers])
+                df = self._records.where(F.col("source_file").isin(*names)).select("source_file", *PLACE, *[F.col(f"`{h}`") for h in headers])
             else:
                 schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
                 read = self.spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", spans)
-                df = without_missing(read.csv([self._csv[n][0] for n in names]).withColumn("source_file", F.col("_metadata.file_name")))
-            out.append((names, self._renamed(names[0], df)))
+                df = without_missing(read.csv([self._csv[n][0] for n in names])).withColumns({"source_file": F.col("_metadata.file_name"), **_place()})
+            out.append((names, df.select("source_file", *PLACE, *[F.col(f"`{h}`").alias(f) for f, h in self._fields(names[0]).items()])))
         return out
 
-    def layer(self, layer: str) -> DataFrame | None:
-        """One table per layer: every file's rows with their own fields, dates and amounts normalised."""
+    def layer(self, layer: str, numbered: bool = False) -> DataFrame | None:
+        """One table per layer: every file's rows with their own fields, dates and amounts normalised.
+
+        numbered: with `row_ix`, the place of each row in the order of file names and lines, whatever the splits; written once."""
         parts = [df for _, df in self._groups(layer)]
         if not parts:
             return None
-        return ingest.normalise_columns(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), self.dayfirst)
+        table = ingest.normalise_columns(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), self.dayfirst)
+        if not numbered:
+            return table.drop(*PLACE)
+        return ordinals.in_read_order(written(table, layer), "source_file", *PLACE, out="row_ix").drop(*PLACE)
 
-    def layers(self) -> dict[str, DataFrame]:
-        found = {layer: self.layer(layer) for layer in dims.LAYERS}
+    def layers(self, numbered: bool = False) -> dict[str, DataFrame]:
+        found = {layer: self.layer(layer, numbered) for layer in dims.LAYERS}
         return {k: v for k, v in found.items() if v is not None}
 
     def fetch(self, layer: str, fields: list[str] | None = None, where: dict | None = None) -> DataFrame:
         """Projection and filter over a layer; only the header groups that carry something asked for are scanned."""
-        groups = {names[0]: ingest.normalise_columns(df, self.dayfirst) for names, df in self._groups(layer)}
-        if not groups:
+        every = {f for n in self.accepted if self._verdict[n]["layer"] == layer for f in self._fields(n)}
+        if not every:
             raise KeyError(f"no file of layer {layer}")
+        groups = {names[0]: ingest.normalise_columns(df.drop(*PLACE), self.dayfirst) for names, df in self._groups(layer, fields)}
+        if not groups:
+            groups = {names[0]: df.drop(*PLACE).where(F.lit(False)) for names, df in self._groups(layer)}
         return ingest.fetch_stacked(layer, groups, fields, where)
 
+    def absent(self) -> DataFrame:
+        """(layer, field): catalogue fields that no accepted file of a layer carries, for the layers that are there."""
+        have: dict[str, set[str]] = {}
+        for n in self.accepted:
+            have.setdefault(self._verdict[n]["layer"], set()).update(self._fields(n))
+        return self.spark.createDataFrame([(layer, f) for layer, fields in have.items() for f in ingest.absent_fields(layer, fields)], "layer string, field string")
+
     def report(self) -> DataFrame:
         """One row per file: layer, confidence, rows, unparsed values (in all, and by column), dropped and blanked headers, refusal."""
         parts = []
         for layer in dims.LAYERS:
             for _, df in self._groups(layer):
-                counts = ingest.unparsed_counts(df, "source_file", dayfirst=self.dayfirst)
+                counts = ingest.unparsed_counts(df.drop(*PLACE), "source_file", dayfirst=self.dayfirst)
                 bad = [c for c in counts.columns if c.startswith("unparsed_")]
                 total = sum((F.col(c) for c in bad), F.lit(0))
                 each = F.array(*[F.struct(F.lit(c.removeprefix("unparsed_")).alias("field"), F.col(c).cast("bigint").alias("n")) for c in bad]) if bad \

@@ -12,6 +12,7 @@ from pullwise.functions import text
 from pullwise.operators import fhir, hl7, ingest, leaks, ordinals, privacy
 from pullwise.sinks import exports as sinks
 from pullwise.sources.exports import ExportDirectory, load_column_map
+from pullwise.sources.heads import heads
 
 
 
@@ -197,3 +198,87 @@ def test_sinks_round_trip(spark, tmp_path):
 def test_casefold(spark):
     df = spark.createDataFrame([("Straße ﬁne",)], "v string")
     assert df.select(text.normalise_text(F.col("v"))).collect()[0][0] == " strasse fine "
+
+
+def bytes_read(spark):
+    stats = spark._jvm.org.apache.hadoop.fs.FileSystem.getGlobalStorageStatistics().get("file")
+    return stats.getLong("bytesRead") or 0
+
+
+def test_headers_cost_a_few_buffers_whatever_the_files_size(spark, tmp_path):
+    line = "000123,Asha Rao,1988-03-14," + "x" * 200 + "\n"
+    (tmp_path / "reg.csv").write_text("mrn,full_name,date_of_birth,more\n" + line * 900_000)
+    (tmp_path / "b.json").write_text("[" + ",".join(['{"mrn": "1", "phone": "2"}'] * 1_000_000) + "]")
+    assert (tmp_path / "reg.csv").stat().st_size > 200_000_000
+    before = bytes_read(spark)
+    found = heads(spark, str(tmp_path), "*.csv") + heads(spark, str(tmp_path), "*.json", '"')
+    assert [(h.name, h.head, h.bytes) for h in found] == [("reg.csv", "mrn,full_name,date_of_birth,more", (tmp_path / "reg.csv").stat().st_size),
+                                                          ("b.json", "[{", (tmp_path / "b.json").stat().st_size)]
+    assert bytes_read(spark) - before < 1 << 20
+
+
+def test_classifying_reads_heads_only(spark, tmp_path):
+    line = "000123,Asha Rao,1988-03-14," + "x" * 200 + "\n"
+    for i in range(3):
+        (tmp_path / f"reg{i}.csv").write_text("mrn,full_name,date_of_birth,more\n" + line * 300_000)
+    (tmp_path / "area.csv").write_text("mrn,pincode\n" + "000123,1\n" * 10)
+    size = sum(f.stat().st_size for f in tmp_path.iterdir())
+    before = bytes_read(spark)
+    src = ExportDirectory(spark, str(tmp_path))
+    assert src.accepted == ["area.csv", "reg0.csv", "reg1.csv", "reg2.csv"]
+    assert bytes_read(spark) - before < size / 20
+    assert src.fetch(dims.PA, ["pincode"]).count() == 10                    # the large files aren't opened for it
+    assert bytes_read(spark) - before < size / 20
+    assert src.fetch(dims.PA, ["full_name"]).count() == 900_000
+
+
+def test_heads_may_span_lines_and_start_late(spark, tmp_path):
+    d = write(tmp_path, a__csv='\n\n"mrn","full\nname",phone\n1,2,3\n', b__csv="\ufeffmrn,phone\r\n1,2\r\n", c__csv="", d__csv="mrn,phone")
+    found = {r.name: r.head for r in heads(spark, d, "*.csv")}
+    assert found == {"a.csv": '"mrn","full\nname",phone', "b.csv": "mrn,phone", "d.csv": "mrn,phone"}
+    src = ExportDirectory(spark, d)
+    assert src.accepted == ["a.csv", "b.csv", "d.csv"] and src.layer(dims.PA).count() == 2
+
+
+@pytest.mark.parametrize("split", [1 << 30, 4000, 500])
+def test_read_order_does_not_depend_on_splits(spark, tmp_path, split):
+    rng = random.Random(4)
+    names = [f"reg_{i}.csv" for i in range(4)]
+    want = []
+    for n in names:
+        rows = [(f"M{n[4]}{i:04d}", rng.choice(["Asha", "Rao, Meera", 'the "third"']), f"W{rng.randrange(9)}") for i in range(rng.choice([1, 300, 700]))]
+        extra = ",sex" if n == "reg_2.csv" else ""
+        (tmp_path / n).write_text(f"mrn,full_name,admission_ward{extra}\n" + "".join(
+            f'{m},"{f.replace(chr(34), chr(34) * 2)}",{w}{",F" if extra else ""}\n' for m, f, w in rows))
+        want += rows
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        layers = ExportDirectory(spark, str(tmp_path)).layers(numbered=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = layers[dims.PA].orderBy("row_ix").collect()
+    assert [(r.row_ix, r.mrn, r.full_name, r.admission_ward) for r in got] == [(i, *r) for i, r in enumerate(want)]
+    from pullwise.operators import extract
+    assert extract.first_subject(layers).first()[0] == want[0][0]
+
+
+def test_many_values_that_share_frequent_words(spark):
+    """10 000 values share two words that every artefact holds: what meets is each value's own rare word with its postings."""
+    values = spark.range(10_000).selectExpr("concat('Kumar Singh u', id) as value").unionAll(
+        spark.createDataFrame([("Singh Kumar",), ("kumar absent",), ("Kumar north",), ("u1 u2",)], "value string"))
+    artefacts = spark.range(4_000).selectExpr("id as artefact_id", "concat('PID|', 'kumar^singh|u', id * 3, if(id = 7, '|north', ''), repeat(concat('|x', id), 20)) as text")
+    got = {r.value: r.leaked for r in leaks.find_leaks(values, artefacts).collect()}
+    assert {v for v, hit in got.items() if hit} == {f"Kumar Singh u{i}" for i in range(0, 10_000, 3)} | {"Singh Kumar", "Kumar north"} and len(got) == 10_004
+    hot = {r.value for r in leaks.find_leaks(values.where("value like 'Singh%' or value like 'Kumar n%'"), artefacts, hot=100).where("leaked").collect()}
+    assert hot == {"Singh Kumar", "Kumar north"}
+
+
+def test_stored_steps_hold_nothing_in_the_clear(spark, tmp_path):
+    from pullwise import session
+    rows = session.sealed(spark.createDataFrame([("Asha Rao", 1), (None, 2)], "value string, n int"), "sealed-test", "value")
+    assert {tuple(r) for r in rows.collect()} == {("Asha Rao", 1), (None, 2)}
+    stored = spark.read.parquet(rows.inputFiles()[0].rsplit("/", 1)[0]).collect()
+    assert all(b"Asha" not in bytes(r.value) for r in stored if r.value is not None)
