@@ -16,9 +16,10 @@ signatures are pre-aggregated: the least class stands for the others, so a signa
 arrives once per task. Of the sets that met, each one's shingles that no other of them holds are counted: they are part of
 every difference, so sets with too many link with nothing, and pairs with too many together needn't be formed. Nor need
 pairs whose parity sketches differ in more bits than the sets may in shingles: each differing bit needs one. Each group
-first links its members to the one with the fewest of them; links are verified exactly on the whole sets; then all pairs of a
-group that are still in different components are verified too, so no link is lost and no group of mutual copies is
-expanded into its pairs.
+first links its members to the one with the fewest of them; links are verified exactly on the whole sets. Pairs of a group that are
+still in different components are verified too, so no link is lost: there shingles count as own that no other component has, and as
+both together may have a ninth of their sizes only, one of the two has an eighth of its own at most. So near copies that don't
+link, and copies of them, aren't expanded into their pairs. A pair that shares many signatures is formed under the least it shares.
 
 Odd cases: null, empty and blank texts have no shingles and are linked with nothing; fewer words than a shingle make one
 shingle of the whole sequence; repeated rows are equal sets; rows without an id are linked to equal sets only, and a component
@@ -262,6 +263,22 @@ def own_shingles(sets: DataFrame) -> DataFrame:
         own, "class", "left").fillna(0, ["own"])
 
 
+def _placed_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for c, k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            items = np.frombuffer(x.as_buffer(), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items), v, dtype=np.int64)) for v in (c, k)] + [pa.array(items)], ["class", "component", "item"])
+
+
+def own_to_component(sets: DataFrame, placed: DataFrame) -> DataFrame:
+    """Per class of (class, component) its own: the shingles that no class of another component has. Copies that link share theirs, so
+    this stays as it is however many there are."""
+    rows = sets.join(placed, "class").select("class", "component", "items").mapInArrow(_placed_hashes, "class long, component long, item long")
+    single = rows.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo = hi").select("item")
+    own = rows.join(single, "item").groupBy("class").agg(F.count(F.lit(1)).alias("own"))
+    return placed.select("class").join(own, "class", "left").fillna(0, ["own"])
+
+
 SKETCH = [f"k{i}" for i in range(8)]        # 512 parity bits
 
 
@@ -278,7 +295,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _as(rows: DataFrame, x: str) -> DataFrame:
     """The members' columns named for one side of a pair."""
     return rows.select("sig", F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("own", "size", *SKETCH)],
-                       *[F.col(c).alias(f"{c}_{x}") for c in ("component",) if c in rows.columns])
+                       *[F.col(c).alias(f"{c}_{x}") for c in ("component", "light", "first") if c in rows.columns])
 
 
 def _may_link() -> Column:
@@ -289,6 +306,15 @@ def _may_link() -> Column:
         5 * F.least("size_a", "size_b") >= 4 * F.greatest("size_a", "size_b")) & (9 * differ <= both)
 
 
+FIRST = 16      # least signatures of a class that ride on its members
+
+
+def _met_before() -> Column:
+    """Whether classes a and b are seen to share a lesser signature than this one, under which they are paired already. They never are
+    under the least one they share, so each pair is formed, and most are once."""
+    return F.arrays_overlap(F.filter("first_a", lambda s: s < F.col("sig")), F.filter("first_b", lambda s: s < F.col("sig")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, class, component): equal sets share a class, linked classes a component; both null without shingles."""
     spark = docs.sparkSession
@@ -314,9 +340,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("sig")
     open_ = written(placed.join(mixed, "sig", "left_semi"), "open")
     if open_.limit(1).count():
-        left, right = _as(open_, "a"), _as(open_, "b").withColumnRenamed("sig", "sig_b")
-        across = left.join(right, (F.col("sig") == F.col("sig_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("a") < F.col("b"))
-                           & _may_link()).select("a", "b").distinct()
+        own = written(own_to_component(sets, open_.select("class", "component").distinct()), "own")
+        first = open_.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRST).alias("first"))        # of a set's own signatures
+        open_ = open_.drop("own").join(own.join(first, "class"), "class")
+        # both together may have few shingles of their own, so one of them has few
+        light = 8 * F.col("own") <= F.col("size")
+        left, right = _as(open_.filter(light), "a"), _as(open_.withColumn("light", light), "b").withColumnRenamed("sig", "sig_b")
+        across = left.join(right, (F.col("sig") == F.col("sig_b")) & (F.col("component_a") != F.col("component_b")) & (
+            ~F.col("light_b") | (F.col("a") < F.col("b"))) & ~_met_before() & _may_link()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = written(verified(across.join(tried, ["a", "b"], "left_anti"), sets), "links")
         if more.limit(1).count():
