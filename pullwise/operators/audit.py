@@ -26,13 +26,15 @@ def chain_of(seq: Column, length: int = CHAIN_LENGTH) -> Column:
     return F.floor(seq / F.lit(length))
 
 
-def build_chains(events: DataFrame, body: Column, seq: str = "seq", length: int = CHAIN_LENGTH) -> DataFrame:
-    """(chain, seq, prev_sha256, line): every line carries the hash of the line before it in its chain.
+def build_chains(events: DataFrame, body: Column, seq: str = "seq", length: int = CHAIN_LENGTH, scope: str | None = None) -> DataFrame:
+    """(chain, seq, prev_sha256, line): every line carries the hash of the line before it in its chain. ``scope``: a column whose
+    values have chains of their own; it comes first.
 
     ``body`` is the event as a JSON object. Linking is sequential inside a chain and parallel across
     chains; a chain holds at most ``length`` events because it is a range of the unique sequence number."""
-    rows = events.select(chain_of(F.col(seq), length).alias("chain"), F.struct(F.col(seq).alias("seq"), body.alias("body")).alias("e"))
-    ordered = rows.groupBy("chain").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    keys = [scope, "chain"] if scope else ["chain"]
+    rows = events.select(*keys[:-1], chain_of(F.col(seq), length).alias("chain"), F.struct(F.col(seq).alias("seq"), body.alias("body")).alias("e"))
+    ordered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("es"))
     empty = F.struct(F.lit("").alias("line"), F.array().cast("array<struct<seq:bigint,prev:string,line:string>>").alias("out"))
 
     def link(acc, e):
@@ -41,8 +43,8 @@ def build_chains(events: DataFrame, body: Column, seq: str = "seq", length: int
         made = F.struct(e["seq"].cast("bigint").alias("seq"), prev.alias("prev"), line.alias("line"))
         return F.struct(line.alias("line"), F.concat(acc["out"], F.array(made)).alias("out"))
 
-    folded = ordered.select("chain", F.aggregate("es", empty, link)["out"].alias("out"))
-    return folded.select("chain", F.inline("out")).withColumnRenamed("prev", "prev_sha256")
+    folded = ordered.select(*keys, F.aggregate("es", empty, link)["out"].alias("out"))
+    return folded.select(*keys, F.inline("out")).withColumnRenamed("prev", "prev_sha256")
 
 
 def verify_chains(lines: DataFrame, key: str = "chain", seq: str = "seq", block: int = 65536) -> DataFrame:
@@ -102,7 +104,7 @@ def subjects_in(rows: DataFrame, layer: str, key: str, scopes: DataFrame | None
         named = keyed.select("run_id", "subject").unionAll(scopes.select("run_id", "scoped_to"))
     else:
         named = keyed
-    tokens = named.where("subject is not null").distinct().select("run_id", crypto.token(F.col("subject"), key).alias("token"))
+    tokens = named.where("subject is not null").distinct().select("run_id", crypto.token(F.col("subject"), key, crypto.WHOLE).alias("token"))
     lost = keyed.groupBy("run_id").agg(F.count_if(F.col("subject").isNull() & scoped_to.isNull()).alias("unattributed"))
     return tokens, lost
 

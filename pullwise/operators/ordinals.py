@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pullwise.session import written
+
 BLOCK = 65536
 
 
@@ -66,3 +68,10 @@ def in_read_order(rows: DataFrame, file: str, block: str, place: str, out: str =
     offsets = blocks.withColumn("_blocks", F.coalesce(F.sum("_n").over(Window.partitionBy(file).orderBy(block).rowsBetween(*earlier)), F.lit(0))).join(
         files, file).select(file, block, (F.col("_files") + F.col("_blocks") - F.col("_first")).alias("_offset"))
     return rows.join(offsets, [file, block]).withColumn(out, (F.col("_offset") + F.col(place)).cast("bigint")).drop("_offset")
+
+
+def sequenced(rows: DataFrame, *order: Column | str, out: str = "seq", start: int = 0) -> DataFrame:
+    """Numbers all rows in an order: dealt out by ranges, placed within them, and numbered from the sizes of the ranges before."""
+    dealt = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
+        {"_file": F.lit(0), "_block": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "ordered")
+    return in_read_order(dealt, "_file", "_block", "_place", out).withColumn(out, F.col(out) + start).drop("_file", "_block", "_place")

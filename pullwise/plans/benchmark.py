@@ -12,14 +12,14 @@ TECHNIQUES = [dims.REFERENCE_TECHNIQUE, *[f"without-{a}" for a in dims.ABLATIONS
 
 
 def technique_costs(spark: SparkSession, layers: dict[str, DataFrame], tasks: dict | None = None,
-                    techniques: list[str] | None = None) -> DataFrame:
-    """One scored and metered row per technique and task."""
+                    techniques: list[str] | None = None, profile: DataFrame | None = None) -> DataFrame:
+    """One scored and metered row per technique and task. profile: of the layers, where the caller has worked it out."""
     tasks = tasks or dims.TASKS
     techniques = techniques or TECHNIQUES
     missing = extract.shortfall(layers, tasks)
     if missing:
         raise ValueError(f"nothing to score: {missing}")
-    profile = extract.presence_profile(layers, extract.first_subject(layers))
+    profile = profile if profile is not None else extract.presence_profile(layers, extract.first_subject(layers))
     metered = extract.meter(extract.pull_patterns(spark, profile, extract.technique_requests(tasks, techniques)))
     manifests = spark.createDataFrame(extract.technique_manifests(tasks, techniques), extract.MANIFEST_SCHEMA)
     runs = (manifests.join(metered, ["technique", "task_id"])

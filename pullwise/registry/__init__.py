@@ -6,7 +6,7 @@ import importlib
 
 from pullwise.registry.base import REGISTRY, Query
 
-MODULES = ("scoring", "techniques", "extraction", "interop", "reports", "ingestion", "files", "portal", "details")
+MODULES = ("scoring", "techniques", "extraction", "interop", "reports", "ingestion", "files", "records", "portal", "details")
 
 
 def all_queries() -> dict[str, Query]:

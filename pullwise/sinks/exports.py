@@ -1,12 +1,12 @@
-"""Writers: layer exports, shaped exports, schedules, audit events, scores, and the purge."""
+"""Writers: layer exports, shaped exports, schedules, scores, and the purge."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pullwise import dims
-from pullwise.operators import audit, fhir, hl7, privacy, retention
+from pullwise.operators import fhir, hl7, privacy, retention
 from pullwise.session import written
 
 
@@ -35,79 +35,66 @@ def shape_export(layer: str, rows: DataFrame, key: str, when: str) -> tuple[Data
     return messages, fhir.bundle(layer, safe)
 
 
-def write_export(layer: str, rows: DataFrame, directory: str, key: str, when: str) -> tuple[DataFrame | None, DataFrame]:
-    """Messages as text and resources as newline-delimited JSON, in a folder per run (so a purge drops folders) within a bounded
-    number of buckets. A run's rows meet in one task before they are written, so a run is a file and not a file per task.
+BUCKETS = 1024          # of the runs of an output; what a purge rewrites is the buckets that hold a due run
 
-    Rows are shaped once; what was written is returned for counting and auditing."""
+
+def write_export(layer: str, rows: DataFrame, directory: str, key: str, when: str, buckets: int = BUCKETS) -> tuple[DataFrame | None, DataFrame]:
+    """Messages and resources as tables of (run_id, n, value) under hl7/ and fhir/, in a bounded number of buckets of runs.
+
+    Rows are shaped once; what was written is returned for counting and auditing. ``publish`` makes files of a run."""
     messages, entries = shape_export(layer, rows, key, when)
     entries = written(entries, "entries")
     if messages is not None:
         messages = written(messages, "messages")
-        lines = messages.select("run_id", F.replace("message", F.lit("\r"), F.lit("\n")).alias("value"))
-        by_run(lines).write.mode("append").partitionBy("bucket", "run_id").text(f"{directory}/hl7/{layer}")
-    resources = entries.select("run_id", F.col("resource").alias("value"))
-    by_run(resources).write.mode("append").partitionBy("bucket", "run_id").text(f"{directory}/fhir/{layer}")
+        append_output(messages.select("run_id", "n", F.col("message").alias("value")), f"{directory}/hl7/{layer}", buckets)
+    append_output(entries.select("run_id", "n", F.col("resource").alias("value")), f"{directory}/fhir/{layer}", buckets)
     return messages, entries
 
 
-BUCKETS = 1024
+def outputs(directory: str, layers: list[str]) -> list[str]:
+    """The tables that ``write_export`` writes for the layers."""
+    return [f"{directory}/{kind}/{layer}" for layer in layers for kind in ("hl7", "fhir") if kind == "fhir" or "hl7_v2" in dims.LAYER_STANDARDS[layer]]
 
 
-def by_run(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS))).repartition("bucket", "run_id")
+def bucket_of(run: str = "run_id", buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(run), F.lit(buckets)).cast("int")
 
 
-def erase_due(spark: SparkSession, outputs: list[str], retention_table: DataFrame, now) -> DataFrame:
-    """Deletes the folders of runs whose retention has run out from every output of ``write_export`` (its hl7/... and fhir/...
-    folders); returns the purge events to append to the log. A repeated or resumed purge finds less to delete and is harmless."""
-    events = written(retention.purge_events(retention_table, now), "purged")
-    runs = events.select("run_id", F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS)).alias("bucket")).orderBy("bucket", "run_id")
-    path_of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
-    for r in runs.toLocalIterator():                            # one folder operation each; partition by partition on the driver
-        for output in outputs:
-            folder = path_of(f"{output}/bucket={r['bucket']}/run_id={r['run_id']}")
-            folder.getFileSystem(conf).delete(folder, True)
-    return events
+def append_output(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Rows go out in ranges of (bucket, run, place): a run is a few files side by side, and a large one isn't one task's."""
+    placed = rows.select(bucket_of(buckets=buckets).alias("bucket"), "run_id", F.col("n").cast("bigint").alias("n"), "value")
+    placed.repartitionByRange("bucket", "run_id", "n").sortWithinPartitions("bucket", "run_id", "n").write.mode("append").partitionBy("bucket").parquet(path)
+
 
+def read_output(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, n, value, bucket) of an output. Rows without a run mark buckets that a purge has emptied."""
+    return spark.read.schema("run_id string, n bigint, value string, bucket int").parquet(path).where("run_id is not null")
 
-def append_log(events: DataFrame, path: str) -> DataFrame:
-    """Appends events (seq above those in the log) as chained lines, and returns the append's seal: its lines' root, linked to
-    the seal before it. Lines are hashed when they are written, so a later edit shows even if nothing was read in between."""
-    spark = events.sparkSession
-    seals = f"{path}/seals"
-    marker = spark._jvm.org.apache.hadoop.fs.Path(seals)
-    before = spark.read.parquet(seals).agg(F.max_by("link", "batch").alias("link"), F.max("batch").alias("batch")).first() \
-        if marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker) else None
-    batch, link = (before["batch"] + 1, before["link"]) if before and before["batch"] is not None else (0, "")
-    lines = written(audit.build_chains(events, audit.event_body()), "lines")
-    lines.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(f"{path}/lines")
-    seal = written(seal_of(lines).select(F.lit(batch).cast("bigint").alias("batch"), "n", "root", audit.sha256(F.concat(F.lit(link), "root")).alias("link")), "seal")
-    seal.write.mode("append").parquet(seals)
-    return seal
-
-
-def seal_of(lines: DataFrame) -> DataFrame:
-    """(n, root) of an append's lines."""
-    anchors = audit.anchor_chains(lines)
-    return anchors.agg(F.sum(F.when(F.col("level") == 0, F.col("n"))).alias("n"), F.max_by("hash", F.struct("level", F.col("node"))).alias("root"))
-
-
-def verify_log(spark: SparkSession, path: str) -> DataFrame:
-    """Per append: whether every line follows from the line before and all still give its root, and whether its link follows from
-    the append before. One row per append."""
-    seals = spark.read.parquet(f"{path}/seals")
-    lines = spark.read.parquet(f"{path}/lines")
-    now = None
-    for r in seals.select("batch").orderBy("batch").collect():
-        one = seal_of(lines.where(F.col("batch") == r["batch"])).select(F.lit(r["batch"]).alias("batch"), F.col("n").alias("n_now"), F.col("root").alias("root_now"))
-        now = one if now is None else now.unionAll(one)
-    before = F.coalesce(F.lag("link").over(Window.orderBy("batch")), F.lit(""))
-    linked = seals.withColumn("linked", (F.col("link") == audit.sha256(F.concat(before, "root"))) & (F.col("batch") == F.row_number().over(Window.orderBy("batch")) - 1))
-    chains = audit.verify_chains(lines.withColumn("chain", F.col("batch") * (1 << 40) + F.col("chain")))
-    broken = chains.groupBy(F.floor(F.col("chain") / (1 << 40)).alias("batch")).agg(F.every("intact").alias("lines_intact"))
-    same = F.coalesce((F.col("root") == F.col("root_now")) & (F.col("n") == F.col("n_now")) & F.col("lines_intact"), F.lit(False))
-    return linked.join(now, "batch", "left").join(broken, "batch", "left").select("batch", "n", same.alias("intact"), "linked")
+
+def publish(spark: SparkSession, path: str, runs: DataFrame, directory: str) -> None:
+    """The lines of some runs as text files, a folder per run; segments of a message are lines."""
+    lines = read_output(spark, path).join(runs.select("run_id").distinct(), "run_id", "left_semi")
+    lines.repartitionByRange("run_id", "n").sortWithinPartitions("run_id", "n").select("run_id", F.replace("value", F.lit("\r"), F.lit("\n")).alias("value")).write.mode(
+        "append").partitionBy("run_id").text(directory)
+
+
+def purge(spark: SparkSession, paths: list[str], retention_table: DataFrame, now: Column, dry_run: bool = False, buckets: int = BUCKETS) -> DataFrame:
+    """Takes the runs whose retention has run out from every output, and returns the purge events to append to the log.
+
+    Copy on write: of the buckets that hold a due run, what stays is first written aside and then put in their place by one dynamic
+    partition overwrite an output; other buckets aren't read. A bucket that nothing stays in keeps one row without a run. A repeated or
+    resumed purge finds less to take and is harmless. Older snapshots are the storage's to erase."""
+    events = written(retention.purge_events(retention_table, now), "purged")
+    if dry_run:
+        return events
+    due = events.select("run_id").distinct().withColumn("bucket", bucket_of(buckets=buckets))
+    touched = written(due.select("bucket").distinct(), "touched")
+    for path in paths:                                                                      # two a layer
+        here = read_output(spark, path).join(touched, "bucket", "left_semi")
+        kept = here.join(due, ["bucket", "run_id"], "left_anti").unionByName(touched, allowMissingColumns=True)
+        written(kept, "kept").repartitionByRange("bucket", "run_id", "n").sortWithinPartitions("bucket", "run_id", "n").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return events
 
 
 def export_events(rows: DataFrame, messages: DataFrame | None, entries: DataFrame, retention_table: DataFrame) -> DataFrame:
@@ -123,26 +110,9 @@ def export_events(rows: DataFrame, messages: DataFrame | None, entries: DataFram
     return joined.select(F.lit("export").alias("event"), "run_id", "purpose", F.col("n").alias("records"), note.alias("note"))
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Appends audit events to the log table, partitioned by the day they happened."""
-    events.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").parquet(path)
-
-
 def write_scores(scores: DataFrame, path: str) -> None:
     scores.write.mode("overwrite").json(path)
 
 
 def write_retention(schedules: DataFrame, path: str) -> None:
     schedules.write.mode("append").json(path)
-
-
-def purge(spark: SparkSession, exports_path: str, out_path: str, retention_table: DataFrame, now, dry_run: bool = False) -> DataFrame:
-    """Exports whose retention has run out are left out of the next version of the table; returns purge events.
-
-    The survivors are written as a new version beside the old one (``out_path``), which the caller then
-    switches to; a failed write leaves the old version whole."""
-    events = retention.purge_events(retention_table, now)
-    if not dry_run:
-        kept = retention.survivors(spark.read.parquet(exports_path), retention_table, now)
-        kept.write.mode("overwrite").partitionBy("run_id").parquet(out_path)
-    return events

@@ -1,5 +1,6 @@
 """A directory of files end to end: no raw identifier in anything that is written."""
 
+import json
 from datetime import datetime
 
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from pullwise import dims, session
 from pullwise.plans import dataset
+from pullwise.sinks import exports as sinks
+from pullwise.sinks import log
 
 
 def test_dataset_path(spark, tmp_path):
@@ -26,12 +29,26 @@ def test_dataset_path(spark, tmp_path):
     matrix = {r.purpose: r for r in out.matrix.collect()}
     assert matrix[dims.CARE].verdict == "lawful for this purpose" and "out of scope" in matrix[dims.BILL].verdict
     assert out.schedule.collect()[0].delete_after == datetime(2026, 1, 31)
-    e = out.events.collect()[0]
-    assert e.note == "pseudonymised export; erase on or after 2026-01-31" and out.subjects.count() == 20
-    text = "\n".join(r[0] for kind in ("hl7", "fhir") for lay in (dims.PA, dims.EHR)
-                     for r in spark.read.text(f"{tmp_path}/out/{kind}/{lay}").select("value").collect())
+    e = out.events.orderBy("seq").collect()
+    assert [(x.seq, x.event, x.records, x.unattributed) for x in e] == [(0, "extraction", 31, 0), (1, "export", e[1].records, 0)] and e[1].records > 30
+    assert e[1].note == "pseudonymised export; erase on or after 2026-01-31" and out.subjects.count() == 40
+    assert {len(r.token) for r in out.subjects.collect()} == {4 + 64}
+    text = "\n".join(r.value for path in sinks.outputs(str(tmp_path / "out"), [dims.PA, dims.EHR]) for r in sinks.read_output(spark, path).collect())
     assert "MRN000" not in text and "Asha" not in text and "PSN-" in text and "14/03" not in text
     assert out.k.collect()[0].k_rows == 20
+    assert {r.technique for r in spark.read.json(f"{tmp_path}/out/scores").collect()} >= {dims.REFERENCE_TECHNIQUE}
+
+    where, layers = str(tmp_path / "out"), [dims.PA, dims.EHR]
+    day = lambda m, d: F.lit(datetime(2026, m, d))
+    assert dataset.purge_due(spark, where, layers, day(1, 30)).count() == 0
+    assert dataset.purge_due(spark, where, layers, day(1, 31), dry_run=True).count() == 1
+    purged = dataset.purge_due(spark, where, layers, day(1, 31)).collect()
+    assert [(x.seq, x.event) for x in purged] == [(2, "purge")] and "erased" in purged[0].note
+    assert all(sinks.read_output(spark, path).count() == 0 for path in sinks.outputs(where, layers))
+    assert dataset.purge_due(spark, where, layers, day(3, 1)).count() == 0                 # once only
+    assert all(r.intact and r.linked and r.consistent for r in log.verify_log(spark, f"{where}/log").collect())
+    lines = [json.loads(r.line) for r in spark.read.parquet(f"{where}/log/lines").orderBy("seq").collect()]
+    assert [x["event"] for x in lines] == ["extraction", "export", "purge"] and "MRN" not in json.dumps(lines)
 
 
 def test_nothing_to_score(spark, tmp_path):

@@ -183,7 +183,8 @@ def test_sinks_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("run-1", True, 1, "MRN1", "Asha Rao", "1988-03-14"), ("run-2", False, 2, "MRN2", "Meera Iyer", "1990-01-01")],
                                  "run_id string, pseudonymised boolean, row_ix bigint, mrn string, full_name string, date_of_birth string")
     sinks.write_export(dims.PA, rows, str(tmp_path), "secret", "20260101000000")
-    texts = spark.read.text(f"{tmp_path}/hl7/{dims.PA}").groupBy("run_id").agg(F.concat_ws("\n", F.collect_list("value")).alias("t"))
+    sinks.publish(spark, f"{tmp_path}/hl7/{dims.PA}", rows, f"{tmp_path}/files")
+    texts = spark.read.text(f"{tmp_path}/files").groupBy("run_id").agg(F.concat_ws("\n", F.collect_list("value")).alias("t"))
     got = {r.run_id: r.t for r in texts.collect()}
     assert "MRN1" not in got["run-1"] and "Asha" not in got["run-1"] and "Iyer^Meera" in got["run-2"]
     manifest = sinks.write_layers({dims.PA: rows.drop("run_id", "pseudonymised", "row_ix")}, f"{tmp_path}/layers").collect()[0]

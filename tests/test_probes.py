@@ -84,38 +84,3 @@ def test_marks_left_open_are_read_once():
     start = time.perf_counter()
     pages.parse_page("https://h/", "<!-- " * 20_000 + "<script " * 20_000)
     assert time.perf_counter() - start < 5
-
-
-def events(spark, first, last):
-    return spark.range(first, last).select(
-        F.col("id").alias("seq"), F.lit("2026-01-01 00:00:00").cast("timestamp").alias("at"), F.lit("export").alias("event"), F.lit("run-1").alias("run_id"),
-        F.lit("t").alias("technique"), F.lit("p").alias("purpose"), F.lit(1).alias("records"), F.lit(0).alias("unattributed"), F.lit(True).alias("scoped"), F.lit("").alias("note"))
-
-
-def test_log_is_chained_when_written(spark, tmp_path):
-    from pullwise.sinks import exports
-    path = str(tmp_path / "log")
-    for first, last in ((0, 300), (300, 310), (310, 900)):
-        exports.append_log(events(spark, first, last), path)
-    assert [(r.n, r.intact, r.linked) for r in exports.verify_log(spark, path).orderBy("batch").collect()] == [(300, True, True), (10, True, True), (590, True, True)]
-    lines = spark.read.parquet(f"{path}/lines")
-    forged = lines.withColumn("line", F.when(F.col("seq") == 305, F.replace("line", F.lit('"records":1'), F.lit('"records":2'))).otherwise(F.col("line")))
-    other = str(tmp_path / "forged")
-    forged.where("batch < 2").write.partitionBy("batch").parquet(f"{other}/lines")
-    spark.read.parquet(f"{path}/seals").write.parquet(f"{other}/seals")
-    assert [r.intact for r in exports.verify_log(spark, other).orderBy("batch").collect()] == [True, False, False]
-
-
-def test_due_runs_are_erased_from_every_output(spark, tmp_path):
-    from pullwise.sinks import exports
-    outputs = [str(tmp_path / "hl7" / "a"), str(tmp_path / "fhir" / "a")]
-    for o in outputs:
-        rows = spark.createDataFrame([(f"run-{i % 5}", f"line {i}") for i in range(50)], "run_id string, value string")
-        exports.by_run(rows).write.partitionBy("bucket", "run_id").text(o)
-    table = spark.createDataFrame([(f"run-{i}", "p", 30, f"2026-0{i + 1}-01 00:00:00") for i in range(5)],
-                                  "run_id string, purpose string, retention_days int, delete_after string").withColumn(
-        "delete_after", F.col("delete_after").cast("timestamp")).withColumns({"written_at": F.lit(None).cast("timestamp"), "files": F.array(F.lit("f"))})
-    gone = exports.erase_due(spark, outputs, table, F.lit("2026-02-15 00:00:00").cast("timestamp"))
-    assert {r.run_id for r in gone.collect()} == {"run-0", "run-1"}
-    for o in outputs:
-        assert {r.run_id for r in spark.read.text(o).collect()} == {"run-2", "run-3", "run-4"}

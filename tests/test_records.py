@@ -56,7 +56,7 @@ def test_access_and_processing_reports(spark):
 
 def test_subjects_of_rows(spark):
     rows = spark.createDataFrame([("a", "M1"), ("a", "M1"), ("a", None), ("b", ""), ("b", "M2")], "run_id string, mrn string")
-    tok = lambda v: spark.range(1).select(crypto.token(F.lit(v), "k")).collect()[0][0]
+    tok = lambda v: spark.range(1).select(crypto.token(F.lit(v), "k", crypto.WHOLE)).collect()[0][0]
     t, lost = audit.subjects_in(rows, dims.PA, "k")
     assert {(r.run_id, r.token) for r in t.collect()} == {("a", tok("M1")), ("b", tok("M2"))}
     assert {r.run_id: r.unattributed for r in lost.collect()} == {"a": 1, "b": 1}
@@ -94,13 +94,13 @@ def test_retention_life_cycle(spark, tmp_path):
     got = {r.run_id: r for r in sched.collect()}
     assert set(got) == {"a", "b"} and got["a"].delete_after == datetime(2026, 1, 31) and got["b"].delete_after is None
     sinks.write_retention(sched, f"{tmp_path}/r")
-    table = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "run_id string, v int")
-    table.write.partitionBy("run_id").parquet(f"{tmp_path}/v1")
+    table = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("c", 3, "z")], "run_id string, n int, value string")
+    sinks.append_output(table, f"{tmp_path}/v", 4)
     day = lambda d: F.lit(datetime(2026, 1, d))
-    assert sinks.purge(spark, f"{tmp_path}/v1", f"{tmp_path}/v2", sched, day(30), dry_run=True).count() == 0
-    ev_ = sinks.purge(spark, f"{tmp_path}/v1", f"{tmp_path}/v2", sched, day(31)).collect()
+    assert sinks.purge(spark, [f"{tmp_path}/v"], sched, day(30), dry_run=True, buckets=4).count() == 0
+    ev_ = sinks.purge(spark, [f"{tmp_path}/v"], sched, day(31), buckets=4).collect()
     assert [(e.event, e.run_id, e.note) for e in ev_] == [("purge", "a", "erased 2 file(s) after 30 d")]
-    assert {r.run_id for r in spark.read.parquet(f"{tmp_path}/v2").collect()} == {"b", "c"}
+    assert {r.run_id for r in sinks.read_output(spark, f"{tmp_path}/v").collect()} == {"b", "c"}
 
 
 def test_log_and_recordings_readers(spark, tmp_path):
