@@ -37,10 +37,7 @@ def score_for_benchmark(runs: DataFrame) -> DataFrame:
     """Scored runs with everything the technique table needs: claims, substantiated score, traps, keys."""
     backed = claims.with_veracity(with_task_flags(runs))
     said = rules.split_scores(rules.score_runs(backed))
-    status = F.concat_ws(",", *[F.col(f"{rules.column_of(r)}_status") for r in rules.RULES])
-    held = F.when(F.col("trap"), rules.trap_held())
-    kept = said.withColumns({"held": held, "decision": decision_key(),
-                             "verdict": F.concat_ws("|", status, held.cast("string"))})
+    kept = with_keys(said)
     names = {c: f"said_{c}" for c in ("compliance_score", "pass_rate", "rules_passed", "rules_applicable")}
     rule_cols = {f"{rules.column_of(r)}_{k}": f"said_{rules.column_of(r)}_{k}"
                  for r in rules.RULES for k in ("score", "status")}
@@ -51,6 +48,13 @@ def score_for_benchmark(runs: DataFrame) -> DataFrame:
             .withColumnsRenamed({v: k for k, v in {**names, **rule_cols}.items()}))
 
 
+def with_keys(scored: DataFrame) -> DataFrame:
+    """Scored runs with what they decided and what was found, as values that repeats are compared by."""
+    status = F.concat_ws(",", *[F.col(f"{rules.column_of(r)}_status") for r in rules.RULES])
+    held = F.when(F.col("trap"), rules.trap_held())
+    return scored.withColumns({"held": held, "decision": decision_key(), "verdict": F.concat_ws("|", status, held.cast("string"))})
+
+
 def manifest_structure() -> list[Column]:
     """A manifest reduced to the decisions it embodies, not its wording."""
     text = lambda c: F.coalesce(F.col(c) != "", F.lit(False))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pullwise import dims
 from pullwise.functions import masks
-from pullwise.operators import decisions, extract, rules
+from pullwise.operators import decisions, extract, ordinals, rules, scorecard
 
 NOTHING = {"fetches": 0, "records": 0, "fields_pulled": 0, "field_mask": 0, "minor_records": 0}
 
@@ -38,3 +38,26 @@ def decision_costs(spark: SparkSession, layers: dict[str, DataFrame], recorded:
                           "scope_pulled": F.when(F.col("necessary").isNotNull(), F.col("records")), "scope_necessary": F.col("necessary"),
                           "observed_transport": F.lit(None).cast("boolean")}))
     return extract.with_cost(rules.score_runs(runs))
+
+
+def replayed(recorded: DataFrame, repeats: int, tasks: dict | None = None) -> DataFrame:
+    """The decisions that a benchmark of so many repeats replays, with technique and sample: every task of an agent in as many distinct
+    samples, as recorded, as its task with the fewest has. Replaying one twice would count as a reproduced decision, so it isn't;
+    agents that lack a task aren't replayed."""
+    tasks = tasks or dims.TASKS
+    agents = recorded.where(F.col("task_id").isin(*tasks)).withColumn("technique", F.concat_ws("/", "provider", "model", "briefing"))
+    fewest = agents.groupBy("technique", "task_id").agg(F.count(F.lit(1)).alias("n")).groupBy("technique").agg(
+        F.min("n").alias("cap"), F.count(F.lit(1)).alias("answered")).where(F.col("answered") == len(tasks))
+    placed = ordinals.numbered(agents, ["technique", "task_id"], "decision_id", "sample")
+    return placed.join(fewest.select("technique", F.least("cap", F.lit(repeats)).alias("passes")), "technique").where("sample <= passes")
+
+
+def replay_stability(spark: SparkSession, layers: dict[str, DataFrame], recorded: DataFrame, fields: DataFrame, repeats: int,
+                     tasks: dict | None = None) -> DataFrame:
+    """Per recorded agent: how many of its repeats reproduced the first sample's decision, fields and verdict, task by task. Samples are
+    answered from one profile of the layers, like all decisions."""
+    chosen = replayed(recorded, repeats, tasks)
+    scored = decision_costs(spark, layers, chosen, fields.join(chosen.select("decision_id"), "decision_id", "left_semi"), tasks)
+    keyed = scorecard.with_keys(scorecard.with_task_flags(scored)).withColumn("run_ord", F.col("sample"))
+    passes = chosen.groupBy("technique").agg(F.max("passes").alias("passes"))
+    return scorecard.stability_table(keyed).join(passes, "technique")
