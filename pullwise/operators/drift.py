@@ -25,7 +25,8 @@ class Crawls:
 
     What every comparison reads - fields with their modules, and which module followed which - is written once."""
 
-    def __init__(self, modules: DataFrame, fields: DataFrame, controls: DataFrame, aliases: DataFrame | None = None) -> None:
+    def __init__(self, modules: DataFrame, fields: DataFrame, controls: DataFrame, aliases: DataFrame | None = None, meant: DataFrame | None = None) -> None:
+        """aliases: labels of operations on any site; meant(site, key, means): labels as ``meanings`` has them."""
         self.modules = modules
         named = fields.join(modules.select("site", "crawl", "ord", "title", "path", "layer"), ["site", "crawl", "ord"])
         self.fields = written(named.withColumn("bit", masks.field_bit(F.col("layer"), F.col("name"))), "fields")
@@ -34,6 +35,9 @@ class Crawls:
         self.unknown_headers = self.fields.where(~F.col("name").isin(*every))
         acted = controls.join(modules.select("site", "crawl", "ord", "title", "path", "layer"), ["site", "crawl", "ord"])
         self.controls = text.match_controls(acted, "label", "action", aliases)
+        if meant is not None:
+            named = self.controls.withColumn("key", text.normalise_label(F.col("label"))).join(meant, ["site", "key"], "left")
+            self.controls = named.withColumn("action", F.coalesce("action", F.when(F.col("means").isin(*dims.ACTIONS), F.col("means")))).drop("key", "means")
         self.origin = written(self._origin(), "origin")
         self.called = written(self._called(), "called")
 
@@ -66,6 +70,10 @@ class Crawls:
 
 def module_changes(c: Crawls) -> DataFrame:
     """Modules gone, split, renamed or moved, and new ones."""
+    return _module_changes(c).drop("layer")
+
+
+def _module_changes(c: Crawls) -> DataFrame:
     one = F.get("succ", F.lit(0))
     renamed, moved = one["title"] != F.col("title"), one["path"] != F.col("path")
     parts = F.array_join(F.transform("succ", lambda s: F.concat(s["title"], F.lit(" ("), s["path"], F.lit(")"))), " and ")
@@ -73,9 +81,9 @@ def module_changes(c: Crawls) -> DataFrame:
               .when(renamed, "renamed").when(moved, "moved"))
     detail = (F.when(F.col("n") > 1, parts).when(renamed & moved, F.concat(one["title"], F.lit(": "), F.col("path"), F.lit(" -> "), one["path"]))
               .when(renamed, one["title"]).when(moved, F.concat(F.col("path"), F.lit(" -> "), one["path"])).otherwise(F.col("path")))
-    old = c.called.select("site", "title", change.alias("change"), detail.alias("detail")).where("change is not null")
+    old = c.called.select("site", "title", change.alias("change"), detail.alias("detail"), "layer").where("change is not null")
     new = (c.side(c.modules, "after").join(c.origin, ["site", "ord"], "left_anti")
-           .select("site", "title", F.lit("new").alias("change"), F.col("path").alias("detail")))
+           .select("site", "title", F.lit("new").alias("change"), F.col("path").alias("detail"), "layer"))
     return old.unionByName(new)
 
 
@@ -236,7 +244,55 @@ def impact_by_role(impacts: DataFrame) -> DataFrame:
         *[F.count_if(F.col("status") == s).alias(s.replace("-", "_")) for s in ("unchanged", "re-worded", "withheld")])
 
 
-def relevant(changes: DataFrame, role: str) -> DataFrame:
-    """Field changes that touch a field the role's functions use."""
-    fields = {f for fn in access.permitted_functions(role) for _, names, _ in dims.FUNCTION_STEPS.get(fn, ()) for f in names}
-    return changes.where(F.col("field").isin(*sorted(fields)))
+FIELD_NAMES = sorted({f for fs in dims.FIELD_CATALOGUE.values() for f in fs})
+NAME_BIT = {f: 1 << i for i, f in enumerate(FIELD_NAMES)}
+LAYER_BIT = {layer: 1 << i for i, layer in enumerate(dims.LAYERS)}
+
+
+def reach(role: str) -> tuple[int, int, int]:
+    """What a role's functions touch, as masks of field names, operations and layers."""
+    steps = [s for fn in access.permitted_functions(role) for s in dims.FUNCTION_STEPS.get(fn, ())]
+    fields, actions, layers = {f for _, fs, _ in steps for f in fs}, {a for _, _, a in steps if a}, {layer for layer, _, _ in steps}
+    return sum(NAME_BIT[f] for f in fields), sum(ACTION_BIT[a] for a in actions), sum(LAYER_BIT[x] for x in layers)
+
+
+def relevant_changes(c: Crawls) -> DataFrame:
+    """(site, role, kind, what, change) of the changes that touch what a role's functions use: a field or an operation of theirs, or, for
+    a change of a whole module, its layer. Changes carry tags as masks; a role is three literals, so nothing is joined."""
+    none = F.lit(0).cast("bigint")
+    tagged = field_changes(c).select("site", F.lit("field").alias("kind"), F.col("field").alias("what"), "change",
+                                     masks.choose(F.col("field"), NAME_BIT, 0).cast("bigint").alias("fields"), none.alias("actions"), none.alias("layers")).unionByName(
+        button_changes(c).select("site", F.lit("button").alias("kind"), F.col("action").alias("what"), "change", none.alias("fields"),
+                                 masks.choose(F.col("action"), ACTION_BIT, 0).cast("bigint").alias("actions"), none.alias("layers"))).unionByName(
+        _module_changes(c).select("site", F.lit("module").alias("kind"), F.col("title").alias("what"), "change", none.alias("fields"), none.alias("actions"),
+                                  masks.choose(F.col("layer"), LAYER_BIT, 0).cast("bigint").alias("layers")))
+    roles = F.array(*[F.struct(F.lit(r).alias("role"), *[F.lit(m).cast("bigint").alias(n) for n, m in zip(("rf", "ra", "rl"), reach(r))]) for r in dims.ROLES])
+    met = lambda x, y: F.col(x).bitwiseAND(F.col(y)) != 0
+    return tagged.select("*", F.inline(roles)).where(met("fields", "rf") | met("actions", "ra") | met("layers", "rl")).select("site", "role", "kind", "what", "change")
+
+
+def meanings(confirmed: DataFrame) -> DataFrame:
+    """(site, key, means): what every label that a person has confirmed means in the end, through any number of renamings.
+
+    confirmed(site, version, shown, means): in a version a label was shown in place of another label, field or operation. The latest
+    confirmation of a label holds. Chains are followed by doubling; labels that only lead round to themselves mean nothing."""
+    links = written(confirmed.groupBy("site", text.normalise_label(F.col("shown")).alias("key")).agg(F.max_by("means", "version").alias("means")).withColumn(
+        "to", text.normalise_label(F.col("means"))), "meanings")
+    for _ in range(max(links.count(), 1).bit_length() + 1):                    # longest chain: all of them
+        further = links.select("site", F.col("key").alias("to"), F.col("means").alias("_means"), F.col("to").alias("_to"))
+        joined = links.join(further, ["site", "to"], "left")
+        if not joined.where("_means is not null").limit(1).count():
+            return links.select("site", "key", "means")
+        links = written(joined.select("site", "key", F.coalesce("_means", "means").alias("means"), F.coalesce("_to", "to").alias("to")), "meanings")
+    return links.join(links.select("site", F.col("key").alias("to")), ["site", "to"], "left_anti").select("site", "key", "means")
+
+
+def between(modules: DataFrame, fields: DataFrame, controls: DataFrame, confirmed: DataFrame, before: str, after: str) -> Crawls:
+    """Any two of many stored crawls, with the labels people have confirmed up to now read as what they mean."""
+    def two(df: DataFrame) -> DataFrame:
+        return df.where(F.col("crawl").isin(before, after)).withColumn("crawl", F.when(F.col("crawl") == before, "before").otherwise("after"))
+
+    known = meanings(confirmed)
+    named = two(fields).withColumn("key", text.normalise_label(F.col("name"))).join(known, ["site", "key"], "left").withColumn(
+        "name", F.coalesce("means", "name")).drop("key", "means")
+    return Crawls(two(modules), named, two(controls), meant=known)

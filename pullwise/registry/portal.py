@@ -276,6 +276,67 @@ def drift_roles(t):
     return drift.impact_by_role(drift.impact(crawls(t)))
 
 
+MAY = """
+may as (select p.role, f.function_id from functions f join role_purposes p using (purpose)
+ where not exists (select 1 from function_categories c where c.function_id = f.function_id and not exists (select 1 from purpose_allowed x where x.purpose = f.purpose and x.category = c.category))
+ and not exists (select 1 from function_artefacts g where g.function_id = f.function_id and not exists (select 1 from role_artefacts y where y.role = p.role and y.artefact = g.artefact)))"""
+BUTTONS_SQL = """
+bchange as (select * from (select coalesce(w.site, n.site) as site, coalesce(w.action, n.action) as action,
+ case when n.action is null then 'gone' when w.action is null then 'new' when w.label <> n.label and (c.now_title <> n.title or w.screen <> n.screen) then 'renamed and moved'
+  when w.label <> n.label then 'renamed' when c.now_title <> n.title or w.screen <> n.screen then 'moved' end as change, w.label as old_label, n.label as new_label
+from (select * from firsts where crawl = 'before') w full join (select * from firsts where crawl = 'after') n on n.site = w.site and n.action = w.action
+left join called c on c.site = w.site and c.old_ord = w.ord) where change is not null)"""
+
+
+@query("drift_relevant", with_views("""
+select site, role, kind, count(*) as changes, count(distinct what) as things from (
+ select c.site, r.role, 'field' as kind, c.field as what from fchange c join (select distinct role, field from may join function_fields using (function_id)) r using (field)
+ union all select b.site, r.role, 'button', b.action from bchange b join (select distinct role, action from may join function_steps using (function_id)) r using (action)
+ union all select m.site, r.role, 'module', m.title from (select site, title, layer from called where n <> 1 or t1 <> title or p1 <> path
+   union all select m.site, m.title, m.layer from nav_modules m where crawl = 'after' and not exists (select 1 from origin o where o.site = m.site and o.ord = m.ord)) m
+  join (select distinct role, layer from may join function_steps using (function_id)) r using (layer)) group by 1, 2, 3""",
+    *NAV, "function_steps", "function_fields", "functions", "role_purposes", "role_artefacts", "function_artefacts", "function_categories", "purpose_allowed",
+    extra=DRIFT_SQL + "," + BUTTONS_SQL + "," + MAY))
+def drift_relevant(t):
+    """Changes of every kind that touch what a role's functions use, per site and role."""
+    return drift.relevant_changes(crawls(t)).groupBy("site", "role", "kind").agg(F.count(F.lit(1)).alias("changes"), F.count_distinct("what").alias("things"))
+
+
+# --- three crawls: what the second release called anew, the third did again -------------------------------
+add_view("past_modules", """
+select site, case crawl when 'before' then '2024' else '2025' end as crawl, ord, title, path, layer from {nav_modules}
+union all select site, '2026' as crawl, ord, title, path, layer from {nav_modules} where crawl = 'after'""")
+add_view("past_fields", """
+select site, case crawl when 'before' then '2024' else '2025' end as crawl, ord, screen, f_ord, name, label from {nav_fields}
+union all select site, '2026' as crawl, ord, screen, f_ord, replace(name, 'Col ', 'Column for ') as name, label from {nav_fields} where crawl = 'after'""")
+add_view("past_controls", """
+select site, case crawl when 'before' then '2024' else '2025' end as crawl, ord, screen, c_ord, label from {nav_controls}
+union all select site, '2026' as crawl, ord, screen, c_ord, replace(label, 'Zz ', 'Do: ') as label from {nav_controls} where crawl = 'after'""")
+add_view("confirmed", """
+select distinct site, '2025' as version, label as shown, substr(label, 4) as means from {nav_controls} where label like 'Zz %' and site % 5 <> 0
+union all select distinct site, '2026' as version, replace(label, 'Zz ', 'Do: ') as shown, lower(label) as means from {nav_controls} where label like 'Zz %' and site % 5 <> 0
+union all select distinct site, '2025' as version, name as shown, substr(name, 5) as means from {nav_fields} where name like 'Col %' and site % 5 <> 0
+union all select distinct site, '2026' as version, replace(name, 'Col ', 'Column for ') as shown, name as means from {nav_fields} where name like 'Col %' and site % 5 <> 0""")
+PAST_SQL = """
+h_modules as (select * replace (case crawl when '2024' then 'before' else 'after' end as crawl) from past_modules where crawl <> '2025'),
+h_fields as (select * replace (case crawl when '2024' then 'before' else 'after' end as crawl, case when site % 5 <> 0 then replace(name, 'Column for ', '') else name end as name)
+ from past_fields where crawl <> '2025'),
+h_controls as (select * replace (case crawl when '2024' then 'before' else 'after' end as crawl), case when label like 'Do: %' and site % 5 <> 0 then substr(label, 5) end as meant
+ from past_controls where crawl <> '2025'),""" + (DRIFT_SQL + "," + BUTTONS_SQL).replace("nav_modules", "h_modules").replace("nav_fields", "h_fields").replace(
+    "nav_controls", "h_controls").replace("m.title, m.path, m.layer, n.action from h_controls", "m.title, m.path, m.layer, coalesce(n.action, c.meant) as action from h_controls")
+
+
+@query("drift_history", with_views("""
+select site, 'field' as kind, field as what, change, detail from fchange
+union all select site, 'button', action, change, concat_ws(' -> ', old_label, new_label) from bchange""",
+    "past_modules", "past_fields", "past_controls", "field_catalogue", "action_names", extra=PAST_SQL))
+def drift_history(t):
+    """The first of three stored crawls against the third, through labels that were renamed, and confirmed, twice."""
+    c = drift.between(t["past_modules"], t["past_fields"], t["past_controls"], t["confirmed"], "2024", "2026")
+    return drift.field_changes(c).select("site", F.lit("field").alias("kind"), F.col("field").alias("what"), "change", "detail").unionByName(
+        drift.button_changes(c).select("site", F.lit("button").alias("kind"), F.col("action").alias("what"), "change", F.concat_ws(" -> ", "old_label", "new_label").alias("detail")))
+
+
 @query("artefact_pages", with_views("""
 select site, a.artefact, m.path from (select * from (select *, row_number() over (partition by site, layer order by ord desc) as rn from nav_modules where crawl = 'after') where rn = 1) m
 join (select distinct artefact, layer from artefacts) a using (layer)""", "nav_modules", "artefacts"))
