@@ -2,7 +2,9 @@
 
 A function scores one per request word it knows - after a light stem, one typo allowed in words of five
 letters or more - plus two per multi-word name of it said whole; every function tied with the best is
-kept. Copies of a text are classified once. Typos are found by an equi-join on the words with one letter
+kept. Copies of a text are classified once. A text's words are taken from the rarest on: the functions that know the rarest one, or are
+named whole, give a score that is reached; functions that know only so many of its commonest words that they can't reach it are never
+paired with it, and of the others the whole score is looked up. Typos are found by an equi-join on the words with one letter
 left out, on distinct words only, so no word is compared with every other."""
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pullwise.functions import text
 from pullwise.operators import access
+from pullwise.session import written
 
 PHRASE_WEIGHT = 2
 
@@ -47,8 +50,7 @@ def recognise(utterances: DataFrame, vocabulary: DataFrame) -> DataFrame:
     asked = texts.select("text_id", F.explode(text.content_tokens(F.col("text"))).alias("word"))
     spec = vocabulary_tokens(vocabulary)
     pairs = near_pairs(asked.select("word").distinct(), spec.select("token").distinct())
-    knows = pairs.join(spec, "token").select("word", "function_id").distinct()
-    overlap = asked.join(knows, "word").groupBy("text_id", "function_id").agg(F.count(F.lit(1)).alias("points"))
+    knows = written(pairs.join(spec, "token").select("word", "function_id").distinct(), "knows")
 
     phrases = _phrases(vocabulary)
     said = texts.withColumn("words", F.split(text.normalise_label(F.col("text")), " "))
@@ -57,15 +59,33 @@ def recognise(utterances: DataFrame, vocabulary: DataFrame) -> DataFrame:
     maybe = bigrams.join(phrases, "start").select("text_id", "function_id", "phrase").distinct()
     whole = maybe.join(said.select("text_id", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("said")), "text_id").where(
         F.col("said").contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
-    bonus = whole.groupBy("text_id", "function_id").agg((F.count(F.lit(1)) * PHRASE_WEIGHT).alias("points"))
-
-    has_words = asked.select("text_id").distinct()
-    scores = overlap.unionByName(bonus).groupBy("text_id", "function_id").agg(F.sum("points").alias("score"))
+    bonus = written(whole.groupBy("text_id", "function_id").agg((F.count(F.lit(1)) * PHRASE_WEIGHT).alias("bonus")), "bonus")
+
+    frequency = knows.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    lists = written(asked.join(frequency, "word").groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w")).select(      # a text's own words
+        "text_id", F.transform("w", lambda x: x["word"]).alias("words")), "lists")
+    first = _scores(_candidates(lists.withColumn("n", F.lit(1)), knows, bonus), lists, knows, bonus)
+    reached = first.groupBy("text_id").agg(F.max("score").alias("reached"))
+    essential = lists.join(reached, "text_id", "left").withColumn("n", F.greatest(F.size("words") - F.coalesce("reached", F.lit(0)) + 1, F.lit(1)).cast("int"))
+    scores = _scores(_candidates(essential, knows, bonus), lists, knows, bonus)
     best = scores.withColumn("r", F.rank().over(Window.partitionBy("text_id").orderBy(F.col("score").desc()))).where("r = 1").drop("r")
-    best = best.join(has_words, "text_id", "left_semi")
+    best = best.join(asked.select("text_id").distinct(), "text_id", "left_semi")
     return keyed.select("id", "text_id").join(best, "text_id").select("id", "function_id", "score")
 
 
+def _candidates(lists: DataFrame, knows: DataFrame, bonus: DataFrame) -> DataFrame:
+    """(text_id, function_id) that know one of a text's n rarest words, or are named whole in it."""
+    words = lists.select("text_id", F.explode(F.slice("words", F.lit(1), F.col("n"))).alias("word"))
+    return words.join(knows, "word").select("text_id", "function_id").unionByName(bonus.select("text_id", "function_id")).distinct()
+
+
+def _scores(candidates: DataFrame, lists: DataFrame, knows: DataFrame, bonus: DataFrame) -> DataFrame:
+    """The whole score of each candidate: its words are looked up, those of other functions aren't."""
+    each = candidates.join(lists, "text_id", "left").select("text_id", "function_id", F.explode_outer("words").alias("word"))
+    known = each.join(knows.withColumn("point", F.lit(1)), ["word", "function_id"], "left").groupBy("text_id", "function_id").agg(F.count("point").alias("points"))
+    return known.join(bonus, ["text_id", "function_id"], "left").select("text_id", "function_id", (F.col("points") + F.coalesce("bonus", F.lit(0))).alias("score"))
+
+
 def gate(recognised: DataFrame, roles: DataFrame) -> DataFrame:
     """Ties narrowed to functions the asker's role may use, and the decision: roles(id, role).
 

@@ -63,3 +63,28 @@ def test_stability_of_replayed_samples(spark):
     runs = spark.createDataFrame(rows, "technique string, task_id string, run_ord int, d string, verdict string").withColumn("decision", F.struct(F.col("d").alias("fields")))
     r = scorecard.stability_table(runs).collect()[0]
     assert (r.repeat_runs, r.stable_runs, r.stable_fields, r.verdict_stable_runs, r.stable_tasks, r.distinct_max) == (3, 2, 2, 2, 0, 2)
+
+
+def test_common_words_are_not_paired_with_every_function(spark):
+    """100 000 names share a word; requests with it and a rare one meet the few functions that know the rare one."""
+    from pullwise.operators import recognise
+    vocabulary = spark.range(100_000).selectExpr("concat('f', id) as function_id", "concat('patient widgetry', lpad(id % 50000, 5, '0'), ' form') as name")
+    asked = [(i, f"the patient form widgetry{i * 7:05d} today") for i in range(60)] + [(60, "nothing known"), (61, "widgetry00003")]
+    seen = []
+    plain = recognise._candidates
+
+    def counted(lists, knows, bonus):
+        found = plain(lists, knows, bonus)
+        seen.append(found.count())
+        return found
+    recognise._candidates = counted
+    try:
+        rows = recognise.recognise(spark.createDataFrame(asked, "id long, text string"), vocabulary).collect()
+    finally:
+        recognise._candidates = plain
+    got = {}
+    for r in rows:
+        got.setdefault(r.id, set()).add((r.function_id, r.score))
+    assert set(got) == set(range(60)) | {61} and all(len({s for _, s in g}) == 1 for g in got.values())
+    assert all({f"f{i * 7}", f"f{i * 7 + 50_000}"} <= {f for f, _ in got[i]} for i in range(60))
+    assert max(seen) <= 20 * len(rows)

@@ -215,7 +215,7 @@ def test_drift_of_one_site(spark):
     assert u == {("header", "Amt"): "billed_amount", ("button", "Zap charge"): "post_charge"}
     i = {r.function_id: r.status for r in drift.impact(c).collect()}
     assert i["post_charges"] == "withheld" and i["open_billing_account"] == "re-worded"
-    assert {r.field for r in drift.relevant(drift.field_changes(c), "nurse").collect()} <= {"mrn"}
+    assert {r.what for r in drift.relevant_changes(c).where("role = 'nurse' and kind = 'field'").collect()} <= {"mrn"}
 
 
 def test_requests(spark):
