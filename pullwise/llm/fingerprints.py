@@ -9,7 +9,8 @@ equal roots), so an edit costs what it covers, not the whole paragraph.
 
 Odd cases: null text is the empty text, whose fingerprint is that of no sections; two empty texts are alike (1). Rows with the same
 doc_id and text are one document in the order and all get its values; a null doc_id comes last, and texts of one doc_id follow by
-digest; the only document follows itself; an empty table gives an empty result; further columns are never read.
+digest; the only document follows itself; an empty table gives an empty result; very long texts are read whole, in time that grows
+with their lines times the logarithm of their number; further columns are never read.
 """
 
 from __future__ import annotations
@@ -56,14 +57,32 @@ def likeness(root_a: Column, leaves_a: Column, root_b: Column, leaves_b: Column)
     return F.when(root_a == root_b, F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(F.least(2 * both / total, 1 - 1 / (total + 1)))
 
 
+def _among(x: Column, ordered: Column) -> Column:
+    """Whether x is in a sorted array, by halving it: a step per bit of its size, not per element."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ordered) + F.lit(1))).cast("int"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["lo"] + s["hi"], 1)
+        above = (s["lo"] < s["hi"]) & (F.get(ordered, middle) < x)
+        return F.struct(F.when(above, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(F.least(middle, s["hi"])).alias("hi"))
+
+    place = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(ordered).alias("hi")), halve, lambda s: s["lo"])
+    return F.coalesce(F.get(ordered, place) == x, F.lit(False))
+
+
 def edits(tree_a: Column, tree_b: Column) -> Column:
     """Places of b's paragraphs that a hasn't, as (section, paragraph), found by going down differing branches only."""
-    known = F.flatten(tree_a["paragraphs"])
-    changed = lambda ps, i: F.transform(F.filter(F.transform(ps, lambda p, j: F.struct(p.alias("node"), j.alias("paragraph"))),
-                                                 lambda x: ~F.array_contains(known, x["node"])),
-                                        lambda x: F.struct(i.alias("section"), x["paragraph"].alias("paragraph")))
-    return F.flatten(F.transform(tree_b["paragraphs"], lambda ps, i: F.when(
-        F.array_contains(tree_a["sections"], F.get(tree_b["sections"], i)), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(changed(ps, i))))
+    def changed(ps: Column, i: Column, known: Column) -> Column:
+        placed = F.transform(ps, lambda p, j: F.struct(p.alias("node"), j.alias("paragraph")))
+        return F.transform(F.filter(placed, lambda x: ~_among(x["node"], known)), lambda x: F.struct(i.alias("section"), x["paragraph"].alias("paragraph")))
+
+    def compared(both: Column) -> Column:
+        branches = F.zip_with(both["nodes"], both["below"], lambda node, ps: F.struct(node.alias("node"), ps.alias("ps")))
+        return F.flatten(F.transform(branches, lambda x, i: F.when(_among(x["node"], both["sections"]), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(
+            changed(x["ps"], i, both["known"]))))
+
+    return let(F.struct(F.array_sort(F.array_distinct(F.flatten(tree_a["paragraphs"]))).alias("known"), F.array_sort(tree_a["sections"]).alias("sections"),
+                        tree_b["sections"].alias("nodes"), tree_b["paragraphs"].alias("below")), compared)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

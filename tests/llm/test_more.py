@@ -55,6 +55,21 @@ def test_repeated_rows_and_ids_have_values(spark):
     assert fingerprints.edited(spark.createDataFrame([(5, "only")], "doc_id long, text string")).first().near_next == 1
 
 
+def test_edits_of_a_text_of_many_lines(spark):
+    import time
+    rng = random.Random(8)
+    a = [f"line {rng.randrange(10 ** 9)} of many" for _ in range(200_000)]
+    b = list(a)
+    for i in (0, 77, 150_000, 199_999):
+        b[i] = f"changed {i}"
+    b[100_000:100_003] = ["", "# head", "after"]
+    frame_ = spark.createDataFrame([("\n".join(a), "\n".join(b)), ("\n".join(a), "\n".join(reversed(a)) + " x")], "a string, b string")
+    start = time.perf_counter()
+    trees = frame_.select(fingerprints.edits(fingerprints.tree(F.col("a")), fingerprints.tree(F.col("b"))).alias("e")).collect()
+    assert time.perf_counter() - start < 60
+    assert len(trees[0].e) == 8 - 1 and len(trees[1].e) == 2
+
+
 # ---- 6 ----
 
 def base_spans(t):
