@@ -117,12 +117,13 @@ def fit(labelled: DataFrame, per_language: int = 400) -> dict | None:
     if not names:
         return None
     names.sort()
-    # the least digests of each language: first within shares of the rows, then among the shares' least ones
+    # the least digests of each language: within shares of the rows, then of 64 groups of shares, then of all
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     keyed = known.filter(F.col("lang").isin(names)).select("lang", digest.alias("d"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("x"))
     share = keyed.withColumn("s", F.spark_partition_id())
     least = lambda rows, *by: rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("d", "x"))).filter(F.col("r") <= per_language)
-    chosen = least(least(share, "lang", "s"), "lang").select(F.col("lang").alias("l"), "i", "x", "d")
+    grouped = least(share, "lang", "s").withColumn("g", F.pmod("s", F.lit(64)))
+    chosen = least(least(grouped, "lang", "g"), "lang").select(F.col("lang").alias("l"), "i", "x", "d")
     same = known["doc_id"].eqNullSafe(F.col("i")) & (F.xxhash64(known["text"]) == F.col("x")) & (known["lang"] == F.col("l"))
     rows = known.join(F.broadcast(chosen), same).select("text", "lang", "d").dropDuplicates(["d", "text"]).orderBy("d", "text")   # a bounded table
     idf = np.log((1 + total) / (1 + frequency)) + 1

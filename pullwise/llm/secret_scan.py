@@ -1,7 +1,7 @@
 """Secrets: fixed patterns, and a battery of randomness tests on encoded tokens under length-aware false-discovery control.
 
-Base kinds are assignments to a secret's name, access key ids and long hexadecimal runs. Elsewhere, tokens of 20 or more encoding
-characters with letters and digits are candidates. From its characters a token's encoding is inferred (hexadecimal, base 32, 36,
+Base kinds are assignments to a secret's name, access key ids and long hexadecimal runs. Elsewhere, tokens of 16 or more encoding
+characters of any class are candidates; what is too short or too even to tell is left to the tests and the length classes. From its characters a token's encoding is inferred (hexadecimal, base 32, 36,
 62 or 64). In it, a chi-squared test of uniformity over the alphabet, a runs test around the alphabet's middle and a
 lag-1 serial correlation test must not reject randomness (Bonferroni, at `alpha`). Then the chi-squared value is held
 against what ordinary text of that length would give, whose symbols coincide more often: its lower tail probability is the p-value
@@ -28,7 +28,7 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
 SET = "A-Za-z0-9+/_="
-TOKEN = rf"(?<![{SET}-])(?=[{SET}-]*[0-9])(?=[{SET}-]*[A-Za-z])[{SET}-]{{20,}}"
+TOKEN = rf"(?<![{SET}-])[{SET}-]{{16,}}"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # name, what the symbols must match, what is left out first, alphabet, chance that two symbols of ordinary text coincide
 ENCODINGS = (
@@ -107,7 +107,7 @@ def scanned(docs: DataFrame, *keep: str, alpha: float = 0.001) -> DataFrame:
     rest = replaced(replaced(replaced(t, ASSIGN, lambda m: F.when(strong(m), blank(m)).otherwise(m)), ACCESS, blank), HEX, blank)
     some = (F.size("_assign") + F.size("_access") + F.size("_hex")) > 0
     rows = rows.withColumn("_rest", F.when(some, rest).otherwise(t))
-    tests = F.transform(matches(F.col("_rest"), TOKEN, "[0-9]"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), tested(s["match"]).alias("test")))
+    tests = F.transform(matches(F.col("_rest"), TOKEN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), tested(s["match"]).alias("test")))
     random = F.filter(tests, lambda s: s["test"].isNotNull() & (s["test"]["uniform"] >= alpha))
     spans = lambda k, name: F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end")))
     return rows.select(

@@ -111,6 +111,13 @@ def test_random_tokens_are_added_and_words_are_not(spark):
     assert hits >= 54 and not any(r.s for r in rows if r.doc_id >= 60), [r.s for r in rows if r.doc_id >= 60]
 
 
+def test_tokens_of_any_class_are_candidates(spark):
+    rng = random.Random(6)
+    tokens = ["".join(rng.choice(a) for _ in range(n)) for n in (16, 20, 32) for a in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")]
+    rows = secret_scan.scanned(frame(spark, [f"see {k} here" for k in tokens] + ["abcdefghijklmno x"]), "doc_id", alpha=0.0).collect()
+    assert [len(r.candidates) + len(r.base) for r in sorted(rows, key=lambda r: r.doc_id)] == [1] * 9 + [0]
+
+
 def test_false_discovery_rule():
     assert secret_scan.cut_bins([(5, 0, 90), (5, 60, 8), (5, 20, 2), (6, 0, 4)], 0.05) == {5: 60}
     assert secret_scan.cut_bins([], 0.05) == {}
