@@ -1,9 +1,10 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations.
 
 Validated values are permuted within their own format: card numbers (Luhn), IBANs (mod 97), North American phone numbers, social
-security numbers, IPv4 addresses, calendar dates and e-mail addresses. The pseudonym is valid in the same format, looks the
-same (punctuation, grouping, case); numbers outside the North American plan keep their format only. As the permutation depends on the key and the format only, equal values have equal
-pseudonyms in all documents and different values different ones. Numbers run through a Feistel network over Z_a x Z_b
+security numbers, IPv4 addresses, calendar dates of 1900 to 2099 (YYYY-MM-DD and DD/MM/YYYY; other forms of dates stay as they are) and
+e-mail addresses. The pseudonym is valid in the same format and looks the same (punctuation, grouping, case); numbers outside the North
+American plan, and account numbers, stay outside the plan and without a card's check. As the permutation depends on the key and the format
+only, equal values have equal pseudonyms in all documents and different values different ones. Numbers run through a Feistel network over Z_a x Z_b
 with a * b the size of the format; names in e-mail addresses through one over their characters, letters to letters and digits
 to digits. Check digits are worked out again. Values that fail validation stay; long digit runs that fit the card format but fail the
 check are treated as plain account numbers.
@@ -14,6 +15,8 @@ through untouched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ from pullwise.llm.common import array_sum, let
 from pullwise.llm.spans import matches, replaced
 
 ROUNDS = 8
+WALK = 100          # steps of a walk at most; a class takes up a third of its values or more, so more are needed once in 10^17 values
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -32,7 +36,7 @@ CARD = r"(?<![0-9A-Za-z.+-])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9
 KINDS = (("email", EMAIL), ("ip", IP), ("iban", IBAN), ("phone", PHONE), ("abroad", ABROAD), ("ssn", SSN), ("date", DATE), ("card", CARD))
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 GUARD = "[0-9@]"
-FIRST_DAY = "1900-01-01"        # dates are permuted among the 270 * 271 days from here
+FIRST_DAY, DAYS = "1900-01-01", 73049       # of the two centuries, all fewer than 270 * 271
 
 
 def keyed(key: str, *parts: Column | str) -> Column:
@@ -80,6 +84,15 @@ def permuted_text(text: Column, key: str, name: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["l"], s["r"]))
 
 
+def walked(value: Column, step: Callable[[Column], Column], belongs: Callable[[Column], Column]) -> Column:
+    """The first of step(value), step(step(value)) and so on that belongs to the class of value: a permutation of the class, as the
+    step is one of all values."""
+    def taken(v: Column) -> Column:
+        return let(step(v), lambda new: F.struct(new.alias("v"), belongs(new).alias("there")))
+
+    return F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), taken(value), lambda s, _: F.when(s["there"], s).otherwise(taken(s["v"])), lambda s: s["v"])
+
+
 def digits_of(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
@@ -107,7 +120,8 @@ def _card(m: Column, key: str) -> Column:
     def of(d: Column) -> Column:
         body = F.substring(d, F.lit(1), F.length(d) - 1)
         new = let(permuted_text(body, key, "card"), lambda b: F.concat(b, luhn(b)))
-        return F.when(F.right(d, F.lit(1)) == luhn(body), new).otherwise(permuted_text(d, key, "account"))
+        checked = lambda x: F.right(x, F.lit(1)) == luhn(F.substring(x, F.lit(1), F.length(x) - 1))
+        return F.when(checked(d), new).otherwise(walked(d, lambda x: permuted_text(x, key, "account"), lambda x: ~checked(x)))
 
     return let(digits_of(m), lambda d: let(of(d), lambda new: refilled(m, new)))
 
@@ -131,7 +145,8 @@ def _phone(m: Column, key: str) -> Column:
         land = F.substring(d, F.lit(1), F.length(d) - 10)
         planned = let(permuted(value, 80000, 80000, key, "phone"), lambda v: F.concat(
             land, (F.floor(v / 8000000) + 200).cast("string"), (F.floor(v / 10000) % 800 + 200).cast("string"), F.lpad((v % 10000).cast("string"), 4, "0")))
-        return F.when((part(1, 3) >= 200) & (part(4, 3) >= 200), planned).otherwise(F.concat(land, permuted_text(own, key, "number")))
+        inside = lambda x: (F.substring(x, F.lit(1), F.lit(1)) >= "2") & (F.substring(x, F.lit(4), F.lit(1)) >= "2")
+        return F.when(inside(own), planned).otherwise(F.concat(land, walked(own, lambda x: permuted_text(x, key, "number"), lambda x: ~inside(x))))
 
     return let(digits_of(m), lambda d: let(of(d), lambda new: refilled(m, new)))
 
@@ -163,7 +178,7 @@ def _date(m: Column, key: str) -> Column:
     day = F.coalesce(F.try_to_timestamp(m, F.lit("yyyy-MM-dd")), F.try_to_timestamp(m, F.lit("dd/MM/yyyy"))).cast("date")
     value = F.datediff(day, F.to_date(F.lit(FIRST_DAY))).cast("long")
     new = lambda v: F.date_add(F.to_date(F.lit(FIRST_DAY)), v.cast("int"))
-    return F.when(day.isNull(), m).otherwise(let(permuted(value, 270, 271, key, "date"), lambda v: F.when(
+    return F.when(day.isNull(), m).otherwise(let(walked(value, lambda v: permuted(v, 270, 271, key, "date"), lambda v: v < DAYS), lambda v: F.when(
         iso, F.date_format(new(v), "yyyy-MM-dd")).otherwise(F.date_format(new(v), "dd/MM/yyyy"))))
 
 

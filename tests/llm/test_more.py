@@ -156,6 +156,27 @@ def test_feistel_is_a_permutation(spark):
     assert texts.select(pseudonyms.permuted_text(F.col("t"), "k", "t").alias("v")).distinct().count() == 2600
 
 
+def test_pseudonyms_stay_within_their_class(spark):
+    rng = random.Random(12)
+
+    def luhn_ok(d):
+        return sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(d))) % 10 == 0
+    cards = ["".join(rng.choice("0123456789") for _ in range(13)) for _ in range(1500)]
+    phones = sorted({f"{rng.randrange(1000):03d}-{rng.randrange(1000):03d}-{rng.randrange(10000):04d}" for _ in range(900)})
+    dates = [f"{y}-{m:02d}-{d:02d}" for y in (1900, 1999, 2050, 2099) for m in range(1, 13) for d in range(1, 29)]
+    values = sorted(set(cards)) + phones + dates
+    got = [r.text for r in pseudonyms.pseudonymise(frame(spark, values), "k").orderBy("doc_id").collect()]
+    assert len(set(got)) == len(set(values))
+    plan = lambda p: p[0] >= "2" and p[4] >= "2"
+    for old, new in zip(values, got):
+        if len(old) == 13:
+            assert luhn_ok(old) == luhn_ok(new) and new != old or len(set(old)) == 1
+        elif len(old) == 12:
+            assert plan(old) == plan(new)
+        else:
+            assert "1900" <= new[:4] <= "2099"
+
+
 # ---- 10 ----
 
 def test_languages(spark):
