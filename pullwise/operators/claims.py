@@ -107,13 +107,3 @@ def substantiate(runs: DataFrame, **register) -> DataFrame:
         "processing_record_kept": F.col("processing_record_kept") & good("record of processing"),
         "basis_reference": F.when(good("lawful-basis reference"), F.col("basis_reference")),
     })
-
-
-def register_rows(spark):
-    """The register as a table: (slot, purpose, id, evidence, claimable)."""
-    rows = [(slot, None, ident, "demonstrated" if shown else "attested", True)
-            for slot, (ident, shown) in dims.REGISTER.items()]
-    rows.append(("access_authorisation", None, dims.ACCESS_AUTHORISATION[0], "demonstrated", False))
-    rows += [("lawful_basis", p, ident, "demonstrated" if shown else "attested", True)
-             for p, (ident, shown) in dims.LAWFUL_BASES.items()]
-    return spark.createDataFrame(rows, "slot string, purpose string, id string, evidence string, claimable boolean")

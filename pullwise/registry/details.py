@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pullwise import dims
 from pullwise.functions import masks, text
-from pullwise.operators import claims, pulls
+from pullwise.operators import access, claims, pulls, split
 from pullwise.registry.base import query, with_views
 from pullwise.registry.scoring import CLAIM_SQL
 from pullwise.sources import logs, pages
@@ -96,3 +99,41 @@ def first_pass_totals(t):
     records = pulls.record_categories(t["pulled"].join(first, "run_id", "left_semi"), "run_id")
     per_run = pulls.summarise(records, "run_id").join(first.join(t["runs"].select("run_id", "purpose"), "run_id"), "run_id")
     return pulls.merge_summaries(per_run, "technique").select("technique", "record_count", "field_slots")
+
+
+@query("reference_categories", with_views("""
+select coalesce(c.category, 'uncatalogued') as category, count(*) as refs, count(distinct decision_id) as decisions
+from decision_fields d left join field_catalogue c on d.ref = c.layer || '/' || c.field group by 1""", "decision_fields", "field_catalogue"))
+def reference_categories(t):
+    """What recorded decisions asked for, by category; references that the catalogue doesn't know are uncatalogued."""
+    layer, name = F.split_part("ref", F.lit("/"), F.lit(1)), F.regexp_extract("ref", "^[^/]*/(.*)$", 1)
+    return t["decision_fields"].groupBy(masks.field_category(layer, name).alias("category")).agg(
+        F.count(F.lit(1)).alias("refs"), F.count_distinct("decision_id").alias("decisions"))
+
+
+@query("unassigned_requests", with_views("""
+select artefact, count(*) as requests from (select unnest(string_split(artefacts, ';')) as artefact from access_requests)
+where artefact in (select artefact from artefact_names) and artefact not in (select artefact from role_artefacts) group by 1""",
+    "access_requests", "artefact_names", "role_artefacts"))
+def unassigned_requests(t):
+    """Requests for artefacts that no role has been given."""
+    asked = t["access_requests"].select(F.explode(F.split("artefacts", ";")).alias("artefact"))
+    return asked.where(F.col("artefact").isin(*access.unassigned_artefacts())).groupBy("artefact").agg(F.count(F.lit(1)).alias("requests"))
+
+
+@query("technique_names", with_views("""
+select rtrim(split_part(technique || ', as recorded', ' ', 1), ',') as short, count(*) as runs from runs group by 1""", "runs"))
+def technique_names(t):
+    """Runs by the short name of their technique, as reports shorten a described one."""
+    described = F.concat("technique", F.lit(", as recorded"))
+    return t["runs"].groupBy(text.short_technique(described).alias("short")).agg(F.count(F.lit(1)).alias("runs"))
+
+
+@query("module_read_limited", with_views("""
+select payer_name, least(count(*), 25) as rows from split_right group by 1""", "split_right"))
+def module_read_limited(t):
+    """Rows that reads of a module with a reader's limit of 25 give, per payer asked for."""
+    right = t["split_right"]
+    payers = sorted(r[0] for r in right.select("payer_name").distinct().collect() if r[0] is not None)          # the few payers
+    reads = [split.read_module(right, None, ["payer_name"], "insurance_policy_no", {"payer_name": p}, limit=25) for p in payers]
+    return reduce(DataFrame.unionAll, reads).groupBy("payer_name").agg(F.count(F.lit(1)).alias("rows"))

@@ -42,9 +42,12 @@ def ties_of(layer: str, prefix: str = "") -> list[str]:
     return [prefix + f for f in dims.FIELD_CATALOGUE[layer]] if layer == dims.ANC else []
 
 
+def exported_rows(layer, rows):
+    return fhir.numbered_rows(layer, privacy.normalise_rows(layer, rows, KEY, F.col("pseudonymised")), tuple(ties_of(layer)))
+
+
 def exported(t, layer):
-    df = privacy.normalise_rows(layer, t[f"export_{layer}"], KEY, F.col("pseudonymised"))
-    return fhir.numbered_rows(layer, df, tuple(ties_of(layer)))
+    return exported_rows(layer, t[f"export_{layer}"])
 
 
 def seg_sql(name: str, fields: dict[int, str]) -> str:
@@ -218,6 +221,23 @@ def export_samples(t):
     return row.select("run_id", hl7.message(dims.FIN, row, hl7.control_id(dims.FIN), WHEN).alias("message"))
 
 
+@query("export_resource_samples", with_views("""
+select run_id, resource_type, resource from entries where pos = 0""", f"export_{dims.PA}", extra=rows_sql(dims.PA) + "," + shaped_sql(dims.PA)))
+def export_resource_samples(t):
+    """The first resource of every registration export, for a reader: the first row that makes one is found before anything is shaped."""
+    rows = t[f"export_{dims.PA}"]
+    first = rows.where(fhir.count_resources(dims.PA, rows) > 0).groupBy("run_id").agg(F.min_by(F.struct("*"), "row_ix").alias("r")).select("r.*")
+    made = fhir.bundle(dims.PA, exported_rows(dims.PA, first))
+    return made.where("n = 0").select("run_id", "resource_type", "resource")
+
+
+@query("token_share", with_views(f"""
+select run_id, count(mrn) as identifiers, count(*) filter (where mrn like 'PSN-%') as tokens from x group by 1""", f"export_{dims.PA}", extra=rows_sql(dims.PA)))
+def token_share(t):
+    """Record numbers in each registration export, and how many of them are tokens."""
+    return exported(t, dims.PA).groupBy("run_id").agg(F.count("mrn").alias("identifiers"), F.count_if(crypto.is_token(F.col("mrn"))).alias("tokens"))
+
+
 # --- leak searches ---------------------------------------------------------------------------------------
 NORM = "' ' || regexp_replace({0}, '[^a-z0-9]+', ' ', 'g') || ' '"
 LEAK_SQL = """
