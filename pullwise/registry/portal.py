@@ -108,6 +108,17 @@ def split_layer_join(t):
                              ["mrn", "ord", "invoice_id", "billed_amount", "payer_name", "insurance_policy_no"])
 
 
+@query("page_lists", """
+select url as list_url, 1 as pages, 0 as rows, true as complete, 0 as fields from (select distinct url from pages)""")
+def page_lists(t):
+    """The given pages as lists: pages that continue each other, rows and fields found, and whether all that is announced is there. None of
+    them holds a table, so each is a list of its own without rows."""
+    parsed = written(pages.parse_pages(t["pages"]).dropDuplicates(["url"]), "parsed")
+    of = written(pages.chains(parsed), "lists")
+    fields = pages.list_records(parsed, of).groupBy("list_url").agg(F.count(F.lit(1)).alias("fields"))
+    return pages.list_totals(parsed, of).select("list_url", "pages", "rows", "complete").join(fields, "list_url", "left").fillna(0, ["fields"])
+
+
 @query("module_read", with_views("""
 select l.mrn, l.invoice_id, r.payer_name from split_left l join split_right r on r.insurance_policy_no = 'PL' || substr(l.invoice_id, 4) where r.payer_name = 'F'""", "split_left", "split_right"))
 def module_read(t):

@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 
 from pullwise.functions.text import header_key
 from pullwise.operators.ingest import infer_layer
+from pullwise.session import written
 
 PAGE_SCHEMA = ("url string, headers array<string>, has_actions boolean, rows array<array<string>>, row_links array<string>, "
                "page_number int, page_count int, record_count int, next_url string, "
@@ -192,6 +193,46 @@ def detail_rows(parsed: DataFrame, aliases: DataFrame | None = None) -> DataFram
     return with_field(rows, "label", aliases).select("url", "ord", "label", "field", "value")
 
 
+def chains(parsed: DataFrame) -> DataFrame:
+    """(url, list_url, page_ord): which list a page continues, and as which page from 0, by following next links back to the first page.
+
+    Pointers double each round, so a list of any length takes as many rounds as its length has bits. A page that two others lead to
+    continues the one with the least address; pages that only lead round are lists of their own."""
+    pages = written(parsed.groupBy("url").agg(F.min("next_url").alias("next_url")), "pages")
+    onward = pages.where("next_url <> url").select(F.col("url").alias("from"), F.col("next_url").alias("url"))
+    back = onward.groupBy("url").agg(F.min("from").alias("to"))
+    state = written(pages.join(back, "url", "left").select("url", F.coalesce("to", "url").alias("to"), F.col("to").isNotNull().cast("int").alias("steps")), "chains")
+    for _ in range(max(pages.count(), 1).bit_length() + 1):
+        ahead = state.select(F.col("url").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"))
+        joined = state.join(ahead, "to")
+        moved = joined.where("_to <> to").limit(1).count()
+        if not moved:
+            break
+        state = written(joined.select("url", F.col("_to").alias("to"), (F.col("steps") + F.col("_steps")).alias("steps")), "chains")
+    first = state.where("to = url and steps = 0").select(F.col("url").alias("to"), F.lit(True).alias("first"))
+    placed = state.join(first, "to", "left")
+    return placed.select("url", F.when(F.col("first"), F.col("to")).otherwise(F.col("url")).alias("list_url"),
+                         F.when(F.col("first"), F.col("steps")).otherwise(0).cast("int").alias("page_ord"))
+
+
+def list_records(parsed: DataFrame, of: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(list_url, page_ord, row, screen, field, value) of the records of whole lists: the cells of their pages, in order of page and row,
+    and the details of the record pages they link to. ``of``: as ``chains`` gives it."""
+    cells = records(parsed, aliases).join(of, "url")
+    listed = cells.select("list_url", "page_ord", "row", F.lit("list page").alias("screen"), "field", "value")
+    links = cells.where("link is not null").select("list_url", "page_ord", "row", F.col("link").alias("url")).distinct()
+    details = links.join(detail_rows(parsed, aliases), "url").select("list_url", "page_ord", "row", F.lit("record page").alias("screen"), "field", "value")
+    return listed.unionByName(details)
+
+
+def list_totals(parsed: DataFrame, of: DataFrame) -> DataFrame:
+    """Per list: pages and rows found, how many it says it has, and whether all are there."""
+    sizes = parsed.join(of, "url").groupBy("list_url").agg(
+        F.count_distinct("page_ord").alias("pages"), F.sum(F.size("rows")).alias("rows"), F.max("page_count").alias("said_pages"), F.max("record_count").alias("said_rows"))
+    same = lambda said, got: F.coalesce(F.col(said) == F.col(got), F.lit(True))
+    return sizes.withColumn("complete", same("said_pages", "pages") & same("said_rows", "rows"))
+
+
 def page_links(pages: DataFrame, scope: str | None = None) -> DataFrame:
     """(page_id, ord, text, href) of every link, absolute, by the same rule as ``parse_pages``.
 
