@@ -23,7 +23,7 @@ LAYER_NAMES = {dims.PA: "Patient Administration", dims.EHR: "the clinical record
 class Crawls:
     """The two crawls' tables with field bits, actions and successor modules worked out.
 
-    What every comparison reads - fields with their modules, and which module followed which - is written once."""
+    What every comparison reads - fields and controls with their modules, and which module followed which - is written once."""
 
     def __init__(self, modules: DataFrame, fields: DataFrame, controls: DataFrame, aliases: DataFrame | None = None, meant: DataFrame | None = None) -> None:
         """aliases: labels of operations on any site; meant(site, key, means): labels as ``meanings`` has them."""
@@ -38,6 +38,7 @@ class Crawls:
         if meant is not None:
             named = self.controls.withColumn("key", text.normalise_label(F.col("label"))).join(meant, ["site", "key"], "left")
             self.controls = named.withColumn("action", F.coalesce("action", F.when(F.col("means").isin(*dims.ACTIONS), F.col("means")))).drop("key", "means")
+        self.controls = written(self.controls, "controls")
         self.origin = written(self._origin(), "origin")
         self.called = written(self._called(), "called")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pullwise import dims
 from pullwise.functions import dates, numeric
+from pullwise.session import written
 
 NO_FIELD, ONLY_KEY, LOW_CONFIDENCE = "no catalogue field", "only a shared key", "too few columns understood"
 
@@ -72,7 +73,7 @@ def read_verdicts(headers: DataFrame, column_map: DataFrame, min_confidence: flo
 
 def template_rows(headers: DataFrame, column_map: DataFrame) -> DataFrame:
     """What a person must fill in: headers not understood, and keys of another layer mapped to a file."""
-    verdicts = read_verdicts(headers, column_map)
+    verdicts = written(read_verdicts(headers, column_map), "verdicts")
     unknown = verdicts.select("file", F.explode("not_understood").alias("header"))
     keys = {v for v in dims.SUBJECT_KEY.values()}
     own = F.coalesce(*[F.when(F.col("layer") == layer, F.lit(k)) for layer, k in dims.SUBJECT_KEY.items()])
