@@ -5,9 +5,9 @@ within one delimited field. Neither test compares every value with every artefac
 
 * words: artefacts become an inverted index cut down to words that some value contains. Words are ordered by how rare they are there,
   and values with the same words are one set. One-word sets are a semi-join. Others are looked up by their rarest word; a
-  bitset of the artefact's wanted words, of a fixed size, rides on each posting and turns most others away; then the second rarest
-  word has to be posted for the artefact too, and only what is left has all its words counted. A set is looked for until one artefact
-  has it, so sets whose rarest word is still frequent are first looked up in small shares of the artefacts.
+  bitset of the artefact's wanted words, of a fixed size, rides on each posting and turns most others away; what is left has its other
+  words looked up and counted, so nothing that travels grows with an artefact. A set is looked for until one artefact has it, so
+  sets whose rarest word is still frequent are first looked up in small shares of the artefacts.
 * digits: distinct digit fields are cut into all windows of the lengths that the values have, and a value is looked up by its
   whole digit string: an equi-join on as many keys as there are numbers.
 
@@ -42,7 +42,7 @@ def _bits(words: Column, slot: int) -> Column:
 
 def _word_hits(values: DataFrame, artefacts: DataFrame, keys: list[str], hot: int) -> DataFrame:
     valued = values.withColumn("words", F.array_sort(text.words(F.col("value")))).where(F.size("words") > 0).withColumn("words", F.array_join("words", " "))
-    sets = sealed(valued.select(*keys, "words").distinct(), "sets", "words")
+    sets = valued.select(*keys, "words").distinct()
     wanted = sets.select(*keys, F.explode(F.split("words", " ")).alias("word")).distinct()
     occurs = artefacts.select(*keys, "artefact_id", F.explode(text.words(F.col("text"))).alias("word"))
     index = sealed(occurs.join(wanted, [*keys, "word"], "left_semi"), "postings", "word")
@@ -58,10 +58,11 @@ def _word_hits(values: DataFrame, artefacts: DataFrame, keys: list[str], hot: in
     bits = index.groupBy(*keys, "artefact_id").agg(*[F.bit_or(_bit(F.col("word"), i)).alias(f"bits_{i}") for i in range(SLOTS)])
     for share in (*SHARES, 1) if open_.where(F.col("df") > hot).limit(1).count() else (1,):
         asked = open_.where(F.col("df") > hot) if share > 1 else open_
-        got = sealed(_sets_found(asked, index, bits, keys, share, hot), "found", "words")
-        found = found.unionByName(got)
+        got = _sets_found(asked, index, bits, keys, share, hot)
         if share > 1:
+            got = sealed(got, "found", "words")
             open_ = open_.join(got, [*keys, "words"], "left_anti")
+        found = found.unionByName(got)
     return valued.join(found.distinct(), [*keys, "words"], "left_semi").select(*keys, "value")
 
 
@@ -75,9 +76,8 @@ def _sets_found(sets: DataFrame, index: DataFrame, bits: DataFrame, keys: list[s
     posted = posts.join(anchors, [*keys, "word"]).withColumn("salt", F.pmod(F.xxhash64("artefact_id"), F.col("salts")).cast("int")).join(
         bits, [*keys, "artefact_id"])
     may = reduce(Column.__and__, [F.col(f"bits_{i}").bitwiseAND(F.col(f"need_{i}")) == F.col(f"need_{i}") for i in range(SLOTS)])
-    met = lookups.join(posted, [*keys, "word", "salt"]).where(may).select(*keys, "artefact_id", "words", "rest", F.get("rest", F.lit(0)).alias("second"))
-    both = met.join(posts.select(*keys, "artefact_id", F.col("word").alias("second")), [*keys, "artefact_id", "second"], "left_semi")
-    held = both.select(*keys, "artefact_id", "words", F.size("rest").alias("n"), F.explode("rest").alias("word")).join(posts, [*keys, "artefact_id", "word"])
+    met = lookups.join(posted, [*keys, "word", "salt"]).where(may)
+    held = met.select(*keys, "artefact_id", "words", F.size("rest").alias("n"), F.explode("rest").alias("word")).join(posts, [*keys, "artefact_id", "word"])
     return held.groupBy(*keys, "artefact_id", "words", "n").agg(F.count_distinct("word").alias("held")).where("held = n").select(*keys, "words").distinct()
 
 
