@@ -108,3 +108,10 @@ def test_no_crawl_is_broadcast(spark, monkeypatch, name):
     steps.append(all_queries()[f"drift_{name}"].run(spark, "/root/testdata/sf0.001"))
     joins = [line for df in steps for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Broadcast" in line and "Join" in line]
     assert [line for line in joins if "_k" not in line] == []
+
+
+def test_multiplied_rows_come_from_all_tasks(spark):
+    from pullwise.sources.tables import Tables
+    spread = Tables(spark, "/root/testdata/sf0.001")["rated_modules"]
+    per = spread.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(per) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
