@@ -247,8 +247,8 @@ select p.run_id, count(*) as cells from pulled p where not exists (select 1 from
     "pulled", "retention"))
 def retention_survivors(t):
     """What stays after the purge."""
-    kept = retention.survivors(t["pulled"], t["retention"], F.lit("1996-06-30 00:00:00").cast("timestamp_ntz"))
-    return kept.groupBy("run_id").agg(F.count(F.lit(1)).alias("cells"))
+    cells = t["pulled"].groupBy("run_id").agg(F.count(F.lit(1)).alias("cells"))       # a run's rows stay or go together: sorted as one
+    return retention.survivors(cells, t["retention"], F.lit("1996-06-30 00:00:00").cast("timestamp_ntz"))
 
 
 # --- access decisions ----------------------------------------------------------------------------------
