@@ -11,7 +11,9 @@ within one delimited field. Neither test compares every value with every artefac
 * digits: distinct digit fields are cut into all windows of the lengths that the values have, and a value is looked up by its
   whole digit string: an equi-join on as many keys as there are numbers.
 
-What is stored between steps is encrypted (``session.sealed``).
+Words and values that are stored between steps are encrypted (``session.sealed``). Wanted words and sets are numbered there once, so what
+is stored for an occurrence of a word, of which there are many, is a number and needs no key. Numbers compress well, so what the
+planner makes of their files says little about their rows: joins of them sort and merge.
 """
 
 from __future__ import annotations
@@ -22,63 +24,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pullwise.functions import text
-from pullwise.session import sealed
+from pullwise.session import sealed, written
 
 HOT = 100_000           # artefacts sharing a set's rarest word above which shares of them are tried first, and look-ups are salted
 SHARES = (1024, 32)     # one in so many artefacts
 SLOTS = 4               # 64-bit words of an artefact's bitset
 
 
-def _bit(word: Column, slot: int) -> Column:
-    """The word's bit in a slot of the bitset, 0 in all slots but its own."""
-    h = F.xxhash64(word)
+def _bit(number: Column, slot: int) -> Column:
+    """A word's bit in a slot of the bitset, 0 in all slots but its own."""
+    h = F.xxhash64(number)
     return F.when(F.pmod(h, F.lit(SLOTS)) == slot, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 8), F.lit(64)).cast("int"))).otherwise(
         F.lit(0).cast("long"))
 
 
-def _bits(words: Column, slot: int) -> Column:
-    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, word: bits.bitwiseOR(_bit(word, slot)))
+def _bits(numbers: Column, slot: int) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda bits, number: bits.bitwiseOR(_bit(number, slot)))
 
 
 def _word_hits(values: DataFrame, artefacts: DataFrame, keys: list[str], hot: int) -> DataFrame:
     valued = values.withColumn("words", F.array_sort(text.words(F.col("value")))).where(F.size("words") > 0).withColumn("words", F.array_join("words", " "))
-    sets = valued.select(*keys, "words").distinct()
-    wanted = sets.select(*keys, F.explode(F.split("words", " ")).alias("word")).distinct()
+    sets = sealed(valued.select(*keys, "words").distinct().withColumn("set", F.monotonically_increasing_id()), "sets", "words")
+    in_sets = sets.select(*keys, "set", F.explode(F.split("words", " ")).alias("word"))
+    wanted = sealed(in_sets.select(*keys, "word").distinct().withColumn("number", F.monotonically_increasing_id()), "wanted", "word")
     occurs = artefacts.select(*keys, "artefact_id", F.explode(text.words(F.col("text"))).alias("word"))
-    index = sealed(occurs.join(wanted, [*keys, "word"], "left_semi"), "postings", "word")
-    frequency = index.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("df"))
-    each = sets.select(*keys, "words", F.explode(F.split("words", " ")).alias("word")).join(frequency, [*keys, "word"])
-    ranked = each.groupBy(*keys, "words").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("r")).where(      # a set's own words
-        F.size("r") == F.size(F.split("words", " ")))               # a set with a word no artefact holds is settled here
-    others = F.transform(F.slice("r", F.lit(2), F.size("r")), lambda x: x["word"])
-    looked = sealed(ranked.select(*keys, "words", F.get("r", F.lit(0))["df"].alias("df"), F.get("r", F.lit(0))["word"].alias("word"),
-                                  F.array_join(others, " ").alias("others")), "lookups", "words", "word", "others")
-    found = looked.where("others = ''").select(*keys, "words")
-    open_ = looked.where("others <> ''")
-    bits = index.groupBy(*keys, "artefact_id").agg(*[F.bit_or(_bit(F.col("word"), i)).alias(f"bits_{i}") for i in range(SLOTS)])
+    index = written(occurs.join(wanted, [*keys, "word"]).select(*keys, "artefact_id", "number"), "postings").hint("merge")
+    frequency = index.groupBy("number").agg(F.count(F.lit(1)).alias("df"))
+    each = in_sets.join(wanted, [*keys, "word"]).join(frequency, "number", "left")
+    ranked = each.groupBy(*keys, "set").agg(F.array_sort(F.collect_list(F.struct("df", "number"))).alias("r"), F.every(F.col("df").isNotNull()).alias("occur")).where(
+        "occur")                                                    # a set's own words; one with a word no artefact holds is settled here
+    others = F.transform(F.slice("r", F.lit(2), F.size("r")), lambda x: x["number"])
+    looked = written(ranked.select(*keys, "set", F.get("r", F.lit(0))["df"].alias("df"), F.get("r", F.lit(0))["number"].alias("number"), others.alias("others")), "lookups").hint("merge")
+    found = looked.where(F.size("others") == 0).select(*keys, "set")
+    open_ = looked.where(F.size("others") > 0)
+    bits = index.groupBy(*keys, "artefact_id").agg(*[F.bit_or(_bit(F.col("number"), i)).alias(f"bits_{i}") for i in range(SLOTS)])
     for share in (*SHARES, 1) if open_.where(F.col("df") > hot).limit(1).count() else (1,):
         asked = open_.where(F.col("df") > hot) if share > 1 else open_
         got = _sets_found(asked, index, bits, keys, share, hot)
         if share > 1:
-            got = sealed(got, "found", "words")
-            open_ = open_.join(got, [*keys, "words"], "left_anti")
+            got = written(got, "found").hint("merge")
+            open_ = open_.join(got, [*keys, "set"], "left_anti")
         found = found.unionByName(got)
-    return valued.join(found.distinct(), [*keys, "words"], "left_semi").select(*keys, "value")
+    return valued.join(found.distinct().join(sets, [*keys, "set"]), [*keys, "words"], "left_semi").select(*keys, "value")
 
 
 def _sets_found(sets: DataFrame, index: DataFrame, bits: DataFrame, keys: list[str], share: int, hot: int) -> DataFrame:
     """The sets that one artefact of the share holds all words of."""
     posts = index if share == 1 else index.where(F.pmod(F.xxhash64("artefact_id"), F.lit(share)) == 0)
     salts = F.ceil(F.col("df") / F.lit(share) / F.lit(hot)).cast("int")
-    lookups = sets.withColumns({"salt": F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)), "rest": F.split("others", " ")})
-    lookups = lookups.withColumns({f"need_{i}": _bits(F.col("rest"), i) for i in range(SLOTS)})
-    anchors = sets.groupBy(*keys, "word").agg(F.max(F.greatest(salts, F.lit(1))).alias("salts"))       # a word's sets share its frequency
-    posted = posts.join(anchors, [*keys, "word"]).withColumn("salt", F.pmod(F.xxhash64("artefact_id"), F.col("salts")).cast("int")).join(
+    lookups = sets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    lookups = lookups.withColumns({f"need_{i}": _bits(F.col("others"), i) for i in range(SLOTS)})
+    anchors = sets.groupBy(*keys, "number").agg(F.max(F.greatest(salts, F.lit(1))).alias("salts"))       # a word's sets share its frequency
+    posted = posts.join(anchors, [*keys, "number"]).withColumn("salt", F.pmod(F.xxhash64("artefact_id"), F.col("salts")).cast("int")).join(
         bits, [*keys, "artefact_id"])
     may = reduce(Column.__and__, [F.col(f"bits_{i}").bitwiseAND(F.col(f"need_{i}")) == F.col(f"need_{i}") for i in range(SLOTS)])
-    met = lookups.join(posted, [*keys, "word", "salt"]).where(may)
-    held = met.select(*keys, "artefact_id", "words", F.size("rest").alias("n"), F.explode("rest").alias("word")).join(posts, [*keys, "artefact_id", "word"])
-    return held.groupBy(*keys, "artefact_id", "words", "n").agg(F.count_distinct("word").alias("held")).where("held = n").select(*keys, "words").distinct()
+    met = lookups.join(posted, [*keys, "number", "salt"]).where(may)
+    held = met.select(*keys, "artefact_id", "set", F.size("others").alias("n"), F.explode("others").alias("number")).join(posts, [*keys, "artefact_id", "number"])
+    return held.groupBy(*keys, "artefact_id", "set", "n").agg(F.count_distinct("number").alias("held")).where("held = n").select(*keys, "set").distinct()
 
 
 def _window(n: int):

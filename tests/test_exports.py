@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pullwise import dims
+from pullwise import dims, session
 from pullwise.functions import text
 from pullwise.operators import fhir, hl7, ingest, leaks, ordinals, privacy
 from pullwise.sinks import exports as sinks
@@ -130,6 +130,25 @@ def test_leaks_match_brute_force(spark, hot):
     assert got == want
 
 
+def test_postings_are_numbers(spark, monkeypatch):
+    """An occurrence of a wanted word is stored as a number: nothing to encrypt or decrypt for each, and no joins that broadcast them."""
+    values = ["Rao Meera 12", "meera, rao", "Iyer Khan", "khan 12 iyer", "nobody here"]
+    texts = ["Meera 7 Rao", "12 rao; meera", "Khan 12", "Iyer", "12 12 12"]
+    kept = {}
+
+    def written(df, name="part"):
+        kept[name] = df.dtypes
+        return session.written(df, name)
+    monkeypatch.setattr(leaks, "written", written, raising=False)
+    v = spark.createDataFrame([(x,) for x in values], "value string")
+    a = spark.createDataFrame(list(enumerate(texts)), "artefact_id int, text string")
+    found = leaks.find_leaks(v, a)
+    assert {r.value: r.leaked for r in found.collect()} == _brute(values, texts)
+    assert kept["postings"] == [("artefact_id", "int"), ("number", "bigint")] and not any(t == "string" for _, t in kept["lookups"])
+    spread = [p for p in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in p and "number" in p]
+    assert spread and all("strategy=merge" in p for p in spread)
+
+
 def test_exact_leaks_match_contains(spark):
     rng = random.Random(9)
     texts = ["".join(rng.choice("ab1é ") for _ in range(rng.randrange(0, 300))) for _ in range(80)]
