@@ -35,16 +35,17 @@ def build_chains(events: DataFrame, body: Column, seq: str = "seq", length: int
     keys = [scope, "chain"] if scope else ["chain"]
     rows = events.select(*keys[:-1], chain_of(F.col(seq), length).alias("chain"), F.struct(F.col(seq).alias("seq"), body.alias("body")).alias("e"))
     ordered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    empty = F.struct(F.lit("").alias("line"), F.array().cast("array<struct<seq:bigint,prev:string,line:string>>").alias("out"))
+    empty = F.array().cast("array<struct<seq:bigint,line:string>>")
 
-    def link(acc, e):
-        prev = F.when(acc["line"] == "", F.lit("")).otherwise(sha256(acc["line"]))
+    def link(out, e):                                               # each line named once, so it is hashed once
+        prev = F.when(F.size(out) == 0, F.lit("")).otherwise(sha256(F.try_element_at(out, F.lit(-1))["line"]))
         line = F.concat(F.substring(e["body"], F.lit(1), F.length(e["body"]) - 1), F.lit(',"prev_sha256":"'), prev, F.lit('"}'))
-        made = F.struct(e["seq"].cast("bigint").alias("seq"), prev.alias("prev"), line.alias("line"))
-        return F.struct(line.alias("line"), F.concat(acc["out"], F.array(made)).alias("out"))
+        return F.concat(out, F.array(F.struct(e["seq"].cast("bigint").alias("seq"), line.alias("line"))))
 
-    folded = ordered.select(*keys, F.aggregate("es", empty, link)["out"].alias("out"))
-    return folded.select(*keys, F.inline("out")).withColumnRenamed("prev", "prev_sha256")
+    folded = ordered.select(*keys, F.aggregate("es", empty, link).alias("out"))
+    prev = lambda x, i: F.when(i == 0, F.lit("")).otherwise(F.substring(x["line"], -66, 64))  # noqa: E731     it ends with the hash and "}
+    made = F.transform("out", lambda x, i: F.struct(x["seq"].alias("seq"), prev(x, i).alias("prev_sha256"), x["line"].alias("line")))
+    return folded.select(*keys, F.inline(made))
 
 
 def verify_chains(lines: DataFrame, key: str = "chain", seq: str = "seq", block: int = 65536) -> DataFrame:

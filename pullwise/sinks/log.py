@@ -87,8 +87,9 @@ def append_log(events: DataFrame, path: str, part: Column | None = None) -> list
         events = events.withColumn("batch", number)
     chained = audit.build_chains(events, audit.event_body(), scope="batch")
     token = uuid.uuid4().hex
-    lines = written(chained.withColumn("append", F.lit(token)), "lines")
-    lines.write.mode("append").parquet(f"{path}/lines")
+    stored = chained.withColumn("append", F.lit(token))
+    stored.write.mode("append").parquet(f"{path}/lines")                                # unsealed so far, so no reader takes them
+    lines = spark.read.schema(stored.schema).parquet(f"{path}/lines").where(F.col("append") == token)
     seals, last = [], before
     for r in roots(lines).orderBy("batch").collect():                                   # a row an append
         last = next_seal(last, r["n"], r["root"], token)

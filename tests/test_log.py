@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pullwise import session
 from pullwise.operators import ordinals
 from pullwise.sinks import exports as sinks
 from pullwise.sinks import log
@@ -73,6 +74,20 @@ def test_log_is_chained_and_sealed_when_written(spark, tmp_path):
         assert [(r[1], r[3]) for r in verdicts(spark, f"{tmp_path}/{name}")] == want, name
 
 
+def test_lines_are_stored_once(spark, tmp_path, monkeypatch):
+    """An append writes its lines where they stay, and works its roots out from there; every line carries the hash of the one before."""
+    kept, path = [], str(tmp_path / "log")
+    monkeypatch.setattr(log, "written", lambda df, name="part": kept.append(name) or session.written(df, name))
+    log.append_log(events(spark, 0, 300), path, F.floor(F.col("seq") / 280))
+    log.append_log(events(spark, 300, 310), path)
+    assert "lines" not in kept and verdicts(spark, path) == [(280, True, True, True), (20, True, True, True), (10, True, True, True)]
+    chains = {}
+    for r in spark.read.parquet(f"{path}/lines").orderBy("seq").collect():
+        before = chains.get((r.batch, r.chain))
+        assert r.prev_sha256 == (sha(before) if before else "") and r.line.endswith(f',"prev_sha256":"{r.prev_sha256}"}}')
+        chains[r.batch, r.chain] = r.line
+
+
 def test_a_failed_append_leaves_nothing_that_counts(spark, tmp_path):
     path = str(tmp_path / "log")
     log.append_log(events(spark, 0, 20), path)
