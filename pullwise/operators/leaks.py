@@ -92,8 +92,7 @@ def _digit_hits(values: DataFrame, artefacts: DataFrame, keys: list[str]) -> Dat
     lengths = sorted(r[0] for r in v.select(F.length("digits")).distinct().collect())       # the few lengths that numbers have
     if not lengths:
         return v.select(*keys, "value")
-    fields = artefacts.select(*keys, F.explode(F.array_distinct(text.digit_fields(F.col("text")))).alias("field")).where(
-        F.length("field") >= lengths[0]).distinct()
+    fields = artefacts.select(*keys, F.explode(F.array_distinct(text.digit_fields(F.col("text"), lengths[0]))).alias("field")).distinct()
     windows = F.flatten(F.array(*[
         F.when(F.length("field") >= n, F.transform(F.sequence(F.lit(1), F.length("field") - n + 1), _window(n)))
         .otherwise(F.array().cast("array<string>")) for n in lengths]))

@@ -59,6 +59,11 @@ def test_digit_fields_never_join_fields(spark):
     assert run(col(spark, [msg]), text.digit_fields(F.col("v"))) == [["1", "12", "919876543210", "12", "34"]]
 
 
+def test_short_digit_fields_are_dropped(spark):
+    msg = 'PID|1||MRN12^x|+91 98765-43210|"a": 12345, "b": no digits at all'
+    assert run(col(spark, [msg]), text.digit_fields(F.col("v"), 5)) == [["919876543210", "12345"]]
+
+
 def test_dates(spark):
     values = ["14/03/1988", "1988-03-14", "1988-03-14T10:20:30", "not a date", None]
     assert run(col(spark, values), dates.normalise_date(F.col("v"), False)) == ["1988-03-14", "1988-03-14", "1988-03-14", "not a date", None]
