@@ -67,6 +67,39 @@ def test_stability_of_replayed_samples(spark):
     assert (r.repeat_runs, r.stable_runs, r.stable_fields, r.verdict_stable_runs, r.stable_tasks, r.distinct_max) == (3, 2, 2, 2, 0, 2)
 
 
+def test_references_are_summed_before_unknown_ones_are_dropped(spark):
+    """A layer of which only unknown fields are named asks for nothing, and no reference is read before its decision is picked."""
+    layer, fields = next(iter(dims.FIELD_CATALOGUE.items()))
+    a, b = list(fields)[:2]
+    refs = [(1, f"{layer}/{a}"), (1, f"{layer}/{a}"), (1, f"{layer}/{b}"), (1, f"{layer}/unknown"), (2, f"{layer}/unknown"), (2, "nowhere/x"), (2, a), (2, None),
+            (3, f"{layer}/{b}"), (4, f"{layer}/{a}")]
+    frame = spark.createDataFrame(refs, "decision_id long, ref string")
+    task = next(t for t, spec in dims.TASKS.items() if spec[1])
+    rows = spark.createDataFrame([(i, task, "subject" if i == 1 else "all") for i in (1, 2, 3)], "decision_id long, task_id string, scope string")
+    picked = frame.join(F.broadcast(rows.select("decision_id")), "decision_id", "left_semi")
+    asked = recorded.decision_requests(spark, rows, picked, dims.TASKS)
+    bit = dims.FIELD_BIT
+    assert {tuple(r) for r in asked.select("decision_id", "layer", "want", "scoped").collect()} == {
+        (1, layer, bit[layer, a] | bit[layer, b], True), (3, layer, bit[layer, b], False)}
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Filter" in line and "ref#" in line] == []
+
+
+def test_replay_scans_layers_and_decisions_once(spark, monkeypatch):
+    from pullwise.operators import scorecard
+    steps = []
+    for module in (recorded, scorecard):
+        def seen(df, part="part", stored=module.written):
+            steps.append(df)
+            return stored(df, part)
+        monkeypatch.setattr(module, "written", seen)
+    steps.append(all_queries()["recorded_stability"].run(spark, "/root/testdata/sf0.001"))
+    scans = [line for df in steps for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan parquet [" in line]
+    assert sum("FileScan parquet [l_" in line for line in scans) == 2          # one layer's rows, and the references
+    # decisions are placed, counted by block and counted by agent; three layers read orders once each, one of them for the first encounter
+    assert sum("FileScan parquet [o_" in line for line in scans) <= 3 + 4
+
+
 def test_common_words_are_not_paired_with_every_function(spark):
     """100 000 names share a word; requests with it and a rare one meet the few functions that know the rare one."""
     from pullwise.operators import recognise
