@@ -44,11 +44,12 @@ def order_pages(t):
     o, li = t["orders"], t["lineitem"]
     url = lambda k: F.concat(F.lit("https://his.example/m/orders/"), k.cast("string"))
     cell = lambda c: F.concat(F.lit("<td>"), c.cast("string"), F.lit("</td>"))
-    row = F.concat(F.lit("<tr>"), cell(F.concat(F.lit("MRN"), F.col("l_partkey"))), cell(F.concat(F.lit(" ORD-"), F.col("l_linenumber"), F.lit(" "))),
-                   cell(F.col("l_returnflag")), F.lit('<td><a href="/m/orders/'), F.col("l_orderkey").cast("string"), F.lit("/record/"),
-                   F.col("l_linenumber").cast("string"), F.lit('">Open</a></td></tr>'))
-    rows = li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("r")))), lambda x: x["r"]), "").alias("rows"), F.count(F.lit(1)).alias("n"))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", cell(F.col("l_returnflag")).alias("flag"))
+    row = lambda x: F.concat(F.lit("<tr>"), cell(F.concat(F.lit("MRN"), x["l_partkey"])), cell(F.concat(F.lit(" ORD-"), x["l_linenumber"], F.lit(" "))),
+                             x["flag"], F.lit('<td><a href="/m/orders/'), F.col("l_orderkey").cast("string"), F.lit("/record/"),
+                             x["l_linenumber"].cast("string"), F.lit('">Open</a></td></tr>'))
+    lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.count(F.lit(1)).alias("n"))
+    rows = lines.select("l_orderkey", F.array_join(F.transform("lines", row), "").alias("rows"), "n")
     page = F.concat(
         F.lit("<html><body><nav><a href='/'>Home</a></nav><main><form action='/m/orders'><input type='search' name='q'><button>Find</button></form>"
               "<table><thead><tr><th>Patient  Number</th><th>order_id</th><th>Specimen</th><th> </th></tr></thead><tbody>"), F.col("rows"),
